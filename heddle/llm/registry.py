@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
-from heddle.llm import near_dedup
+from heddle.llm import licenses, line_dedup, mixing, near_dedup, quality, urls
 
 QUERIES = {
+    "op3_license_scan": licenses.op3_license_scan,
+    "op5_pfair_mixing": mixing.op5_pfair_mixing,
+    "op6_quality_rules": quality.op6_quality_rules,
     "op7_setsketch_near_dedup": near_dedup.op7_setsketch_near_dedup,
+    "op9_suffix_line_dedup": line_dedup.op9_suffix_line_dedup,
+    "op10_url_filter": urls.op10_url_filter,
 }
+#: op10's verdicts come from a fitted model, which SQL can't express; tests hold its rules and scores against Python.
 ORACLES = {
+    "op3_license_scan": licenses.ORACLE,
+    "op5_pfair_mixing": mixing.ORACLE,
+    "op6_quality_rules": quality.ORACLE,
     "op7_setsketch_near_dedup": near_dedup.ORACLE,
+    "op9_suffix_line_dedup": line_dedup.ORACLE,
 }
