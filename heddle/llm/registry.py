@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from heddle.llm import decontaminate, licenses, line_dedup, mixing, near_dedup, quality, urls
+from heddle.llm import decontaminate, licenses, line_dedup, mixing, near_dedup, quality, toxicity, urls
 
 QUERIES = {
+    "op1_crf_toxicity": toxicity.op1_crf_toxicity,
     "op4_cgk_decontamination": decontaminate.op4_cgk_decontamination,
     "op3_license_scan": licenses.op3_license_scan,
     "op5_pfair_mixing": mixing.op5_pfair_mixing,
