@@ -1,4 +1,6 @@
-"""Queries over the engine's operators, and their SQL."""
+"""All queries over the engine's operators, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from heddle.plans import analytics, readmodels  # noqa: F401  they register their queries
+from heddle.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
