@@ -166,13 +166,17 @@ class Document:
 
 
 RESULT = T.StructType([T.StructField(f, T.LongType()) for f in ("n_pretokens", "n_tokens", "n_tokens_after", "n_encoded_again")])
-_counters: dict[int, Counter] = {}
+#: One per worker process: building it takes longer than a batch.
+_counters: dict[bytes, Counter] = {}
 
 
 def _counting(vocabulary):
     @F.arrow_udf(RESULT)
     def count(text: pa.Array, edits: pa.Array) -> pa.Array:
-        counter = _counters.get(vocabulary.id) or _counters.setdefault(vocabulary.id, Counter(vocabulary.value))
+        if vocabulary.value not in _counters:
+            _counters.clear()
+            _counters[vocabulary.value] = Counter(vocabulary.value)
+        counter = _counters[vocabulary.value]
         rows = []
         for t, changes in zip(text, edits, strict=True):
             document = Document(t.as_py() or "", counter)
