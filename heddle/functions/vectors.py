@@ -15,17 +15,21 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value evaluated once, however often use has it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def l2_normalize(a: Column) -> Column:
     """The vector over its length; a zero vector stays."""
-    n = F.sqrt(dot(a, a))
-    return F.when(n == 0, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x.cast("double") / n))
+    return bound(a, lambda v: bound(F.sqrt(dot(v, v)), lambda n: F.when(n == 0, F.transform(v, lambda x: x.cast("double"))).otherwise(F.transform(v, lambda x: x.cast("double") / n))))
 
 
 def hashed_embedding(words: Column, dim: int) -> Column:
     """Counts of words in md5(word) mod dim buckets, normalized.  The 128-bit remainder is folded digit by digit."""
     digits = lambda w: F.transform(F.filter(F.split(F.md5(w), ""), lambda c: c != ""), lambda c: F.conv(c, 16, 10).cast("long"))
     at = F.transform(words, lambda w: F.aggregate(digits(w.cast("binary")), F.lit(0).cast("long"), lambda s, d: (s * 16 + d) % dim))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.size(F.filter(at, lambda x: x == k)).cast("double"))
+    counts = F.aggregate(at, F.array_repeat(F.lit(0.0), dim), lambda acc, b: F.transform(acc, lambda x, i: F.when(i == b, x + 1).otherwise(x)))
     return l2_normalize(counts)
 
 

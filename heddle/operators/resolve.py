@@ -126,4 +126,5 @@ def cluster(edges: DataFrame, forbidden: DataFrame) -> DataFrame:
         rows += [(key[0], None, None, a, b, why) for a, b, why in groups.refused]
         return pd.DataFrame(rows, columns=["component", "id", "grp", "a", "b", "reason"])
 
+    edges, forbidden = (df.toDF(*df.columns) for df in (edges, forbidden))  # they may share a lineage
     return edges.groupBy("component").cogroup(forbidden.groupBy("component")).applyInPandas(run, schema)

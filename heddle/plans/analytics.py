@@ -118,8 +118,8 @@ def l2_normalized(v: Views) -> DataFrame:
 
 
 @query("m3_hashed_embedding", """, w AS (SELECT item_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x NOT IN """ + STOPS + """)) AS w FROM benchmark),
-h AS (SELECT item_id, (list_reduce(list_prepend(0::BIGINT, list_transform(string_split(md5(w), ''), lambda c: (strpos('0123456789abcdef', c) - 1)::BIGINT)), lambda s, d: (s * 16 + d) % 64)) AS at, count(*) AS n FROM w GROUP BY ALL)
-SELECT item_id, at::BIGINT AS bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 6) AS weight FROM h""")
+h AS (SELECT item_id, (list_reduce(list_prepend(0::BIGINT, list_transform(string_split(md5(w), ''), lambda c: (strpos('0123456789abcdef', c) - 1)::BIGINT)), lambda s, d: (s * 16 + d) % 64)) AS bucket, count(*) AS n FROM w GROUP BY ALL)
+SELECT item_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 6) AS weight FROM h""")
 def hashed_embedding(v: Views) -> DataFrame:
     words = F.filter(X.extract(F.lower("text"), "[a-z0-9]+"), lambda w: ~w.isin(X.STOPWORDS))
     rows = v.table("benchmark").select("item_id", F.posexplode(vectors.hashed_embedding(words, 64)).alias("bucket", "weight"))
@@ -304,7 +304,8 @@ def constrained_clusters(v: Views) -> DataFrame:
     rated = rated.withColumn("guard", blocked)
     joins = rated.where("decisive is not null or similarity >= 0.85")
     member = graph.components(joins.select("a", "b"))
-    keyed = lambda rows: rows.join(member.select(F.col("id").alias("a"), "component"), "a").join(member.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b").where("component = cb").drop("cb")
+    one, other = member.toDF("a", "component"), member.toDF("b", "cb")
+    keyed = lambda rows: rows.toDF(*rows.columns).join(one, "a").join(other, "b").where("component = cb").drop("cb")
     edges_ = keyed(joins).select("component", "a", "b", F.when(F.col("decisive").isNotNull(), 0).otherwise(1).alias("priority"), "similarity", F.col("key").alias("pair_key"))
     no = keyed(rated.where("guard is not null")).select("component", "a", "b", F.col("guard").alias("reason"))
     return resolve.cluster(edges_, no).where("id is not null").select("component", "id", "grp")
@@ -602,8 +603,8 @@ def validated_candidates(v: Views) -> DataFrame:
 def excerpts(v: Views) -> DataFrame:
     """The benchmark passages inside documents; the first words narrow the join."""
     items = v.table("benchmark").select("item_id", F.col("text").alias("excerpt"), F.substring("text", 1, 12).alias("lead"))
-    n = F.length("text")
-    docs = v.table("documents").where("lang = 'en'").select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(n - 11, F.lit(1))), lambda i: F.substring("text", i, F.lit(1)).rlike("[A-Z]")), lambda i: F.substring("text", i, F.lit(12))))).alias("lead"))
+    leads = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?s)(?=(\p{Lu}.{11}))"), F.lit(1)))
+    docs = v.table("documents").where("lang = 'en'").select("doc_id", "text", F.explode(leads).alias("lead"))
     hits = docs.join(items, "lead").where(F.contains("text", "excerpt"))
     return hits.select("doc_id", "item_id", X.locate_excerpt(F.col("text"), F.col("excerpt"))["start"].cast("long").alias("start"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.functions.text import normalize_name
 from heddle.operators import facts
 from heddle.plans.base import query
 from heddle.tables import Views
@@ -163,8 +164,8 @@ def name_index(v: Views) -> DataFrame:
     return facts.name_index(facts.live_entities(v.entities), v.aliases).groupBy("normalized").agg(F.count("*").alias("owners"), F.min("id").alias("first"))
 
 
-BINDING = """, cand AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS id, s.type, e.normalized AS ns, CASE WHEN s.l_partkey % 13 = 0 THEN 'gone' ELSE p.normalized END AS nt
-  FROM statements s JOIN entities e ON e.id = s.source JOIN entities p ON p.id = s.target WHERE l_quantity >= 49),
+BINDING = """, cand AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, source, target, s.type, confidence) AS id, s.type, s.confidence, e.normalized AS ns, CASE WHEN s.l_partkey % 13 = 0 THEN 'gone' WHEN s.l_partkey % 5 = 0 THEN regexp_replace(lower(p_brand), '[^a-z0-9]+', '', 'g') ELSE p.normalized END AS nt
+  FROM statements s JOIN entities e ON e.id = s.source JOIN entities p ON p.id = s.target JOIN part ON p_partkey = s.l_partkey WHERE l_quantity >= 49),
 ix AS (SELECT i.normalized, l.id, l.state, l.entity_type FROM (SELECT normalized, id FROM live UNION SELECT normalized, entity_id FROM aliases) i JOIN live l ON l.id = i.id WHERE i.normalized <> ''),
 sd AS (SELECT c.id, count(ix.id) AS n, count(*) FILTER (ix.state <> 'REJECTED') AS u, count(*) FILTER (ix.state <> 'REJECTED' AND ix.entity_type IN ('COMPONENT', 'ECU') ) AS f, min(ix.id) FILTER (ix.state <> 'REJECTED') AS one FROM cand c LEFT JOIN ix ON ix.normalized = c.ns GROUP BY c.id),
 td AS (SELECT c.id, count(ix.id) AS n, count(*) FILTER (ix.state <> 'REJECTED') AS u, count(*) FILTER (ix.state <> 'REJECTED' AND (ix.entity_type IN ('INTERFACE', 'SIGNAL', 'DATA_ELEMENT') OR (c.type <> 'PROVIDES' AND ix.entity_type = 'COMPONENT'))) AS f,
@@ -175,11 +176,13 @@ b AS (SELECT c.id, c.type, CASE WHEN sd.n = 0 THEN 'MISSING' WHEN sd.u = 0 THEN
 
 
 def candidates(v: Views) -> DataFrame:
-    """Relationship statements by name; every thirteenth part's name is one that nothing has."""
+    """Relationship statements by name; every fifth part goes by its brand, and every thirteenth by a name that nothing has."""
     names = lambda side: v.entities.select(F.col("id").alias(side), F.col("normalized").alias(f"normalized_{side}"))
     rows = v.statements.where("l_quantity >= 49").join(names("source"), "source").join(names("target"), "target")
-    rows = rows.withColumn("normalized_target", F.when(F.col("l_partkey") % 13 == 0, "gone").otherwise(F.col("normalized_target")))
-    return rows.select(F.expr("row_number() over (order by l_orderkey, l_linenumber)").cast("long").alias("id"), "type", "normalized_source", "normalized_target", "confidence", "explicit", "chunk_id")
+    brands = v.table("part").select(F.col("p_partkey").alias("l_partkey"), normalize_name(F.col("p_brand")).alias("brand"))
+    name = F.when(F.col("l_partkey") % 13 == 0, "gone").when(F.col("l_partkey") % 5 == 0, F.col("brand")).otherwise(F.col("normalized_target"))
+    rows = rows.join(brands, "l_partkey").withColumn("normalized_target", name)
+    return rows.select(F.expr("row_number() over (order by l_orderkey, l_linenumber, source, target, type, confidence)").cast("long").alias("id"), "type", "normalized_source", "normalized_target", "confidence", "explicit", "chunk_id")
 
 
 @query("j5_endpoint_binding", BINDING + "SELECT id, type, source_state, source_id, target_state, target_id FROM b")
@@ -208,9 +211,9 @@ def semi_join(v: Views) -> DataFrame:
     return v.entities.join(used, "id", "left_semi").select("id", "name")
 
 
-@query("j12_anti_join", "SELECT id FROM entities WHERE id NOT IN (SELECT target FROM relationships WHERE type = 'PROVIDES') AND entity_type = 'INTERFACE'")
+@query("j12_anti_join", "SELECT id FROM entities WHERE id NOT IN (SELECT target FROM relationships WHERE type = 'PROVIDES' AND quantity >= 49) AND entity_type = 'INTERFACE'")
 def anti_join(v: Views) -> DataFrame:
-    provided = v.relationships.where("type = 'PROVIDES'").select(F.col("target").alias("id"))
+    provided = v.relationships.where("type = 'PROVIDES' and quantity >= 49").select(F.col("target").alias("id"))
     return v.entities.where("entity_type = 'INTERFACE'").join(provided, "id", "left_anti").select("id")
 
 
@@ -275,7 +278,7 @@ def provenance_rollup(v: Views) -> DataFrame:
     return rows.select(F.concat_ws("|", "source", "target", "type").alias("id"), F.size("x").cast("long").alias("n_evidence"), F.element_at("x.chunk_id", 1).alias("first_source"), F.array_join(F.slice("x.chunk_id", 1, 5), ";").alias("sources"))
 
 
-@query("a11_missing_endpoints", BINDING + "SELECT nt AS name, count(*) AS n, max(s.confidence)::DOUBLE AS confidence FROM b JOIN cand c ON c.id = b.id JOIN (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS id, confidence FROM statements WHERE l_quantity >= 49) s ON s.id = b.id WHERE target_state = 'MISSING' GROUP BY nt")
+@query("a11_missing_endpoints", BINDING + "SELECT nt AS name, count(*) AS n, max(c.confidence)::DOUBLE AS confidence FROM b JOIN cand c ON c.id = b.id WHERE target_state = 'MISSING' GROUP BY nt")
 def missing_endpoints(v: Views) -> DataFrame:
     bound = facts.bind_endpoints(candidates(v), v.entities, v.aliases).where("target_state = 'MISSING'")
     return bound.groupBy(F.col("normalized_target").alias("name")).agg(F.count("*").alias("n"), F.max("confidence").cast("double").alias("confidence"))
