@@ -54,7 +54,7 @@ def schedule(units: DataFrame) -> DataFrame:
     return slots.withColumn("nth", F.expr("row_number() over (partition by __source order by slot) - 1").cast("long"))
 
 
-def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_docs: int = 32, period: int = 1000, range_docs: int = 20_000, max_sources: int = 5000) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_docs: int = 32, period: int = 1000, range_docs: int = 4_000, max_sources: int = 5000) -> DataFrame:
     """docs with mix_block (block of its source), mix_slot and mix_offset (place in the block); their order is the mixture.
 
     Within a source the order is that of md5(doc_id).  A null source counts as the empty one, a null doc_id as an
