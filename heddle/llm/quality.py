@@ -28,7 +28,7 @@ _HEAD = (np.arange(256) & 0xC0) != 0x80
 _UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 
 #: Per measure: least distance of the fence above the upper quartile, in thousandths.
-LEAST_DISTANCE = {"symbol_share": 100, "upper_share": 200, "dup_line_share": 300, "repeat_share": 250, "word_length": 2500}
+LEAST_DISTANCE = {"symbol_share": 100, "upper_share": 200, "dup_line_share": 500, "repeat_share": 400, "word_length": 2500}
 
 
 def _by_doc(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
