@@ -1,7 +1,7 @@
 """Words and their hashes, for whole Arrow batches at a time.
 
 All of it works on the UTF-8 bytes of a string column.  A batch is cut into
-pieces of a few MB at document borders, so memory doesn't follow the batch.
+pieces of about a MB at document borders, so memory doesn't follow the batch.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 U64 = np.uint64
 
 

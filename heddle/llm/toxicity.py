@@ -29,7 +29,7 @@ from heddle.llm import textcore as tc
 
 BUCKET_BITS = 18
 PREFIXES = (3, 4, 5, 6)
-ROW = 256
+ROW = 64
 
 
 def features(words: tc.Words) -> np.ndarray:
