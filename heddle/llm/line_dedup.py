@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from heddle.llm.store import Scratch
 
+#: At most so much is broadcast.
+BROADCAST_BYTES = 32 << 20
 WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -75,7 +77,9 @@ def repeated_lines(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFra
     later = windows.join(first, ["n", "left", "right"]).where(F.struct("doc_id", "h", "p") != F.col("first"))
     covered = later.select("doc_id", "h", F.explode("covered").alias("p")).distinct()
     gone = covered.join(rows.select("doc_id", "h", "p", "pos"), ["doc_id", "h", "p"])
-    return scratch.keep(gone.groupBy("doc_id", "h").agg(F.collect_list("pos").alias("gone")))
+    gone = scratch.keep(gone.groupBy("doc_id", "h").agg(F.collect_list("pos").alias("gone")))
+    scratch.clear(gone)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
@@ -89,10 +93,12 @@ def dedup_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "lines")
     gone = repeated_lines(docs.select("doc_id", "text").where("doc_id is not null"), min_words, scratch)
+    size = gone.agg(F.coalesce(F.sum(64 + 4 * F.size("gone")), F.lit(0)).alias("bytes")).first()["bytes"]
     gone = gone.select(F.col("doc_id").alias("__doc_id"), F.col("h").alias("__h"), F.col("gone").alias("__gone"))
     # Split ahead of the join, so that the lambda below reads a column.
     split = docs.select(*(c for c in docs.columns if c != "text"), F.split("text", "\n", -1).alias("__parts"), F.xxhash64("text").alias("__key"))
-    found = split.join(gone, (F.col("doc_id") == F.col("__doc_id")) & (F.col("__key") == F.col("__h")), "left")
+    # Texts stay where they are as long as the positions to delete are few enough to travel; beyond, they are shuffled once.
+    found = split.join(F.broadcast(gone) if size <= BROADCAST_BYTES else gone, (F.col("doc_id") == F.col("__doc_id")) & (F.col("__key") == F.col("__h")), "left")
     left = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.array_join("__parts", "\n")).otherwise(F.array_join(F.transform(left, lambda i: F.get("__parts", i)), "\n"))
     n_lines = F.coalesce(F.size(F.filter("__parts", lambda x: x.rlike(WORD))), F.lit(0))
