@@ -10,9 +10,12 @@ full sets of 64-bit shingle hashes.
 
 Scale.  Documents with equal sets are one class from the start, so a
 group of exact copies costs a row each.  In a bucket all classes are held
-against one pivot per round, never all pairs; links join classes to components,
-and only pairs of different components are still open.  The last step holds these open pairs
-against each other, whole, so no link that could change a component is lost.
+against its hub, the member with most company in all its buckets, never all pairs; links join classes to
+components, and only pairs of different components in one bucket are still open.  The last step is exact for
+them without listing them: shingles are split into rare ones (in at most RARE open classes)
+and frequent ones.  Pairs that share rare shingles meet on those, with an exact bound on their
+overlap; all others share frequent shingles alone, so both must have enough of these for their sizes,
+which members that hang on a hub by more edits than the threshold allows have not.
 Recall: a pair at the threshold 0.8 misses all 32 bands of four registers with
 probability (1 - 0.8**4)**32 = 5e-8.
 """
@@ -34,7 +37,11 @@ from heddle.llm.store import Scratch
 SKETCH_BASE, SKETCH_RATE, REGISTERS, ROWS_PER_BAND = 1.001, 20.0, 128, 4
 #: Pairs whose likelihood has its maximum below threshold - SLACK aren't verified: over five standard deviations.
 SLACK = 0.2
-PIVOT_ROUNDS = 3
+HUB_ROUNDS = 2
+#: At most so many ids (about 40 bytes each) are broadcast.
+BROADCAST_IDS = 2_000_000
+#: A shingle in more open classes is frequent.
+RARE = 32
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -68,11 +75,11 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(smallest) / np.log(SKETCH_BASE)), 0, 65535).astype(np.uint16)
 
 
-SKETCH_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, registers array<int>, bands array<long>"
+SKETCH_SCHEMA = "doc_id long, n_shingles long, set_a long, set_b long, registers array<smallint>, bands array<long>"
 
 
 def _sketch(n: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("registers", pa.list_(pa.int32())), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("registers", pa.list_(pa.int16())), ("bands", pa.list_(pa.int64()))])
     slices = tc.splitmix(np.arange(REGISTERS // ROWS_PER_BAND, dtype=np.uint64))
 
     def run(batches):
@@ -90,7 +97,7 @@ def _sketch(n: int):
                 keys = tc.splitmix(regs.reshape(-1, ROWS_PER_BAND).copy().view(np.uint64).reshape(b - a, -1) ^ slices)
                 full = size > 0
                 ends = np.concatenate([[0], np.cumsum(full)]).astype(np.int32)
-                listed = [pa.ListArray.from_arrays(pa.array(ends * w), pa.array(v[full].reshape(-1))) for v, w in ((regs.astype(np.int32), REGISTERS), (keys.view(np.int64), keys.shape[1]))]
+                listed = [pa.ListArray.from_arrays(pa.array(ends * w), pa.array(v[full].reshape(-1))) for v, w in (((regs.astype(np.int32) - 32768).astype(np.int16), REGISTERS), (keys.view(np.int64), keys.shape[1]))]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(size), pa.array(sums[:, 0].view(np.int64)), pa.array(sums[:, 1].view(np.int64)), *listed], schema=schema)
 
     return run
@@ -129,25 +136,54 @@ def likely(size_a: Column, size_b: Column, above: Column, below: Column, least:
     return slope >= 0
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int, scratch: Scratch) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Of candidate pairs (a, b), once or repeated, those whose full sets reach percent."""
     pairs = pairs.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for c in "ab":
         pairs = pairs.join(classes.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}")), c)
-    sign = F.zip_with("r_a", "r_b", lambda x, y: F.signum(x - y).cast("int"))
+    sign = F.zip_with("r_a", "r_b", lambda x, y: F.when(x > y, 1).when(x < y, -1).otherwise(0))
     count = lambda k: F.size(F.filter("signs", lambda x: x == k))
     close = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b", "n_a", "n_b", sign.alias("signs"))
     close = scratch.keep(close.where(likely(F.col("n_a"), F.col("n_b"), count(1), count(-1), percent / 100 - SLACK)).select("a", "b", "n_a", "n_b"))
-    ids = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = scratch.keep(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(words), "id long, shingles array<long>"))
     for c in "ab":
         close = close.join(sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s_{c}")), c)
     shared = F.size(F.array_intersect("s_a", "s_b"))
     links = scratch.keep(close.withColumn("shared", shared).where(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b"))
-    scratch.drop(sets)
     return links
 
 
+def _open_pairs(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of different components that may reach percent, among rows that share a bucket."""
+    open_ids = scratch.keep(rows.select("id", "component").distinct())
+    tokens = sets.join(open_ids.select("id"), "id", "left_semi").select("id", F.explode("shingles").alias("g"))
+    often = scratch.keep(tokens.groupBy("g").agg(F.count("*").alias("df")).where("df > 1"))
+    known = scratch.keep(tokens.join(often, "g"))
+    frequent = known.where(F.col("df") > RARE).groupBy("id").agg(F.count("*").alias("frequent"))
+    sized = open_ids.join(classes.select("id", "n_shingles"), "id").join(frequent, "id", "left")
+    sized = scratch.keep(sized.select("id", "component", F.col("n_shingles").alias("n"), F.coalesce("frequent", F.lit(0)).alias("f")))
+    side = lambda frame, c: frame.select(*(F.col(x).alias(f"{x}_{c}") if x in ("id", "component", "n", "f", "bands") else F.col(x) for x in frame.columns))
+    # An overlap o reaches percent if 100 o >= percent (n_a + n_b - o).
+    reaches = lambda o: (100 + percent) * o >= percent * (F.col("n_a") + F.col("n_b"))
+    apart = (F.col("component_a") != F.col("component_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    # A rare shingle's classes are at most RARE, so they are listed in its row.
+    rare = known.where(F.col("df") <= RARE).join(sized, "id").groupBy("g").agg(F.array_sort(F.collect_list(F.struct("id", "component", "n", "f"))).alias("m"))
+    rare = rare.where(F.size(F.array_distinct(F.col("m.component"))) > 1)
+    inner = rare.select("m", F.posexplode("m").alias("k", "x")).select("x", F.explode(F.slice("m", F.col("k") + 2, RARE)).alias("y"))
+    met = inner.select(*(F.col(f"{v}.{x}").alias(f"{x}_{c}") for v, c in (("x", "a"), ("y", "b")) for x in ("id", "component", "n", "f"))).where(apart)
+    met = met.groupBy("id_a", "id_b").agg(F.count("*").alias("rare"), *(F.first(f"{x}_{c}").alias(f"{x}_{c}") for c in "ab" for x in ("n", "f")))
+    by_rare = met.where(reaches(F.least("f_a", "f_b") + F.col("rare"))).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    # The rest share frequent shingles only, so each needs enough of them for the smallest partner of its bucket.
+    full = rows.drop("component").join(sized, "id")
+    smallest = full.groupBy("band", "key").agg(F.min("n").alias("least"))
+    able = full.join(smallest, ["band", "key"]).where((100 + percent) * F.col("f") >= percent * (F.col("n") + F.greatest(F.col("least"), percent * F.col("n") / 100)))
+    keys = able.groupBy("band", "key").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other").select("band", "key")
+    able = scratch.keep(able.drop("least").join(keys, ["band", "key"]).join(classes.select("id", "bands"), "id"))
+    # A pair that reaches is able in each bucket that it shares, so it is listed in the first of them alone.
+    first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == F.col("band") + 1
+    by_frequent = side(able, "a").join(side(able, "b"), ["band", "key"]).where(apart & (F.col("id_a") < F.col("id_b")) & reaches(F.least("f_a", "f_b")) & first).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    return by_rare.unionByName(by_frequent)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
@@ -167,41 +203,47 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     named = known.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id"))
     member = scratch.keep(known.select("doc_id", "set_a", "set_b", "n_shingles").join(named, ["set_a", "set_b", "n_shingles"]).select("doc_id", "id"))
     own = known.join(member.where("doc_id = id").select("doc_id", "id").distinct(), "doc_id", "left_semi")
-    classes = own.select(F.col("doc_id").alias("id"), "n_shingles", "registers").dropDuplicates(["id"])
-    bands = own.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
+    classes = scratch.keep_by(own.select(F.col("doc_id").alias("id"), "n_shingles", "registers", "bands"), "id")
+    bands = classes.select("id", F.posexplode("bands").alias("band", "key"))
     # Only keys that two classes share stay.
-    open_bands = bands.join(bands.groupBy("band", "key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high"), ["band", "key"])
-    open_bands = scratch.keep(open_bands.select("band", "key", "id", "low", "high"))
-    links = _verified(open_bands.select(F.col("id").alias("a"), F.col("low").alias("b")), classes, docs, words, percent, scratch)
-    component = connected_components(links, scratch)
-
-    def mixed(component: DataFrame) -> DataFrame:
+    shared = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    open_bands = scratch.keep(bands.join(shared, ["band", "key"]))
+    company = open_bands.groupBy("id").agg(F.sum("n").alias("company"))
+    open_bands = scratch.keep(open_bands.join(company, "id").select("band", "key", "id", F.struct(F.col("company"), (-F.col("id")).alias("o")).alias("rank")))
+    links, component = None, None
+    # Texts stay where they are as long as the ids of classes that share a bucket are few enough to travel; beyond, they are shuffled this one time.
+    ids = scratch.keep(open_bands.select(F.col("id").alias("doc_id")).distinct())
+    near = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    sets = scratch.keep_by(near.mapInArrow(_full_sets(words), "id long, shingles array<long>"), "id")
+
+    def mixed() -> DataFrame:
         """Rows of buckets that still hold several components."""
-        rows = open_bands.select("band", "key", "id").join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        if component is None:
+            return open_bands.withColumn("component", F.col("id"))
+        rows = open_bands.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
         keys = rows.groupBy("band", "key").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other").select("band", "key")
         return rows.join(keys, ["band", "key"])
 
-    for turn in range(1, PIVOT_ROUNDS):
-        rows = scratch.keep(mixed(component))
-        order = F.xxhash64("id", F.lit(turn))
-        pivot = rows.groupBy("band", "key").agg(F.min(F.struct(order.alias("o"), "id", "component")).alias("p"))
-        pairs = rows.join(pivot, ["band", "key"]).where("component <> p.component").select(F.col("id").alias("a"), F.col("p.id").alias("b"))
-        more = _verified(pairs, classes, docs, words, percent, scratch)
-        links = links.unionByName(more)
-        if more.limit(1).count():
-            component = connected_components(links, scratch)
-        scratch.drop(rows)
-    rows = scratch.keep(mixed(component))
-    sized = rows.join(classes.select("id", "n_shingles"), "id")
-    one, other = (sized.select("band", "key", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n_shingles"))) for s in "ab")
-    pairs = one.join(other, ["band", "key"]).where("component_a < component_b").where(100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
-    more = _verified(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")), classes, docs, words, percent, scratch)
-    if more.limit(1).count():
-        component = connected_components(links.unionByName(more), scratch)
+    def linked(pairs: DataFrame) -> None:
+        nonlocal links, component
+        more = _verified(pairs, classes, sets, percent, scratch)
+        if links is not None and not more.limit(1).count():
+            return
+        links = more if links is None else links.unionByName(more)
+        component = connected_components(links, scratch)
+
+    for turn in range(HUB_ROUNDS):
+        rows = scratch.keep(mixed()) if turn else mixed()
+        hubs = rows.groupBy("band", "key").agg(F.max_by(F.struct("id", "component"), "rank").alias("hub"))
+        if turn:  # the first hub has met all; the next is the one outside its component with most company
+            hubs = rows.join(hubs, ["band", "key"]).where("component <> hub.component").groupBy("band", "key").agg(F.max_by(F.struct("id", "component"), "rank").alias("hub"))
+        linked(rows.join(hubs, ["band", "key"]).where("component <> hub.component").select(F.col("id").alias("a"), F.col("hub.id").alias("b")))
+    linked(_open_pairs(scratch.keep(mixed().select("band", "key", "id", "component")), classes, sets, percent, scratch))
     smallest = member.join(component, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component")).distinct()
     out = every.select("doc_id", "n_shingles").join(smallest, "doc_id", "left")
     named = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", F.coalesce(named, "doc_id").alias("component_id"))
+    out = scratch.keep(out.select("doc_id", "n_shingles", F.coalesce(named, "doc_id").alias("component_id")))
+    scratch.clear(out)
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
