@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.functions import text as X
-from heddle.functions.vectors import cosine_distance
 
 # Defaults of the retrieval settings.
 DENSE_K = LEXICAL_K = 30
@@ -15,19 +17,69 @@ MIN_DENSE, MIN_LEXICAL = 0.5, 0.34
 CONTEXT_TOKENS, SUPPORT = 3500, 0.6
 
 
-def dense_channel(chunks: DataFrame, queries: DataFrame, k: int = DENSE_K) -> DataFrame:
-    """queries (query, vector; a stated, small set) against chunks (id, embedding): the k nearest per query by cosine distance, then id.
+def dense_channel(chunks: DataFrame, queries: DataFrame, k: int = DENSE_K, block_bytes: int = 16 << 20) -> DataFrame:
+    """queries (query, vector) against chunks (id, embedding): the k nearest per query by cosine similarity to nine digits, then id.
 
-    The query vectors travel to the chunks as a constant of the plan, so the chunks are read once and not
-    shuffled before the best k of a partition are left.
+    Neither side has a limit: the queries travel to the chunks as matrices, in blocks of hashed queries with at most about block_bytes
+    of vectors and one pass over the chunks per block.  A task passes on only what may be among the best k of its part.
     """
-    rows = queries.select("query", "vector").collect()
-    asked = F.array(*(F.struct(F.lit(r["query"]).alias("query"), F.array(*map(F.lit, map(float, r["vector"]))).alias("vector")) for r in rows))
-    near = chunks.where("embedding is not null").select("id", "embedding", F.explode(asked).alias("q"))
-    near = near.select(F.col("q.query").alias("query"), "id", (1 - cosine_distance(F.col("embedding"), F.col("q.vector"))).alias("score")).where("score is not null")
+    spark = chunks.sparkSession
+    asked = queries.where("vector is not null").select("query", F.col("vector").cast("array<double>").alias("vector"))
+    size = asked.agg(F.coalesce(F.sum(F.size("vector") * 8), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-size // block_bytes))
+    rows = chunks.where("embedding is not null").select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    schema = f"query {asked.schema['query'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, score double"
+    near = None
+    for n in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == n).toArrow().combine_chunks()
+        found = rows.mapInArrow(_nearest(spark.sparkContext.broadcast(part), k), schema)
+        near = found if near is None else near.unionByName(found)
     return ranked(near, k)
 
 
+def _unit_vectors(vectors: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per width the rows and unit vectors of a column of lists; those that are zero or have nulls have no direction and are left out."""
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    widths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    out = {}
+    for width in np.unique(widths[widths > 0]):
+        at = np.flatnonzero(widths == width)
+        matrix = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, int(width))
+        length = np.sqrt((matrix * matrix).sum(axis=1))
+        good = length > 0
+        out[int(width)] = at[good], matrix[good] / length[good, None]
+    return out
+
+
+def _nearest(broadcast, k: int):
+    """Over batches of (id, embedding): per query of the broadcast table the best k of each batch, without those below the best k so far."""
+
+    def run(batches):
+        names = broadcast.value["query"]
+        names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+        asked = _unit_vectors(broadcast.value["vector"])
+        best = {w: np.full((len(at), k), -(1 << 62), dtype=np.int64) for w, (at, _) in asked.items()}
+        for batch in batches:
+            batch = batch.take(pc.sort_indices(batch.column("id")))
+            for width, (at, unit) in _unit_vectors(batch.column("embedding")).items():
+                if width not in asked or not len(at):
+                    continue
+                rows, vectors = asked[width]
+                some = max(1, (1 << 22) // len(at))
+                for low in range(0, len(rows), some):
+                    # Nine digits of the score, then the place by id: keys are distinct, so equal scores need no further care.
+                    scores = np.rint(vectors[low : low + some] @ unit.T * 1e9).astype(np.int64)
+                    keys = (scores << 24) - np.arange(len(at))
+                    top = np.argpartition(keys, len(at) - k, axis=1)[:, -k:] if len(at) > k else np.broadcast_to(np.arange(len(at)), keys.shape)
+                    score = np.take_along_axis(scores, top, axis=1)
+                    kept = best[width][low : low + some]
+                    q, c = np.nonzero(score >= kept.min(axis=1)[:, None])
+                    kept[:] = np.sort(np.concatenate([kept, score], axis=1), axis=1)[:, -k:]
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(rows[low + q])), batch.column("id").take(pa.array(at[top[q, c]])), pa.array(score[q, c] / 1e9)], names=["query", "id", "score"])
+
+    return run
+
+
 def ranked(scores: DataFrame, k: int, key: str = "id") -> DataFrame:
     """(query, key, score) with rank, the best k per query; ties by key."""
     rank = F.expr(f"row_number() over (partition by query order by score desc, {key})")
