@@ -351,11 +351,12 @@ def missing_provider(v: Views) -> DataFrame:
     return findings.missing_providers(v.entities, v.relationships).select("key", "severity", "fingerprint")
 
 
-def drafts(v: Views) -> list[DataFrame]:
-    rows = facts.live_relationships(v.relationships).where("quantity >= 48")
-    bound = facts.bind_endpoints(candidates(v), v.entities, v.aliases)
+def drafts(v: Views, whole: bool = False) -> list[DataFrame]:
+    """Of the relationships, statements and unsure pairs that the SQL of a4 takes; whole: of all."""
+    rows = facts.live_relationships(v.relationships).where(F.lit(True) if whole else F.col("quantity") >= 48)
+    bound = facts.bind_endpoints(candidates(v, whole), v.entities, v.aliases)
     twice = v.table("part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("entity_id"), F.col("p_brand").alias("alias")).join(v.aliases.select("alias", F.col("entity_id").alias("owner")), "alias")
-    unsure = facts.active_entities(v.entities).where(F.col("id").startswith("c") & (F.col("created_rank") % 50 == 0)).select("id")
+    unsure = facts.active_entities(v.entities).where(F.col("id").startswith("c") & (F.lit(whole) | (F.col("created_rank") % 50 == 0))).select("id")
     decisions = unsure.select(resolve.pair_key(F.col("id"), F.lit("s1")).alias("pair_key"), F.col("id").alias("a"), F.lit("s1").alias("b"), F.lit("UNSURE").alias("decision"))
     return [findings.missing_providers(v.entities, rows), findings.binding_problems(bound), findings.dangling(v.entities, rows), findings.possible_duplicates(v.entities, decisions), findings.conflicting(v.entities, rows), findings.inconsistent_types(v.entities, rows), findings.alias_conflicts(v.entities, twice)]
 
@@ -374,7 +375,7 @@ def findings_by_type(v: Views) -> DataFrame:
 @query("f5_findings_listing")
 def findings_listing(v: Views) -> DataFrame:
     order = F.when(F.col("severity") == "HIGH", 0).when(F.col("severity") == "MEDIUM", 1).when(F.col("severity") == "LOW", 2).otherwise(3)
-    return facts.page(findings.distinct_drafts(drafts(v)), [order, "finding_type", "fingerprint"], 0, 50).select("finding_type", "severity", "key", "summary", "total")
+    return facts.page(findings.distinct_drafts(drafts(v, whole=True)), [order, "finding_type", "fingerprint"], 0, 50).select("finding_type", "severity", "key", "summary", "total")
 
 
 @query("r12_findings_sync", """, ex AS (SELECT sha256('x' || user_id) AS fingerprint, CASE user_id % 3 WHEN 0 THEN 'OPEN' WHEN 1 THEN 'RESOLVED' ELSE 'DISMISSED' END AS old FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 2 = 0), dr AS (SELECT DISTINCT sha256('x' || user_id) AS fingerprint FROM events WHERE user_id % 5 < 3)

@@ -175,14 +175,22 @@ b AS (SELECT c.id, c.type, CASE WHEN sd.n = 0 THEN 'MISSING' WHEN sd.u = 0 THEN
 """
 
 
-def candidates(v: Views) -> DataFrame:
-    """Relationship statements by name; every fifth part goes by its brand, and every thirteenth by a name that nothing has."""
+def candidates(v: Views, whole: bool = False) -> DataFrame:
+    """Relationship statements by name; every fifth part goes by its brand, and every thirteenth by a name that nothing has.
+
+    Those of the SQL have l_quantity >= 49 and are numbered.  whole: all statements, with their own columns as id and equal ones numbered.
+    """
     names = lambda side: v.entities.select(F.col("id").alias(side), F.col("normalized").alias(f"normalized_{side}"))
-    rows = v.statements.where("l_quantity >= 49").join(names("source"), "source").join(names("target"), "target")
+    rows = v.statements if whole else v.statements.where("l_quantity >= 49")
+    rows = rows.join(names("source"), "source").join(names("target"), "target")
     brands = v.table("part").select(F.col("p_partkey").alias("l_partkey"), normalize_name(F.col("p_brand")).alias("brand"))
     name = F.when(F.col("l_partkey") % 13 == 0, "gone").when(F.col("l_partkey") % 5 == 0, F.col("brand")).otherwise(F.col("normalized_target"))
     rows = rows.join(brands, "l_partkey").withColumn("normalized_target", name)
-    return rows.select(F.expr("row_number() over (order by l_orderkey, l_linenumber, source, target, type, confidence)").cast("long").alias("id"), "type", "normalized_source", "normalized_target", "confidence", "explicit", "chunk_id")
+    number = F.expr("row_number() over (order by l_orderkey, l_linenumber, source, target, type, confidence)").cast("long")
+    if whole:
+        turn = F.expr("row_number() over (partition by chunk_id, source, target, type, confidence order by explicit)")
+        number = F.concat_ws("|", "chunk_id", "source", "target", "type", F.col("confidence").cast("string"), turn.cast("string"))
+    return rows.select(number.alias("id"), "type", "normalized_source", "normalized_target", "confidence", "explicit", "chunk_id")
 
 
 @query("j5_endpoint_binding", BINDING + "SELECT id, type, source_state, source_id, target_state, target_id FROM b")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 import numpy as np
+import pytest
 
 from heddle.operators import retrieval
+from heddle.plans.registry import QUERIES
 
 
 def test_dense_channel_takes_any_number_of_queries(spark):
@@ -30,3 +34,24 @@ def test_dense_channel_takes_any_number_of_queries(spark):
             want = [ids[x] for x in np.lexsort((ids, -scores[n]))[:10]]
             assert [got[i][k] for k in range(1, 11)] == want
     assert got.keys() == {i for i in ids if i % 2 == 0}
+
+
+@pytest.fixture(scope="module")
+def parts(spark, tmp_path_factory):
+    """Two interfaces, one provided and one used, each by a statement of quantity 1."""
+    folder = str(tmp_path_factory.mktemp("parts"))
+    put = lambda name, schema, rows: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    put("supplier", "s_suppkey long, s_name string", [(1, "Supplier one")])
+    put("customer", "c_custkey long, c_name string", [(1, "Customer one"), (2, "Customer two")])
+    put("part", "p_partkey long, p_name string, p_brand string, p_type string", [(2, "red bolt", "Brand#11", "ECONOMY TIN"), (4, "blue nut", "Brand#11", "STANDARD TIN")])
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    put("lineitem", line, [(1, 2, 1, 1, 1.0, 0.1, "A", "F", datetime(1995, 1, 1)), (1, 4, 1, 2, 1.0, 0.1, "R", "F", datetime(1995, 1, 1))])
+    return folder
+
+
+def test_findings_are_of_all_statements(spark, parts):
+    rows = {r["key"]: r for r in QUERIES["f5_findings_listing"](spark, parts).collect()}
+    assert "p2" not in rows
+    assert rows["p4"]["severity"] == "HIGH" and rows["p4"]["summary"].endswith("It is used by Supplier one.")
+    assert {r["total"] for r in rows.values()} == {len(rows)}
+    assert sum(r["finding_type"] == "POSSIBLE_DUPLICATE" for r in QUERIES["f5_findings_listing"](spark, parts).collect()) == 2
