@@ -469,8 +469,8 @@ def retrieval_metrics(v: Views) -> DataFrame:
 @query("q6_linked_entities")
 def linked_entities(v: Views) -> DataFrame:
     index = facts.name_index(facts.live_entities(v.entities), v.aliases).select("normalized", F.col("id").alias("entity"))
-    asked_ = v.table("part").where("p_partkey % 50 = 1").select(F.col("p_partkey").alias("id"), F.concat(F.lit("What requires "), "p_name", F.lit(" of "), "p_brand", F.lit("?")).alias("text"))
-    return questions.linked(asked_, index.where(F.col("normalized").rlike("^brand")))
+    asked_ = v.table("part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("What requires "), "p_name", F.lit(" of "), "p_brand", F.lit("?")).alias("text"))
+    return questions.linked(asked_, index)
 
 
 @query("q7_plans", """SELECT user_id, CASE user_id % 5 WHEN 0 THEN 'DEPENDENCY' WHEN 1 THEN 'IMPACT' WHEN 2 THEN 'NEIGHBORHOOD' WHEN 3 THEN 'RELATIONSHIP_LOOKUP' ELSE 'SOURCE_SEARCH' END AS intent,

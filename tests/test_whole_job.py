@@ -55,3 +55,8 @@ def test_findings_are_of_all_statements(spark, parts):
     assert rows["p4"]["severity"] == "HIGH" and rows["p4"]["summary"].endswith("It is used by Supplier one.")
     assert {r["total"] for r in rows.values()} == {len(rows)}
     assert sum(r["finding_type"] == "POSSIBLE_DUPLICATE" for r in QUERIES["f5_findings_listing"](spark, parts).collect()) == 2
+
+
+def test_every_part_is_asked_and_linked_by_its_name(spark, parts):
+    got = {(r["id"], r["entity"], r["start"]) for r in QUERIES["q6_linked_entities"](spark, parts).collect()}
+    assert got == {(2, "p2", 2), (4, "p4", 2), (4, "p2", 5)}
