@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,6 +123,46 @@ def match_sections(old: list[tuple[int, str]], new: list[tuple[int, str]]) -> li
     return sorted(pairs, key=lambda p: p[1])
 
 
+class Candidates:
+    """Statements of which the most similar to another is taken, the first of equals, if its ratio is PAIRING at least.
+
+    Common letters bound a ratio, so only those are compared in full whose bound reaches the best so far.
+    """
+
+    def __init__(self, texts: list[str]):
+        self.texts, self.free = list(texts), np.ones(len(texts), dtype=bool)
+        self.letters = {c: n for n, c in enumerate(sorted(set("".join(self.texts))))}
+        self.counts = np.array([self.bag(t) for t in self.texts], dtype=np.int32).reshape(len(self.texts), len(self.letters))
+        self.lengths = np.array([len(t) for t in self.texts], dtype=np.int64)
+        self.matchers: dict[int, SequenceMatcher] = {}
+
+    def bag(self, text: str) -> np.ndarray:
+        return np.bincount([self.letters[c] for c in text if c in self.letters], minlength=len(self.letters))
+
+    def take(self, before: str) -> str | None:
+        total = self.lengths + len(before)
+        bound = np.where(total > 0, 2.0 * np.minimum(self.counts, self.bag(before)).sum(axis=1) / np.maximum(total, 1), 1.0)
+        best, at = PAIRING, len(self.texts)
+        for n in np.argsort(-bound, kind="stable"):
+            if bound[n] < best:
+                break
+            if not self.free[n] or (bound[n] == best and n > at):
+                continue
+            if n not in self.matchers:
+                self.matchers[n] = SequenceMatcher(None, "", self.texts[n])
+            self.matchers[n].set_seq1(before)
+            ratio = self.matchers[n].ratio()
+            if ratio > best or (ratio == best and n < at):
+                best, at = ratio, n
+        if at == len(self.texts):
+            return None
+        self.free[at] = False
+        return self.texts[at]
+
+    def left(self) -> list[str]:
+        return [t for t, free in zip(self.texts, self.free, strict=True) if free]
+
+
 def diff_statements(old: list[str], new: list[str], values) -> list[tuple[str, str | None, str | None]]:
     """(change, before, after) of two lists of statements: CHANGED (other values), REWORDED, REMOVED, ADDED.
 
@@ -131,15 +172,14 @@ def diff_statements(old: list[str], new: list[str], values) -> list[tuple[str, s
     for tag, i, j, k, m in SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
         if tag == "equal":
             continue
-        rest = list(new[k:m])
+        rest = Candidates(new[k:m])
         for before in old[i:j]:
-            ratios = [SequenceMatcher(None, before, after).ratio() for after in rest]
-            if ratios and max(ratios) >= PAIRING:
-                after = rest.pop(ratios.index(max(ratios)))
+            after = rest.take(before)
+            if after is not None:
                 out.append(("REWORDED" if values(before) == values(after) else "CHANGED", before, after))
             else:
                 out.append(("REMOVED", before, None))
-        out += [("ADDED", None, after) for after in rest]
+        out += [("ADDED", None, after) for after in rest.left()]
     return out
 
 

@@ -547,8 +547,11 @@ def line_changes(v: Views) -> DataFrame:
 
 @query("d2_statement_changes")
 def statement_changes(v: Views) -> DataFrame:
-    rows = v.versions.where("version_number <= 2").groupBy("document").agg(F.max(F.when(F.col("version_number") == 1, F.col("text"))).alias("old"), F.max(F.when(F.col("version_number") == 2, F.col("text"))).alias("new")).where("old is not null and new is not null")
-    return compare.statement_changes(rows.select(F.col("document").alias("pair"), X.statements(F.col("old")).alias("old"), X.statements(F.col("new")).alias("new")))
+    """Of every version and its successor; pair is document#version."""
+    rows = v.versions.select("document", "version_number", "text")
+    rows = rows.withColumnRenamed("text", "old").join(rows.select("document", (F.col("version_number") - 1).alias("version_number"), F.col("text").alias("new")), ["document", "version_number"]).where("old is not null and new is not null")
+    pairs = rows.select(F.concat_ws("#", "document", F.col("version_number").cast("string")).alias("pair"), "old", "new").repartition(8 * v.spark.sparkContext.defaultParallelism, "pair")
+    return compare.statement_changes(pairs.select("pair", X.statements(F.col("old")).alias("old"), X.statements(F.col("new")).alias("new")))
 
 
 @query("d5_entity_changes")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime
+from difflib import SequenceMatcher
 
 import numpy as np
 import pytest
 
-from heddle.operators import retrieval
+from heddle.operators import compare, retrieval
 from heddle.plans.registry import QUERIES
 
 
@@ -60,3 +62,23 @@ def test_findings_are_of_all_statements(spark, parts):
 def test_every_part_is_asked_and_linked_by_its_name(spark, parts):
     got = {(r["id"], r["entity"], r["start"]) for r in QUERIES["q6_linked_entities"](spark, parts).collect()}
     assert got == {(2, "p2", 2), (4, "p4", 2), (4, "p2", 5)}
+
+
+def test_every_version_is_compared_with_its_successor(spark, tmp_path):
+    texts = [f"The limit is {k} volts." for k in range(6)]
+    spark.createDataFrame([(k, t, "en", "a") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {(r["pair"], r["change"], r["before"], r["after"]) for r in QUERIES["d2_statement_changes"](spark, str(tmp_path)).collect()}
+    assert got == {(f"a/en#{k + 1}", "CHANGED", texts[k], texts[k + 1]) for k in range(5)}
+
+
+def test_the_bound_on_ratios_changes_no_pairing():
+    rng = random.Random(8)
+    for _ in range(150):
+        old, new = ([" ".join(rng.choice(["volt", "limit", "of", "the", "lo", "bus"]) for _ in range(rng.randrange(0, 6))) for _ in range(rng.randrange(0, 9))] for _ in "ab")
+        mine, rest = compare.Candidates(new), list(new)
+        for before in old:
+            ratios = [SequenceMatcher(None, before, after).ratio() for after in rest]
+            want = rest.pop(ratios.index(max(ratios))) if ratios and max(ratios) >= compare.PAIRING else None
+            assert mine.take(before) == want
+        assert mine.left() == rest
