@@ -605,12 +605,9 @@ def validated_candidates(v: Views) -> DataFrame:
 
 @query("x21_excerpts", "SELECT d.doc_id, b.item_id, strpos(d.text, b.text) - 1 AS start FROM documents d JOIN benchmark b ON strpos(d.text, b.text) > 0 WHERE d.lang = 'en'")
 def excerpts(v: Views) -> DataFrame:
-    """The benchmark passages inside documents; the first words narrow the join."""
-    items = v.table("benchmark").select("item_id", F.col("text").alias("excerpt"), F.substring("text", 1, 12).alias("lead"))
-    leads = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?s)(?=(\p{Lu}.{11}))"), F.lit(1)))
-    docs = v.table("documents").where("lang = 'en'").select("doc_id", "text", F.explode(leads).alias("lead"))
-    hits = docs.join(items, "lead").where(F.contains("text", "excerpt"))
-    return hits.select("doc_id", "item_id", X.locate_excerpt(F.col("text"), F.col("excerpt"))["start"].cast("long").alias("start"))
+    """The benchmark passages inside documents; of those found, the SQL has the exact ones in English."""
+    items = v.table("benchmark").select("item_id", F.col("text").alias("excerpt"))
+    return retrieval.find_excerpts(v.table("documents").where("lang = 'en'").select("doc_id", "text"), items).where("exact").drop("exact")
 
 
 @query("z0_daily_windows", "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")

@@ -82,3 +82,14 @@ def test_the_bound_on_ratios_changes_no_pairing():
             want = rest.pop(ratios.index(max(ratios))) if ratios and max(ratios) >= compare.PAIRING else None
             assert mine.take(before) == want
         assert mine.left() == rest
+
+
+def test_excerpts_are_found_in_any_case_and_place(spark, tmp_path):
+    texts = ["xx small start of it yy", "SMALL  start *of* it", "tiny", "a small start", "Über den Berg gehen"]
+    items = spark.createDataFrame([(1, "small start of it"), (2, "tiny"), (3, "über den berg gehen"), (4, None), (5, "of it y")], "item_id long, text string")
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {(r["doc_id"], r["item_id"], r["start"], r["exact"]) for r in retrieval.find_excerpts(docs, items.withColumnRenamed("text", "excerpt")).collect()}
+    assert got == {(0, 1, 3, True), (0, 5, 15, True), (1, 1, None, False), (2, 2, 0, True), (4, 3, None, False)}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {tuple(r) for r in QUERIES["x21_excerpts"](spark, str(tmp_path)).collect()} == {(0, 1, 3), (0, 5, 15), (2, 2, 0)}
