@@ -14,7 +14,8 @@ cover it.  Suffixes of one name are an interval of the array with that longest c
 prefix; all but its earliest member are later copies.
 
 DataFrame functions only.  No group is collected: the array is sorted by range, names
-are aggregated before they are shuffled, and frames stay within one document.
+are aggregated before they are shuffled and written before they are joined, so that a very common line or run is
+a skewed join, which Spark splits, and no group; frames stay within one document.  Texts are shuffled once, at any size.
 """
 
 from __future__ import annotations
@@ -24,8 +25,6 @@ from pyspark.sql import functions as F
 
 from heddle.llm.store import Scratch
 
-#: At most so much is broadcast.
-BROADCAST_BYTES = 32 << 20
 WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -73,7 +72,7 @@ def repeated_lines(docs: DataFrame, min_words: int, scratch: Scratch) -> DataFra
         right = F.when(fits, F.element_at("run", F.greatest(F.col("n") - 2**j + 1, F.lit(1)))[f"r{j}"]).otherwise(right)
     windows = windows.select("doc_id", "h", "p", "n", left.alias("left"), right.alias("right"), F.transform(F.slice("run", 1, F.col("n")), lambda x: x["p"]).alias("covered"))
     windows = scratch.keep(windows.where("left is not null and right is not null"))
-    first = windows.groupBy("n", "left", "right").agg(F.min(F.struct("doc_id", "h", "p")).alias("first"), F.count("*").alias("times")).where("times > 1")
+    first = scratch.keep(windows.groupBy("n", "left", "right").agg(F.min(F.struct("doc_id", "h", "p")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times"))
     later = windows.join(first, ["n", "left", "right"]).where(F.struct("doc_id", "h", "p") != F.col("first"))
     covered = later.select("doc_id", "h", F.explode("covered").alias("p")).distinct()
     gone = covered.join(rows.select("doc_id", "h", "p", "pos"), ["doc_id", "h", "p"])
@@ -93,12 +92,9 @@ def dedup_lines(docs: DataFrame, min_words: int = 10) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "lines")
     gone = repeated_lines(docs.select("doc_id", "text").where("doc_id is not null"), min_words, scratch)
-    size = gone.agg(F.coalesce(F.sum(64 + 4 * F.size("gone")), F.lit(0)).alias("bytes")).first()["bytes"]
     gone = gone.select(F.col("doc_id").alias("__doc_id"), F.col("h").alias("__h"), F.col("gone").alias("__gone"))
-    # Split ahead of the join, so that the lambda below reads a column.
-    split = docs.select(*(c for c in docs.columns if c != "text"), F.split("text", "\n", -1).alias("__parts"), F.xxhash64("text").alias("__key"))
-    # Texts stay where they are as long as the positions to delete are few enough to travel; beyond, they are shuffled once.
-    found = split.join(F.broadcast(gone) if size <= BROADCAST_BYTES else gone, (F.col("doc_id") == F.col("__doc_id")) & (F.col("__key") == F.col("__h")), "left")
+    found = docs.withColumn("__key", F.xxhash64("text")).join(gone.hint("merge"), (F.col("doc_id") == F.col("__doc_id")) & (F.col("__key") == F.col("__h")), "left")
+    found = found.select(*(F.split("text", "\n", -1).alias("__parts") if c == "text" else c for c in docs.columns), "__gone")
     left = F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.array_join("__parts", "\n")).otherwise(F.array_join(F.transform(left, lambda i: F.get("__parts", i)), "\n"))
     n_lines = F.coalesce(F.size(F.filter("__parts", lambda x: x.rlike(WORD))), F.lit(0))

@@ -8,7 +8,9 @@ pairs that share a key are estimated jointly by likelihood from the registers an
 set sizes, and those that may reach the threshold are verified on the
 full sets of 64-bit shingle hashes.
 
-Scale.  Documents with equal sets are one class from the start, so a
+Scale.  Counts and hubs of buckets are written before the rows of their buckets are joined to them, and so are the sets of
+the hubs: a hot bucket or hub is then a skewed join, which Spark splits.  Texts are shuffled once, at any size.
+Documents with equal sets are one class from the start, so a
 group of exact copies costs a row each.  In a bucket all classes are held
 against its hub, the member with most company in all its buckets, never all pairs; links join classes to
 components, and only pairs of different components in one bucket are still open.  The last step is exact for
@@ -38,8 +40,6 @@ SKETCH_BASE, SKETCH_RATE, REGISTERS, ROWS_PER_BAND = 1.001, 20.0, 128, 4
 #: Pairs whose likelihood has its maximum below threshold - SLACK aren't verified: over five standard deviations.
 SLACK = 0.2
 HUB_ROUNDS = 2
-#: At most so many ids (about 40 bytes each) are broadcast.
-BROADCAST_IDS = 2_000_000
 #: A shingle in more open classes is frequent.
 RARE = 32
 
@@ -109,15 +109,19 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _full_sets(n: int):
+    """Of rows (id, text, sum of the set that stands for id) the sets of those that have that sum."""
     schema = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0)
             for a, b, data, offsets in tc.pieces(batch.column(1)):
-                sets = list(shingle_sets(data, offsets, n))
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], schema=schema)
+                want = batch.column(2).slice(a, b - a).to_numpy(zero_copy_only=False).view(np.uint64)
+                sets = [(k, s) for k, s in enumerate(shingle_sets(data, offsets, n)) if s.sum(dtype=np.uint64) == want[k]]
+                if sets:
+                    ends = np.concatenate([[0], np.cumsum([len(s) for _, s in sets])]).astype(np.int32)
+                    own = ids.slice(a, b - a).take(pa.array([k for k, _ in sets]))
+                    yield pa.RecordBatch.from_arrays([own, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([s for _, s in sets]).view(np.int64)))], schema=schema)
 
     return run
 
@@ -137,19 +141,21 @@ def likely(size_a: Column, size_b: Column, above: Column, below: Column, least:
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Of candidate pairs (a, b), once or repeated, those whose full sets reach percent."""
-    pairs = pairs.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """Of candidate pairs (a, b), once or repeated, those whose full sets reach percent.  b may be in any number of pairs (a hub)."""
+    pairs = scratch.keep(pairs.where(F.col("a") != F.col("b")).select("a", "b").distinct())
+    hubs = scratch.keep(pairs.select(F.col("b").alias("id")).distinct())
+    # The tables lie in buckets by id, which suits a; b's rows are written anew, without buckets, so that the join can split a hub.
+    side = lambda table, v, c: (table if c == "a" else scratch.keep(table.join(hubs, "id", "left_semi"))).select(F.col("id").alias(c), *(F.col(x).alias(f"{y}_{c}") for x, y in v.items()))
     for c in "ab":
-        pairs = pairs.join(classes.select(F.col("id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}")), c)
+        pairs = pairs.join(side(classes, {"n_shingles": "n", "registers": "r"}, c), c)
     sign = F.zip_with("r_a", "r_b", lambda x, y: F.when(x > y, 1).when(x < y, -1).otherwise(0))
     count = lambda k: F.size(F.filter("signs", lambda x: x == k))
     close = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b", "n_a", "n_b", sign.alias("signs"))
     close = scratch.keep(close.where(likely(F.col("n_a"), F.col("n_b"), count(1), count(-1), percent / 100 - SLACK)).select("a", "b", "n_a", "n_b"))
     for c in "ab":
-        close = close.join(sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s_{c}")), c)
+        close = close.join(side(sets, {"shingles": "s"}, c), c)
     shared = F.size(F.array_intersect("s_a", "s_b"))
-    links = scratch.keep(close.withColumn("shared", shared).where(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b"))
-    return links
+    return scratch.keep(close.withColumn("shared", shared).where(100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))).select("a", "b"))
 
 
 def _open_pairs(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -174,9 +180,11 @@ def _open_pairs(rows: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
     by_rare = met.where(reaches(F.least("f_a", "f_b") + F.col("rare"))).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     # The rest share frequent shingles only, so each needs enough of them for the smallest partner of its bucket.
     full = rows.drop("component").join(sized, "id")
-    smallest = full.groupBy("band", "key").agg(F.min("n").alias("least"))
+    full = scratch.keep(full)
+    smallest = scratch.keep(full.groupBy("band", "key").agg(F.min("n").alias("least")))
     able = full.join(smallest, ["band", "key"]).where((100 + percent) * F.col("f") >= percent * (F.col("n") + F.greatest(F.col("least"), percent * F.col("n") / 100)))
-    keys = able.groupBy("band", "key").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other").select("band", "key")
+    able = scratch.keep(able)
+    keys = scratch.keep(able.groupBy("band", "key").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other").select("band", "key"))
     able = scratch.keep(able.drop("least").join(keys, ["band", "key"]).join(classes.select("id", "bands"), "id"))
     # A pair that reaches is able in each bucket that it shares, so it is listed in the first of them alone.
     first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) == F.col("band") + 1
@@ -191,7 +199,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     ``words``-word shingles (A-Z folded; a text of fewer words is one shingle).
     Null, empty and blank texts have no shingles and are linked with
     nothing.  Of each component the smallest doc_id is kept.  A doc_id that
-    occurs twice is one node and has a row per occurrence; rows without a doc_id come
+    occurs twice is one node and has a row per occurrence; of its texts the one whose set has the smallest sums
+    stands for it.  Rows without a doc_id come
     back unlinked, with null component_id, and are kept.  Only doc_id and text are read, so
     other columns may have any name.
     """
@@ -200,29 +209,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     docs = docs.select("doc_id", "text")
     every = scratch.keep(sketches(docs, words))
     known = every.where("n_shingles > 0 and doc_id is not null")
-    named = known.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id"))
-    member = scratch.keep(known.select("doc_id", "set_a", "set_b", "n_shingles").join(named, ["set_a", "set_b", "n_shingles"]).select("doc_id", "id"))
-    own = known.join(member.where("doc_id = id").select("doc_id", "id").distinct(), "doc_id", "left_semi")
-    classes = scratch.keep_by(own.select(F.col("doc_id").alias("id"), "n_shingles", "registers", "bands"), "id")
+    chosen = known.groupBy("doc_id").agg(F.min(F.struct("set_a", "set_b", "n_shingles")).alias("x")).select("doc_id", "x.*")
+    chosen = scratch.keep(chosen)
+    named = scratch.keep(chosen.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id")))
+    member = scratch.keep(chosen.join(named, ["set_a", "set_b", "n_shingles"]).select("doc_id", "id"))
+    own = known.join(named.select(F.col("id").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi")
+    classes = scratch.keep_by(own.select(F.col("doc_id").alias("id"), "set_a", "n_shingles", "registers", "bands"), "id")
     bands = classes.select("id", F.posexplode("bands").alias("band", "key"))
     # Only keys that two classes share stay.
-    shared = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = scratch.keep(bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"))
     open_bands = scratch.keep(bands.join(shared, ["band", "key"]))
     company = open_bands.groupBy("id").agg(F.sum("n").alias("company"))
     open_bands = scratch.keep(open_bands.join(company, "id").select("band", "key", "id", F.struct(F.col("company"), (-F.col("id")).alias("o")).alias("rank")))
     links, component = None, None
-    # Texts stay where they are as long as the ids of classes that share a bucket are few enough to travel; beyond, they are shuffled this one time.
-    ids = scratch.keep(open_bands.select(F.col("id").alias("doc_id")).distinct())
-    near = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    sets = scratch.keep_by(near.mapInArrow(_full_sets(words), "id long, shingles array<long>"), "id")
+    # Of the texts, those of classes that share a bucket are read once more; this is the one shuffle of texts.
+    ids = classes.join(open_bands.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("doc_id"), "set_a")
+    near = docs.join(scratch.keep(ids).hint("merge"), "doc_id")
+    sets = scratch.keep_by(near.select("doc_id", "text", "set_a").mapInArrow(_full_sets(words), "id long, shingles array<long>"), "id")
 
     def mixed() -> DataFrame:
         """Rows of buckets that still hold several components."""
         if component is None:
             return open_bands.withColumn("component", F.col("id"))
         rows = open_bands.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        rows = scratch.keep(rows)
         keys = rows.groupBy("band", "key").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other").select("band", "key")
-        return rows.join(keys, ["band", "key"])
+        return rows.join(scratch.keep(keys), ["band", "key"])
 
     def linked(pairs: DataFrame) -> None:
         nonlocal links, component
@@ -234,9 +246,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     for turn in range(HUB_ROUNDS):
         rows = scratch.keep(mixed()) if turn else mixed()
-        hubs = rows.groupBy("band", "key").agg(F.max_by(F.struct("id", "component"), "rank").alias("hub"))
+        hubs = scratch.keep(rows.groupBy("band", "key").agg(F.max_by(F.struct("id", "component"), "rank").alias("hub")))
         if turn:  # the first hub has met all; the next is the one outside its component with most company
-            hubs = rows.join(hubs, ["band", "key"]).where("component <> hub.component").groupBy("band", "key").agg(F.max_by(F.struct("id", "component"), "rank").alias("hub"))
+            hubs = scratch.keep(rows.join(hubs, ["band", "key"]).where("component <> hub.component").groupBy("band", "key").agg(F.max_by(F.struct("id", "component"), "rank").alias("hub")))
         linked(rows.join(hubs, ["band", "key"]).where("component <> hub.component").select(F.col("id").alias("a"), F.col("hub.id").alias("b")))
     linked(_open_pairs(scratch.keep(mixed().select("band", "key", "id", "component")), classes, sets, percent, scratch))
     smallest = member.join(component, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component")).distinct()
