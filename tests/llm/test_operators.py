@@ -169,16 +169,16 @@ def test_line_dedup_edge_rows(spark, empty):
 def test_mixing_stays_within_a_block_of_the_weights(spark, empty):
     rows = [(k, "a" if k < 2000 else "b" if k < 2700 else None) for k in range(3000)]
     weights = {"a": 5, "b": 3, "": 2}
-    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_docs=10, period=100, range_docs=150).orderBy("mix_slot", "mix_offset").collect()
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_docs=10, range_docs=150).orderBy("mix_slot", "mix_offset").collect()
     assert sorted(r["doc_id"] for r in got) == list(range(3000))
     slots = sorted({(r["mix_slot"], r["source"] or "") for r in got})
     assert len({s for s, _ in slots}) == len(slots)
-    done, units = Counter(), {"a": 50, "b": 30, "": 20}
+    done = Counter()
     for t, (slot, source) in enumerate(slots):
         if slot != t:  # the first source has ended
             break
         done[source] += 1
-        assert all(abs(done[s] - (t + 1) * u / 100) < 1 for s, u in units.items())
+        assert all(abs(10 * done[s] - (t + 1) * w) < 10 for s, w in weights.items())
     assert t > 100
     places = sorted((r["source"] or "", r["mix_block"], r["mix_offset"]) for r in got)
     assert len(set(places)) == 3000
@@ -187,6 +187,29 @@ def test_mixing_stays_within_a_block_of_the_weights(spark, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_schedule_keeps_to_given_weights(spark):
+    """Ten skewed sources whose weights have no short period: less than one block from the given weights after each of 100,000 slots."""
+    weights = {f"s{k}": w for k, w in enumerate([999_983, 421_001, 77_773, 50_021, 9_973, 3_001, 997, 101, 11, 1])}
+    total = sum(weights.values())
+    counts = spark.createDataFrame([(s, 32 * (100_000 * w // total)) for s, w in weights.items()], "__source string, n long")
+    picked = mixing.schedule(mixing.source_weights(counts, 1000, weights), 32).orderBy("slot").limit(100_000).collect()
+    assert [r["slot"] for r in picked] == list(range(len(picked))) and len(picked) > 99_000
+    done = Counter()
+    for t, r in enumerate(picked, 1):
+        assert r["nth"] == done[r["__source"]]
+        done[r["__source"]] += 1
+        assert all(abs(done[s] * total - t * w) < total for s, w in weights.items())
+    with pytest.raises(ValueError):
+        mixing.source_weights(counts, 1000, {"s1": 0})
+
+
+def test_mixing_of_repeated_rows_and_ties(spark):
+    rows = [(None, None)] * 40 + [(7, "a")] * 40 + [(k, "b") for k in range(40)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block_docs=4, range_docs=10).collect()
+    assert len(got) == 120 and len({(r["mix_slot"], r["mix_offset"]) for r in got}) == 120
+    assert {r["mix_offset"] for r in got} == {0, 1, 2, 3}
+
+
 def test_decontamination_finds_edited_items_and_nothing_else(spark, empty):
     rng = random.Random(4)
     vocabulary = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("n", "r", "st", "l", "mp", "th")]
