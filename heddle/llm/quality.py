@@ -3,11 +3,16 @@
 The sketch of a measure is its histogram over integer buckets that keep the seven leading
 binary digits (relative error below 1/64).  Histograms of any two sets of documents
 merge by adding counts, exactly and in any order, so the result doesn't depend on
-partitions.  A group's fence for a measure is its upper quartile plus the larger of
-``spread`` times the quartile distance and a least distance; groups with
-fewer than ``least_docs`` documents take the merged sketch of their language, and small
-languages that of all documents.  Documents beyond a fence are rejected, as are
-those that fail the base rules.
+partitions.  A level's fences for a measure lie ``spread`` quartile distances outside its quartiles.  A
+language's fences are drawn toward those of all documents, and a source's toward its language's, as if ``prior`` documents had
+the fences of the level above: no group is too small for fences of its own, and none hangs on few documents.
+
+A measure is a share a / b, so a document is beyond a fence only if a is farther from b times the fence than
+``spread`` standard deviations of a count of that size (plus one), in units that repeats come in.  So one
+symbol or repeated line in a short text is no reason to reject it even where most texts have none.
+Documents beyond a fence are rejected, as are those that fail the base rules.
+
+Each text is read and measured once; the measures are written beside the columns that are asked for, and sketches and verdicts read that table.
 """
 
 from __future__ import annotations
@@ -27,8 +32,11 @@ _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", dtype=np.uint8))
 _HEAD = (np.arange(256) & 0xC0) != 0x80
 _UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
 
-#: Per measure: least distance of the fence above the upper quartile, in thousandths.
-LEAST_DISTANCE = {"symbol_share": 100, "upper_share": 200, "dup_line_share": 500, "repeat_share": 400, "word_length": 2500}
+#: The adaptive rules' measures: numerator, denominator, unit of the numerator (a window that occurs twice repeats six words), and whether there is a lower fence too.
+MEASURES = {
+    "symbol_share": ("n_symbols", "n_words", 1, False), "upper_share": ("n_upper", "n_chars", 1, True), "dup_line_share": ("n_dup_lines", "n_lines", 1, False),
+    "repeat_share": ("n_repeat_words", "n_words", 6, False), "word_length": ("word_chars", "n_words", 1, True),
+}
 
 
 def _by_doc(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -92,12 +100,8 @@ def base_failed(m: Column) -> Column:
 
 
 def shares(m: Column) -> dict[str, Column]:
-    """The adaptive rules' measures, in thousandths."""
-    part = lambda a, b: F.floor(1000 * m[a] / F.greatest(m[b], F.lit(1))).cast("long")
-    return {
-        "symbol_share": part("n_symbols", "n_words"), "upper_share": part("n_upper", "n_chars"), "dup_line_share": part("n_dup_lines", "n_lines"),
-        "repeat_share": part("n_repeat_words", "n_words"), "word_length": part("word_chars", "n_words"),
-    }
+    """The measures in thousandths."""
+    return {k: F.floor(1000 * m[a] / F.greatest(m[b], F.lit(1))).cast("long") for k, (a, b, _, _) in MEASURES.items()}
 
 
 def bucket(value: Column) -> Column:
@@ -112,65 +116,69 @@ def sketches(measured: DataFrame) -> DataFrame:
     return measured.where(~base_failed(F.col("__m"))).select("__lang", "__source", listed.alias("x")).groupBy("__lang", "__source", "x.measure", "x.bucket").agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame, least_docs: int, spread: float) -> DataFrame:
-    """__lang, __source and a fence per measure."""
-    levels = {"own": ["__lang", "__source"], "lang": ["__lang"], "all": []}
-    found = None
-    groups = sketch.select("__lang", "__source").distinct()
-    for level, keys in levels.items():
+def fences(sketch: DataFrame, prior: float, spread: float) -> DataFrame:
+    """__lang, __source and per measure its fences (<measure>_low, <measure>_high), in thousandths."""
+    found = sketch.select("__lang", "__source").distinct()
+    for level, keys in {"all": [], "lang": ["__lang"], "own": ["__lang", "__source"]}.items():
         merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
         names = ", ".join([*keys, "measure"])
         ranked = merged.select(*keys, "measure", "bucket", F.expr(f"sum(n) over (partition by {names} order by bucket)").alias("up_to"), F.expr(f"sum(n) over (partition by {names})").alias("total"))
         quartile = lambda p: F.min(F.when(F.col("up_to") * 100 >= F.col("total") * p, F.col("bucket")))
-        at = ranked.groupBy(*keys, "measure").agg(quartile(25).alias("low"), quartile(75).alias("high"), F.first("total").alias("docs"))
-        gap = F.coalesce(*(F.when(F.col("measure") == k, F.lit(float(v))) for k, v in LEAST_DISTANCE.items()))
-        at = at.withColumn("fence", F.col("high") + F.greatest(F.lit(spread) * (F.col("high") - F.col("low")), gap))
-        at = at.groupBy(*keys).agg(F.first("docs").alias(f"docs_{level}"), *(F.max(F.when(F.col("measure") == k, F.col("fence"))).alias(f"{k}_{level}") for k in LEAST_DISTANCE))
-        at = at.select(*(F.col(k).alias(f"k{k}") for k in keys), *(c for c in at.columns if c not in keys))
-        match = F.lit(True)
-        for k in keys:
-            match = match & F.col(k).eqNullSafe(F.col(f"k{k}"))
-        found = (groups if found is None else found).join(at, match, "left").drop(*(f"k{k}" for k in keys))
-    # Documents of a group without a sketch have failed the base rules, so they need no fence.
-    pick = lambda k: F.when(F.col("docs_own") >= least_docs, F.col(f"{k}_own")).when(F.col("docs_lang") >= least_docs, F.col(f"{k}_lang")).otherwise(F.col(f"{k}_all")).alias(f"__{k}")
-    return found.select(F.col("__lang").alias("__for_lang"), F.col("__source").alias("__for_source"), *map(pick, LEAST_DISTANCE))
-
-
-def judged(docs: DataFrame, least_docs: int = 200, spread: float = 6.0) -> DataFrame:
-    """docs with __m (the measures), __base_failed and __kept.
+        at = ranked.groupBy(*keys, "measure").agg(quartile(25).alias("q25"), quartile(75).alias("q75"), F.first("total").alias("docs"))
+        gap = F.lit(spread) * (F.col("q75") - F.col("q25"))
+        at = at.select(*keys, "measure", "docs", (F.col("q25") - gap).alias("low"), (F.col("q75") + gap).alias("high"))
+        ends = [F.max(F.when(F.col("measure") == k, F.col(e))).alias(f"{k}_{e}_{level}") for k in MEASURES for e in ("low", "high")]
+        at = at.groupBy(*(F.col(k).alias(f"k{k}") for k in keys)).agg(F.first("docs").alias(f"docs_{level}"), *ends)
+        # The languages and groups of a corpus are few; all documents are one row, so its join is no product.
+        match = [F.col(k).eqNullSafe(F.col(f"k{k}")) for k in keys]
+        found = (found.join(at, match, "left") if keys else found.crossJoin(F.broadcast(at))).drop(*(f"k{k}" for k in keys))
+    drawn = lambda level, above, e: (F.col(f"docs_{level}") * F.col(f"{e}_{level}") + prior * above) / (F.col(f"docs_{level}") + prior)
+    ends = [f"{k}_{e}" for k in MEASURES for e in ("low", "high")]
+    return found.select(F.col("__lang").alias("__for_lang"), F.col("__source").alias("__for_source"), *(drawn("own", drawn("lang", F.col(f"{e}_all"), e), e).alias(f"__{e}") for e in ends))
+
+
+def judged(docs: DataFrame, columns: list[str] | None = None, prior: float = 10.0, spread: float = 6.0) -> DataFrame:
+    """columns of docs (all by default) with __m (the measures), __base_failed and __kept.
 
     Null and empty texts have no words, so they fail the base rules.  Null languages and
-    sources are groups of their own.  Repeated rows are judged one by one.
+    sources are groups of their own.  Repeated rows are judged one by one and alike.  An empty table gives an empty one.
     Other columns may have any name that does not start with two underscores.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    have = docs.columns
-    measured = docs.select("*", measures("text").alias("__m"), F.col("lang").alias("__lang"), F.col("source").alias("__source"))
-    fence = scratch.keep(fences(scratch.keep(sketches(measured.select("__lang", "__source", "__m"))), least_docs, spread).coalesce(1))
+    have = docs.columns if columns is None else columns
+    measured = scratch.keep(docs.select(*have, measures("text").alias("__m"), F.col("lang").alias("__lang"), F.col("source").alias("__source")))
+    fence = scratch.keep(fences(scratch.keep(sketches(measured.select("__lang", "__source", "__m"))), prior, spread).coalesce(1))
     match = F.col("__lang").eqNullSafe(F.col("__for_lang")) & F.col("__source").eqNullSafe(F.col("__for_source"))
     beyond = F.lit(False)
-    for k, c in shares(F.col("__m")).items():
-        beyond = beyond | F.coalesce(c > F.col(f"__{k}"), F.lit(False))
+    for k, (a, b, unit, lower) in MEASURES.items():
+        a, b = F.col("__m")[a], F.greatest(F.col("__m")[b], F.lit(1))
+        noise = lambda at, unit=unit: spread * unit * F.sqrt(at / unit + 1)
+        high = b * F.col(f"__{k}_high") / 1000
+        beyond = beyond | F.coalesce(a > high + noise(high), F.lit(False))
+        if lower:
+            low = F.greatest(b * F.col(f"__{k}_low") / 1000, F.lit(0.0))
+            beyond = beyond | F.coalesce(a < low - noise(low), F.lit(False))
+    # Documents of a group without a sketch have failed the base rules, so they need no fence.
     failed = base_failed(F.col("__m"))
     return measured.join(fence, match, "left").select(*have, "__m", failed.alias("__base_failed"), (~failed & ~beyond).alias("__kept"))
 
 
 def quality_filter(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of docs that pass, with their columns."""
+    """The rows of docs that pass, with their columns; null and empty texts don't pass, repeated rows pass alike, an empty table gives an empty one."""
     return judged(docs, **parameters).where("__kept").select(*docs.columns)
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
-    rows = judged(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
+    rows = judged(spark.read.parquet(f"{sf_dir}/documents.parquet"), columns=["doc_id"])
     return rows.select("doc_id", *(F.col("__m")[f].alias(f) for f in FIELDS[:5]), F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
 def _oracle() -> str:
-    share = {"symbol_share": ("n_symbols", "n_words"), "upper_share": ("n_upper", "n_chars"), "dup_line_share": ("n_dup_lines", "n_lines"), "repeat_share": ("n_repeat_words", "n_words"), "word_length": ("word_chars", "n_words")}
-    listed = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{k}' AS measure, (1000 * {a}) // greatest({b}, 1) AS v FROM m WHERE NOT base_failed" for k, (a, b) in share.items())
-    gap = "CASE measure " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in LEAST_DISTANCE.items()) + " END"
-    level = lambda name, keys: f"""{name} AS (SELECT {keys} measure, max(total) AS docs, min(bucket) FILTER (up_to * 100 >= total * 75) + greatest(6.0 * (min(bucket) FILTER (up_to * 100 >= total * 75) - min(bucket) FILTER (up_to * 100 >= total * 25)), {gap}) AS fence
-  FROM (SELECT {keys} measure, bucket, sum(count(*)) OVER (PARTITION BY {keys} measure ORDER BY bucket) AS up_to, sum(count(*)) OVER (PARTITION BY {keys} measure) AS total FROM b GROUP BY {keys} measure, bucket) GROUP BY {keys} measure)"""
+    listed = " UNION ALL ".join(f"SELECT doc_id, lang, source, '{k}' AS measure, {a} AS a, greatest({b}, 1) AS b, {unit} AS unit, {lower} AS lower, (1000 * {a}) // greatest({b}, 1) AS v FROM m WHERE NOT base_failed" for k, (a, b, unit, lower) in MEASURES.items())
+    level = lambda name, keys: f"""{name} AS (SELECT {keys} measure, docs, q25 - 6.0 * (q75 - q25) AS low, q75 + 6.0 * (q75 - q25) AS high
+  FROM (SELECT {keys} measure, max(total)::DOUBLE AS docs, (min(bucket) FILTER (up_to * 100 >= total * 25))::DOUBLE AS q25, (min(bucket) FILTER (up_to * 100 >= total * 75))::DOUBLE AS q75
+  FROM (SELECT {keys} measure, bucket, sum(count(*)) OVER (PARTITION BY {keys} measure ORDER BY bucket) AS up_to, sum(count(*)) OVER (PARTITION BY {keys} measure) AS total FROM b GROUP BY {keys} measure, bucket) GROUP BY {keys} measure))"""
+    drawn = lambda e: f"(own.docs * own.{e} + 10.0::DOUBLE * ((per.docs * per.{e} + 10.0::DOUBLE * total.{e}) / (per.docs + 10.0::DOUBLE))) / (own.docs + 10.0::DOUBLE)"
     return rf"""
 WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
@@ -181,10 +189,11 @@ m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(text) AS n_chars
   FROM w LEFT JOIN r ON r.doc_id = w.doc_id)),
 v AS ({listed}),
-b AS (SELECT doc_id, lang, source, measure, v, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS bucket FROM v),
+b AS (SELECT doc_id, lang, source, measure, a, b, unit, lower, (v >> greatest(length(bin(v)) - 7, 0)) << greatest(length(bin(v)) - 7, 0) AS bucket FROM v),
 {level("own", "lang, source,")}, {level("per", "lang,")}, {level("total", "")},
-j AS (SELECT v.doc_id, bool_or(v > CASE WHEN own.docs >= 200 THEN own.fence WHEN per.docs >= 200 THEN per.fence ELSE total.fence END) AS beyond
-  FROM v JOIN own ON own.lang IS NOT DISTINCT FROM v.lang AND own.source IS NOT DISTINCT FROM v.source AND own.measure = v.measure JOIN per ON per.lang IS NOT DISTINCT FROM v.lang AND per.measure = v.measure JOIN total ON total.measure = v.measure GROUP BY v.doc_id)
+e AS (SELECT b.doc_id, a, unit, lower, b * {drawn("high")} / 1000 AS high, greatest(b * {drawn("low")} / 1000, 0.0::DOUBLE) AS low
+  FROM b JOIN own ON own.lang IS NOT DISTINCT FROM b.lang AND own.source IS NOT DISTINCT FROM b.source AND own.measure = b.measure JOIN per ON per.lang IS NOT DISTINCT FROM b.lang AND per.measure = b.measure JOIN total ON total.measure = b.measure),
+j AS (SELECT doc_id, bool_or(a > high + 6.0::DOUBLE * unit * sqrt(high / unit + 1) OR lower AND a < low - 6.0::DOUBLE * unit * sqrt(low / unit + 1)) AS beyond FROM e GROUP BY doc_id)
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(beyond, false) AS kept FROM m LEFT JOIN j ON j.doc_id = m.doc_id
 """
 
