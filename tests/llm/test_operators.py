@@ -214,7 +214,7 @@ def test_decontamination_finds_edited_items_and_nothing_else(spark, empty):
     rng = random.Random(4)
     vocabulary = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("n", "r", "st", "l", "mp", "th")]
     text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
-    items = [(k, text(rng.randrange(8, 60))) for k in range(40)] + [(90, "too short"), (91, None), (92, "")]
+    items = [(k, text(rng.randrange(8, 60))) for k in range(40)] + [(90, "very short"), (91, None), (92, "")]
     rows, planted = [], set()
     for k in range(400):
         words = text(200).split()
@@ -242,6 +242,48 @@ def test_decontamination_finds_edited_items_and_nothing_else(spark, empty):
     assert decontaminate.decontaminate(docs, benchmark.limit(0)).count() == len(rows)
 
 
+@pytest.mark.parametrize(("least", "most"), [(1, 4), (5, 7), (8, 13), (14, 25), (26, 59), (60, 150)])
+def test_decontamination_recall_at_the_full_edit_share(least, most):
+    """By class of lengths: 300 plants with as many edits (a fifth of the words) as are allowed."""
+    rng = random.Random(least)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgkpt" for b in "aeiou" for c in ("n", "r", "st", "l", "mp", "th", "")]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(k, text(rng.randrange(least, most + 1))) for k in range(60)]
+    index = decontaminate.Index.build([(k, " ".join(words)) for k, words in items], 0.2, 0.995)
+    assert [len(w) for w in index.words] == [len(w) for _, w in items]
+    texts, planted = [], []
+    for _ in range(300):
+        k, part = rng.choice(items)
+        part = list(part)
+        for at in sorted(rng.sample(range(len(part)), len(part) // 5), reverse=True):
+            part[at : at + 1] = rng.choice([["changed"], [], [part[at], "added"]])
+        words = text(120)
+        words[60:60] = part
+        texts.append(" ".join(words))
+        planted.append(k)
+    data, offsets = textcore.text_bytes(pa.array(texts))
+    found = {(d, index.ids[n]): e for d, n, e, _ in decontaminate.search(index, data, offsets, 0.2)}
+    near = [d for d, k in enumerate(planted) if brute_fit(dict(items)[k], texts[d].split()) <= len(dict(items)[k]) // 5]
+    assert len(near) > 280
+    share = np.mean([(d, planted[d]) in found for d in near])
+    print(f"recall for {least} to {most} words: {share:.3f}")
+    assert share == 1.0 if most <= decontaminate.SHORT else share >= 0.97
+    for (d, k), edits in list(found.items())[:50]:
+        assert edits >= brute_fit(dict(items)[k], texts[d].split())
+
+
+def test_decontamination_edge_rows(spark):
+    long = "filler word " * 60_000 + "the exact item of seven plain words"
+    rows = [(1, long, "a"), (1, long, "b"), (None, "The EXACT item of seven, plain words!", "c"), (2, "nothing of it here", "d"), (3, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
+    items = spark.createDataFrame([(5, "the exact item of seven plain words"), (6, "the exact item of seven plain words"), (7, "no")], "item_id long, text string")
+    got = sorted((str(r["doc_id"]), r["item_id"], r["n_edits"]) for r in decontaminate.contaminated(docs, items).collect())
+    assert got == [("1", 5, 0), ("1", 5, 0), ("1", 6, 0), ("1", 6, 0), ("None", 5, 0), ("None", 6, 0)]
+    for size in (1 << 20, 40):
+        left = decontaminate.decontaminate(docs, items, block_bytes=size)
+        assert left.columns == docs.columns and sorted(r["item_id"] or "" for r in left.collect()) == ["", "d"]
+
+
 def brute_fit(item: list[str], text: list[str]) -> int:
     row = [0] * (len(text) + 1)
     for i, w in enumerate(item, 1):
