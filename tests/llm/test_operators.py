@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -410,6 +411,29 @@ def test_url_rules_and_model(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_model_on_held_out_hosts(spark):
+    """Five fits, each judged on the fifth of the labelled hosts that it hasn't seen."""
+    fold = lambda url: zlib.crc32(url.split("://")[1].encode()) % 5
+    blocked = Counter()
+    for k in range(5):
+        rows = [(n, url) for n, (url, _) in enumerate(urls.LABELLED) if fold(url) == k]
+        seen = [x for x in urls.LABELLED if fold(x[0]) != k]
+        for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), [], seen).collect():
+            blocked[urls.LABELLED[r["page_id"]][1], r["verdict"]] += 1
+    total = sum(blocked.values())
+    print(dict(blocked))
+    assert total == len(urls.LABELLED)
+    assert blocked[0, "block"] <= 0.1 * total and (blocked[1, "block"] + blocked[0, "allow"]) >= 0.75 * total
+
+
+def test_url_rule_ties_and_edge_rows(spark):
+    """Of rules of equal length the first in order of host and path decides; repeated rows and other columns change nothing."""
+    rules = [("b.test", "/a", "block"), ("a.b.test", "", "allow"), ("b.test", "/x", "allow")]
+    rows = spark.createDataFrame([(1, "http://a.b.test/a", "r"), (1, "http://a.b.test/a", "s"), (None, "http://B.test/x?y", "t"), (2, None, "u")], "page_id long, url string, rule string")
+    got = sorted((str(r["page_id"]), r["rule"], r["verdict"]) for r in urls.judge(rows, rules).collect() if r["rule"])
+    assert got == [("1", "a.b.test", "allow"), ("1", "a.b.test", "allow"), ("None", "b.test/x", "allow")]
+
+
 def test_warc_round_trip_with_revisits(spark, tmp_path):
     rng = random.Random(7)
     rows = [(k, f"http://x/{k}", prose(rng, 50) if k % 3 else "the same page " * 30) for k in range(300)]
