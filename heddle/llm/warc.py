@@ -1,7 +1,8 @@
 """WARC archives in Zstandard: a dictionary in the leading skippable frame, one frame per record.
 
-Archives are rows (path, content), the shape of Spark's binaryFile source, so that the reader takes real
-.warc.zst files as well as a written table, and neither side opens local files.
+Archives are rows (path, content), the shape of Spark's binaryFile source, so that the reader takes
+.warc.zst files and written tables alike; save_archives writes the rows as files into a folder that all executors share.
+The reader takes records of all types; those that aren't HTTP messages have their block as payload.
 The writer puts each distinct payload into one response record; records with the
 same payload and a larger page_id become revisits that refer to it.
 """
@@ -12,6 +13,7 @@ import base64
 import hashlib
 import io
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -116,32 +118,58 @@ def _header(block: bytes, first: bytes) -> tuple[dict[str, str], int]:
     return fields, end + 4
 
 
+PAGE = "<urn:page:"
+
+
 def parse(raw: bytes) -> tuple:
-    """(page_id, url, type, payload or None, payload bytes, digest, refers_to) of a record; ValueError if it isn't valid."""
+    """A record's fields in the order of RECORDS, without path and problem; ValueError if it isn't valid.
+
+    Its header has the four mandatory fields, the block has the length that it gives, and sha1 digests of block and payload
+    hold where they are given (of a revisit the payload digest is that of the record that it refers to).  The payload of a block with an HTTP header is what follows
+    the header, of other records the block itself; a revisit's is null.
+    """
     fields, at = _header(raw, b"WARC/1.")
     missing = {"warc-type", "warc-record-id", "warc-date", "content-length"} - fields.keys()
     if missing:
         raise ValueError(f"no {sorted(missing)[0]}")
     length = int(fields["content-length"])
-    if len(raw) != at + length + 4 or raw[-4:] != b"\r\n\r\n":
+    if length < 0 or len(raw) != at + length + 4 or raw[-4:] != b"\r\n\r\n":
         raise ValueError("content-length differs from the block")
-    kind = fields["warc-type"]
-    if kind not in ("response", "revisit"):
-        raise ValueError(f"a record of type {kind}")
-    number = lambda name: int(x) if (x := fields.get(name, "").removeprefix("<urn:page:").removesuffix(">")) else None
-    block = raw[at : at + length]
-    http, body = _header(block, b"HTTP/1.")
-    size, digest = int(http.get("content-length", len(block) - body)), fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    payload = block[body:]
-    if kind == "response" and (size != len(payload) or digest != base64.b32encode(hashlib.sha1(payload).digest()).decode()):
-        raise ValueError("length or digest differs from the payload")
-    if kind == "revisit" and (payload or number("warc-refers-to") is None):
-        raise ValueError("a revisit with a payload or without a reference")
-    return number("warc-record-id"), fields.get("warc-target-uri"), kind, payload if kind == "response" else None, size, digest, number("warc-refers-to")
+    kind, block = fields["warc-type"].lower(), raw[at : at + length]
+    sha1 = lambda data: base64.b32encode(hashlib.sha1(data).digest()).decode()
+    given = {name: value.removeprefix("sha1:").upper() for name in ("warc-block-digest", "warc-payload-digest") if (value := fields.get(name, "")).startswith("sha1:")}
+    if given.get("warc-block-digest", sha1(block)) != sha1(block):
+        raise ValueError("the digest differs from the block")
+    payload, size = block, length
+    if block.startswith(b"HTTP/") and kind in ("response", "revisit") or "application/http" in fields.get("content-type", "") and kind == "request":
+        head = block.partition(b"\r\n\r\n")[0].split(b"\r\n")
+        payload = block[len(b"\r\n".join(head)) + 4 :]
+        http = {name.strip().lower(): value.strip() for name, _, value in (line.partition(b":") for line in head[1:])}
+        stated = http.get(b"content-length", b"")
+        size = int(stated) if stated.isdigit() else len(payload)
+        # A chunked or compressed body may differ from the length that its server stated.
+        if kind != "revisit" and size != len(payload) and not {b"transfer-encoding", b"content-encoding"} & http.keys():
+            raise ValueError("the HTTP content-length differs from the payload")
+        size = size if kind == "revisit" else len(payload)
+    digest = given.get("warc-payload-digest")
+    refers = fields.get("warc-refers-to")
+    if kind == "revisit":
+        if payload and payload is not block:
+            raise ValueError("a revisit with a payload")
+        if refers is None and "warc-refers-to-target-uri" not in fields:
+            raise ValueError("a revisit without a reference")
+        payload = None
+    elif digest is None:
+        digest = sha1(payload)
+    elif digest != sha1(payload):
+        raise ValueError("the digest differs from the payload")
+    number = lambda x: int(x[len(PAGE) : -1]) if x and x.startswith(PAGE) and x[len(PAGE) : -1].lstrip("-").isdigit() else None
+    return fields["warc-record-id"], number(fields["warc-record-id"]), fields.get("warc-target-uri"), fields["warc-date"], kind, payload, size, digest, refers, number(refers)
 
 
 ARCHIVES = "path string, content binary"
-RECORDS = "path string, page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long, problem string"
+RECORDS = "path string, record_id string, page_id long, url string, date string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to_record string, refers_to long, problem string"
+_EMPTY = (None,) * 10
 
 
 def _write(batches):
@@ -174,39 +202,81 @@ def write_archives(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     Of rows with equal payloads (html in UTF-8; null counts as empty) of at least least_bytes, those with the smallest page_id
     are responses, the others revisits that refer to it; rows without a page_id are responses. A null
     url is left out of its record; line breaks in one are escaped.  Other columns may have any name.
-    An empty table gives no archive.
+    An empty table gives no archive.  A task holds one archive of about ARCHIVE_BYTES and one page's payload, of at most 2 GB (Arrow's limit for a cell).
+
+    Which payloads are equal is found out on (page_id, digest) alone; of each row with an id the html is shuffled once, by page_id, so
+    many pages with the same payload are spread over all tasks.
     """
+    spark = pages.sparkSession
     rows = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("__digest"))
-    first = rows.where("page_id is not null").groupBy("__digest").agg(F.min("page_id").alias("__first"))
-    refers = F.when((F.col("page_id") != F.col("__first")) & (F.octet_length(F.coalesce("html", F.lit(""))) >= least_bytes), F.col("__first"))
-    return rows.join(first, "__digest", "left").select("page_id", "url", "html", "__digest", refers.alias("__refers")).mapInArrow(_write, ARCHIVES)
+    narrow = rows.where(F.col("page_id").isNotNull() & (F.octet_length(F.coalesce("html", F.lit(""))) >= least_bytes)).select("page_id", "__digest").distinct()
+    scratch = Scratch(spark, "digests")
+    narrow = scratch.keep(narrow)
+    first = scratch.keep(narrow.groupBy("__digest").agg(F.min("page_id").alias("__refers")))
+    revisits = narrow.join(first, "__digest").where("page_id <> __refers").select("page_id", "__digest", "__refers")
+    rows = rows.join(scratch.keep(revisits).hint("merge"), ["page_id", "__digest"], "left")
+    return rows.select("page_id", "url", "html", "__digest", "__refers").mapInArrow(_write, ARCHIVES)
+
+
+def save_archives(archives: DataFrame, folder: str) -> DataFrame:
+    """Writes each row of archives (path, content) as a file of that name into folder, a URI that pyarrow's file systems reach from all executors; returns (path, bytes).
+
+    A file is written under another name and then moved, so a task that is run again or twice leaves one whole file.  Rows with a null path or content are no files.
+    The files are there once the returned table is read (write it, or count it).
+    """
+
+    def put(batches):
+        from pyarrow import fs
+
+        where, base = fs.FileSystem.from_uri(folder)
+        where.create_dir(base, recursive=True)
+        for batch in batches:
+            done = []
+            for path, content in zip(*batch.columns, strict=True):
+                if path.is_valid and content.is_valid:
+                    data, own = content.as_buffer(), f"{base}/.{path.as_py()}.{uuid.uuid4().hex}"
+                    with where.open_output_stream(own) as out:
+                        out.write(data)
+                    where.move(own, f"{base}/{path.as_py()}")
+                    done.append((path.as_py(), data.size))
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["path", "bytes"])
+
+    return archives.select("path", "content").mapInArrow(put, "path string, bytes long")
 
 
 def _read(batches):
-    schema = pa.schema([("path", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("problem", pa.string())])
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (column.split() for column in RECORDS.split(", "))])
+    rows, size = [], 0
+
+    def flush():
+        nonlocal rows, size
+        out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        rows, size = [], 0
+        return out
+
     for batch in batches:
         for path, content in zip(*batch.columns, strict=True):
-            rows, size = [], 0
             try:
                 for raw in frames(content.as_py() or b""):
                     try:
                         rows.append((path.as_py(), *parse(raw), None))
                     except ValueError as e:
-                        rows.append((path.as_py(), *[None] * 7, str(e)))
+                        rows.append((path.as_py(), *_EMPTY, str(e)))
                     size += len(raw)
                     if size >= ARCHIVE_BYTES:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                        rows, size = [], 0
+                        yield flush()
             except (ValueError, zstandard.ZstdError) as e:  # the rest of the archive can't be found
-                rows.append((path.as_py(), *[None] * 7, str(e)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                rows.append((path.as_py(), *_EMPTY, str(e)))
+    if rows:
+        yield flush()
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """The records of archives (path, content, as of the binaryFile source), in RECORDS' columns.
 
-    A record whose header, lengths or digest don't hold has only path and problem; what
+    page_id and refers_to are the numbers of this writer's record ids, null for others; record_id and refers_to_record are the ids as they stand.
+    A record whose header, lengths or digests don't hold has only path and problem; what
     follows a frame that is cut off is one such row.  An empty or null content has no records.
     """
     return archives.select("path", "content").mapInArrow(_read, RECORDS)

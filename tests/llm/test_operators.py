@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 import zlib
@@ -10,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from heddle.llm import decontaminate, licenses, line_dedup, mixing, near_dedup, quality, textcore, tokens, toxicity, urls, warc
@@ -453,16 +455,49 @@ def test_warc_round_trip_with_revisits(spark, tmp_path):
         assert r["record_type"] == ("response" if i in (to, None) else "revisit") and r["refers_to"] == (None if i in (to, None) else to)
         assert r["payload"] == (None if r["record_type"] == "revisit" else payload)
     content = archives.first()["content"]
-    path = tmp_path / "a.warc.zst"
-    path.write_bytes(content)
-    real = spark.read.format("binaryFile").load(str(tmp_path))
-    assert warc.read_archives(real).where("problem is null").count() > 0
+    folder = tmp_path / "files"
+    saved = warc.save_archives(archives, f"file://{folder}").collect()
+    assert sorted(p.name for p in folder.iterdir()) == sorted(r["path"] for r in saved) and all(r["path"].endswith(".warc.zst") for r in saved)
+    real = warc.read_archives(spark.read.format("binaryFile").load(str(folder))).select("page_id", "payload", "record_type", "refers_to")
+    same = {r["page_id"]: (r["payload"], r["record_type"], r["refers_to"]) for r in real.collect()}
+    assert same == {i: (r["payload"], r["record_type"], r["refers_to"]) for i, r in got.items()}
     broken = spark.createDataFrame([("cut", bytearray(content[:-30])), ("none", None), ("junk", bytearray(b"junkjunkjunk"))], "path string, content binary")
     problems = {r["path"] for r in warc.read_archives(broken).where("problem is not null").collect()}
     assert problems == {"cut", "junk"}
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_warc_reads_standard_records(spark):
+    """Records as other writers make them: URN ids, all types, an archive without a dictionary, lower-case digests of other kinds."""
+    head = lambda kind, n, *more: "\r\n".join(["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{kind}>", "WARC-Date: 2024-05-06T07:08:09Z", *more, f"Content-Length: {n}"]).encode() + b"\r\n\r\n"
+    whole = lambda kind, block, *more: head(kind, len(block), *more) + block + b"\r\n\r\n"
+    body = b"<html>hi</html>"
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    records = [
+        whole("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields"), whole("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "Content-Type: application/http; msgtype=request"),
+        whole("response", http, "WARC-Target-URI: http://a/", f"WARC-Payload-Digest: {sha1}"), whole("response", http, "WARC-Payload-Digest: md5:abc"),
+        whole("resource", body, "Content-Type: text/html"), whole("metadata", b"k: v"), whole("conversion", b"hi"),
+        whole("revisit", b"", "WARC-Refers-To: <urn:uuid:response>", f"WARC-Payload-Digest: {sha1}"), whole("response", http, "WARC-Payload-Digest: sha1:AAAA"), whole("revisit", b""), head("response", 99) + b"short\r\n\r\n",
+    ]
+    packed = b"".join(zstandard.ZstdCompressor().compress(r) for r in records)
+    rows = warc.read_archives(spark.createDataFrame([("a.warc.zst", bytearray(packed))], warc.ARCHIVES)).collect()
+    good = [r for r in rows if r["problem"] is None]
+    assert [r["record_type"] for r in good] == ["warcinfo", "request", "response", "response", "resource", "metadata", "conversion", "revisit"]
+    assert all(r["record_id"] == f"<urn:uuid:{r['record_type']}>" and r["page_id"] is None and r["date"].startswith("2024") for r in good)
+    assert [bytes(r["payload"]) if r["payload"] is not None else None for r in good][2:5] == [body] * 3 and good[7]["payload"] is None
+    assert good[2]["payload_digest"] == good[7]["payload_digest"] == sha1[5:] and good[7]["refers_to_record"] == "<urn:uuid:response>"
+    assert sorted(r["problem"] for r in rows if r["problem"]) == ["a revisit without a reference", "content-length differs from the block", "the digest differs from the payload"]
+
+
+def test_warc_repeated_rows_and_columns(spark):
+    rows = [(1, "u", "same", "x"), (1, "u", "same", "y"), (2, "v", "same", "z"), (2, "v", "other", "z"), (None, "w", "same", "z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, content string")
+    got = sorted((str(r["page_id"]), r["record_type"], str(r["refers_to"])) for r in warc.read_archives(warc.write_archives(pages)).collect())
+    assert got == [("1", "response", "None"), ("1", "response", "None"), ("2", "response", "None"), ("2", "revisit", "1"), ("None", "response", "None")]
+    assert {r["record_type"] for r in warc.read_archives(warc.write_archives(pages, least_bytes=10)).collect()} == {"response"}
+
+
 def test_clashing_columns(spark):
     line = prose(random.Random(1), 60)
     rows = spark.createDataFrame([(1, line, "en", "s", 5, "x", 1, 2, 3), (2, line, "en", "s", 5, "y", 1, 2, 3)], DOCS + ", h string, component_id int, id int, mix_slot int")
