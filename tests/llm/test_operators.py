@@ -359,14 +359,31 @@ def test_token_counts_follow_edits(spark, empty):
             want = text[:start] + new + text[stop:]
             assert document.text == want
             assert document.n_tokens == len(counter.encoding.encode_ordinary(want))
-            assert document.tree.total[0] == len(want)
+            assert document.tree.total[0] == len(want) and document.tree.total[2] == len(counter.split(want))
+            kept = tokens.Document(document.text, counter, np.array(document.leaves))
+            assert kept.n_tokens == document.n_tokens and kept.encoded == 0
     long = tokens.Document("some words here " * 4000, counter)
-    long.edit(30000, 30004, "other")
-    assert long.encoded < 200
-    rows = spark.createDataFrame([(1, "the text of it"), (2, None), (3, ""), (None, "x")], "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_tokens"], r["n_tokens_after"]) for r in tokens.token_counts(rows, F.array(F.struct(F.lit(0).alias("start"), F.lit(3).alias("stop"), F.lit("a long").alias("new")), F.lit(None))).collect()}
-    assert got[1] == (4, 5) and got[2] == got[3] == (0, 2)
-    assert tokens.token_counts(empty).count() == 0
+    for at in range(0, 60_000, 3001):
+        long.edit(at, at + 4, "other")
+    assert long.encoded < 20 * 3 * tokens.LEAF and long.laid_out == 0
+    long.edit(70, 70, "many new words " * 2000)
+    assert long.laid_out == 1 and long.n_tokens == len(counter.encoding.encode_ordinary(long.text))
+
+
+def test_kept_trees_take_a_table_of_edits(spark, empty):
+    counter = tokens.Counter(open(tokens.VOCABULARY, "rb").read())
+    count = lambda text: len(counter.encoding.encode_ordinary(text or ""))
+    rows = [(1, "the text of it", "x"), (1, "the text of it", "y"), (2, None, "z"), (3, "", "z"), (None, "x", "z"), (4, "word " * 50_000, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, edits string")
+    trees = tokens.count_trees(docs)
+    before = sorted((str(r["doc_id"]), r["n_tokens"]) for r in trees.collect())
+    assert before == sorted((str(i), count(t)) for i, t, _ in rows)
+    changes = spark.createDataFrame([(1, 2, 0, 6, "Some"), (1, 1, 0, 3, "a long"), (4, 1, 100_000, 100_004, "changed"), (2, 1, 0, 9, "now"), (3, 1, None, None, None), (None, 1, 0, 1, "y")], "doc_id long, seq long, start long, stop long, new string")
+    after = tokens.apply_edits(trees.join(tokens.edits_of(changes), "doc_id", "left"), F.col("edits")).collect()
+    want = {"1": "Some text of it", "2": "now", "3": "", "None": "x", "4": "word " * 20_000 + "changed " + "word " * 29_999}
+    assert len(after) == len(rows) and all((r["text"], r["n_tokens"]) == (want[str(r["doc_id"])], count(want[str(r["doc_id"])])) for r in after)
+    assert next(r["n_encoded_again"] for r in after if r["doc_id"] == 4) < 3 * tokens.LEAF
+    assert tokens.count_trees(empty).count() == 0
 
 
 def test_license_places_equal_brute_force(spark, empty):
