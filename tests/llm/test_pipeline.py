@@ -24,17 +24,21 @@ def test_stages(spark, tmp_path):
         if k % 20 == 6:
             text = rows[1][1]
         rows.append((k, text, "en", "hot" if k % 3 else "cold", len(text)))
-    rows += [(200, None, None, None, None), (201, "", "en", None, 0)]
+    rows += [(200, None, None, None, None), (201, "", "en", None, 0), rows[0], (0, rows[0][1], "de", None, 1), (None, prose(rng, 60), "en", "hot", 3), (None, prose(rng, 60), None, None, None)]
     folder = str(tmp_path)
     spark.createDataFrame(rows, DOCS).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     columns = docs.columns
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        before = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        assert stage(spark, docs.limit(0), folder).count() == 0
+        loose = sorted(r["text"] for r in docs.where("doc_id is null").collect())
+        before = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] is not None]
         stage(spark, docs, folder).write.parquet(f"{folder}/{k}.parquet")
         docs = spark.read.parquet(f"{folder}/{k}.parquet")
-        after = {r["doc_id"]: r["text"] for r in docs.collect()}
+        after = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] is not None}
+        assert sorted(r["text"] for r in docs.where("doc_id is null").collect()) == loose  # clean, and copies of nothing
+        assert docs.where("doc_id = 0").count() == (3 if k < 2 else 1)
         if name == "quality_rules":
             assert after.keys() == {i for i, t in before if len((t or "").split()) >= 50}
         elif name == "line_dedup":
