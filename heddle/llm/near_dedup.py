@@ -248,7 +248,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         rows = scratch.keep(mixed()) if turn else mixed()
         hubs = scratch.keep(rows.groupBy("band", "key").agg(F.max_by(F.struct("id", "component"), "rank").alias("hub")))
         if turn:  # the first hub has met all; the next is the one outside its component with most company
-            hubs = scratch.keep(rows.join(hubs, ["band", "key"]).where("component <> hub.component").groupBy("band", "key").agg(F.max_by(F.struct("id", "component"), "rank").alias("hub")))
+            others = scratch.keep(rows.join(hubs, ["band", "key"]).where("component <> hub.component").drop("hub"))
+            hubs = scratch.keep(others.groupBy("band", "key").agg(F.max_by(F.struct("id", "component"), "rank").alias("hub")))
         linked(rows.join(hubs, ["band", "key"]).where("component <> hub.component").select(F.col("id").alias("a"), F.col("hub.id").alias("b")))
     linked(_open_pairs(scratch.keep(mixed().select("band", "key", "id", "component")), classes, sets, percent, scratch))
     smallest = member.join(component, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component")).distinct()
