@@ -75,7 +75,8 @@ def validation_outcome(state: Column, confidence: Column, evidence: Column, know
 
 
 def display(confidence: Column, extraction: Column, state: Column) -> Column:
-    return F.concat_ws(" · ", F.concat(F.lit("Confidence "), F.format_number(confidence, 2)), extraction, state)
+    """The confidence (double) has two digits; halves of the double, not of its three digits, go up."""
+    return F.concat_ws(" · ", F.concat(F.lit("Confidence "), F.format_number(F.floor(confidence * 100 + 0.5) / 100, 2)), extraction, state)
 
 
 def excerpt_of(text: Column, tokens: int) -> Column:

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 # Factors of the confidence rule.
 INFERRED_FACTOR, OCR_FACTOR, CORROBORATION = "0.85", "0.95", "0.02"
-_ENDPOINTS = ["INTERFACE", "SIGNAL", "DATA_ELEMENT"]
-_BEHAVIOUR = ["COMPONENT", "SOFTWARE_COMPONENT", "FUNCTION", "RUNNABLE", "ECU"]
 
 
 def live_entities(entities: DataFrame) -> DataFrame:
@@ -54,8 +52,9 @@ def list_entities(entities: DataFrame, aliases: DataFrame, entity_type: str | No
 
 
 def page(rows: DataFrame, order: list, offset: int = 0, limit: int = 50) -> DataFrame:
-    """A page in a total order, with the number of all rows as total."""
-    return rows.orderBy(*order).offset(offset).limit(limit).withColumn("total", F.lit(rows.count()))
+    """A page in a total order, with the number of all rows as total; nothing runs until it is read."""
+    total = rows.agg(F.count("*").alias("total"))  # one row, so the join is no product
+    return rows.orderBy(*order).offset(offset).limit(limit).crossJoin(F.broadcast(total))
 
 
 def with_endpoints(relationships: DataFrame, entities: DataFrame) -> DataFrame:
@@ -64,23 +63,26 @@ def with_endpoints(relationships: DataFrame, entities: DataFrame) -> DataFrame:
     return relationships.join(side("source"), "source").join(side("target"), "target")
 
 
-#: Relationship type: entity types it may start at and end at; None is any.
-RULES: dict[str, tuple[list[str] | None, list[str] | None]] = {
-    "PROVIDES": (["COMPONENT", "SOFTWARE_COMPONENT", "PORT", "ECU"], [*_ENDPOINTS, "FUNCTION"]),
-    "REQUIRES": ([*_BEHAVIOUR, "PORT", "FUNCTIONAL_FLOW"], [*_ENDPOINTS, "COMPONENT", "SOFTWARE_COMPONENT", "FUNCTION", "REQUIREMENT"]),
-    "USES": ([*_BEHAVIOUR, "PORT"], [*_ENDPOINTS, "DATA_TYPE", "COMPONENT", "SOFTWARE_COMPONENT", "FUNCTION"]),
-    "CONSUMES": ([*_BEHAVIOUR, "PORT"], _ENDPOINTS),
-    "PRODUCES": ([*_BEHAVIOUR, "PORT"], _ENDPOINTS),
-    "CARRIES": (["INTERFACE", "COMMUNICATION_CHANNEL", "PORT"], ["SIGNAL", "DATA_ELEMENT", "DATA_TYPE"]),
-    "DEPENDS_ON": (None, None),
-    "CONNECTS_TO": (["PORT", "COMPONENT", "SOFTWARE_COMPONENT", "ECU", "COMMUNICATION_CHANNEL"], ["PORT", "COMPONENT", "SOFTWARE_COMPONENT", "ECU", "COMMUNICATION_CHANNEL"]),
-    "PART_OF": (None, ["COMPONENT", "SOFTWARE_COMPONENT", "ECU", "INTERFACE", "FUNCTIONAL_FLOW", "REQUIREMENT", "COMMUNICATION_CHANNEL"]),
-    "IMPLEMENTED_BY": (["REQUIREMENT", "INTERFACE", "FUNCTIONAL_FLOW", "FUNCTION"], _BEHAVIOUR),
-    "PRECEDES": ([*_BEHAVIOUR, "FUNCTIONAL_FLOW"], [*_BEHAVIOUR, "FUNCTIONAL_FLOW"]),
-    "TRIGGERS": ([*_BEHAVIOUR, "FUNCTIONAL_FLOW", "SIGNAL"], [*_BEHAVIOUR, "FUNCTIONAL_FLOW"]),
-    "SENDS_TO": ([*_BEHAVIOUR, "PORT"], [*_BEHAVIOUR, "PORT", "COMMUNICATION_CHANNEL"]),
-    "VERIFIED_BY": (["REQUIREMENT", "FUNCTION", "COMPONENT", "SOFTWARE_COMPONENT", "INTERFACE"], ["TEST_CASE"]),
-}
+# Fixed values, down to SPREAD: a relationship type, the entity types it may start at, and those it may end at; * is any.
+RULES = {
+    kind: tuple(None if ends == "*" else ends.split() for ends in (sources, targets))
+    for kind, sources, targets in [
+        ("PROVIDES", "COMPONENT SOFTWARE_COMPONENT PORT ECU", "INTERFACE SIGNAL DATA_ELEMENT FUNCTION"),
+        ("REQUIRES", "COMPONENT SOFTWARE_COMPONENT FUNCTION RUNNABLE ECU PORT FUNCTIONAL_FLOW", "INTERFACE SIGNAL DATA_ELEMENT COMPONENT SOFTWARE_COMPONENT FUNCTION REQUIREMENT"),
+        ("USES", "COMPONENT SOFTWARE_COMPONENT FUNCTION RUNNABLE ECU PORT", "INTERFACE SIGNAL DATA_ELEMENT DATA_TYPE COMPONENT SOFTWARE_COMPONENT FUNCTION"),
+        ("CONSUMES", "COMPONENT SOFTWARE_COMPONENT FUNCTION RUNNABLE ECU PORT", "INTERFACE SIGNAL DATA_ELEMENT"),
+        ("PRODUCES", "COMPONENT SOFTWARE_COMPONENT FUNCTION RUNNABLE ECU PORT", "INTERFACE SIGNAL DATA_ELEMENT"),
+        ("CARRIES", "INTERFACE COMMUNICATION_CHANNEL PORT", "SIGNAL DATA_ELEMENT DATA_TYPE"),
+        ("DEPENDS_ON", "*", "*"),
+        ("CONNECTS_TO", "PORT COMPONENT SOFTWARE_COMPONENT ECU COMMUNICATION_CHANNEL", "PORT COMPONENT SOFTWARE_COMPONENT ECU COMMUNICATION_CHANNEL"),
+        ("PART_OF", "*", "COMPONENT SOFTWARE_COMPONENT ECU INTERFACE FUNCTIONAL_FLOW REQUIREMENT COMMUNICATION_CHANNEL"),
+        ("IMPLEMENTED_BY", "REQUIREMENT INTERFACE FUNCTIONAL_FLOW FUNCTION", "COMPONENT SOFTWARE_COMPONENT FUNCTION RUNNABLE ECU"),
+        ("PRECEDES", "COMPONENT SOFTWARE_COMPONENT FUNCTION RUNNABLE ECU FUNCTIONAL_FLOW", "COMPONENT SOFTWARE_COMPONENT FUNCTION RUNNABLE ECU FUNCTIONAL_FLOW"),
+        ("TRIGGERS", "COMPONENT SOFTWARE_COMPONENT FUNCTION RUNNABLE ECU FUNCTIONAL_FLOW SIGNAL", "COMPONENT SOFTWARE_COMPONENT FUNCTION RUNNABLE ECU FUNCTIONAL_FLOW"),
+        ("SENDS_TO", "COMPONENT SOFTWARE_COMPONENT FUNCTION RUNNABLE ECU PORT", "COMPONENT SOFTWARE_COMPONENT FUNCTION RUNNABLE ECU PORT COMMUNICATION_CHANNEL"),
+        ("VERIFIED_BY", "REQUIREMENT FUNCTION COMPONENT SOFTWARE_COMPONENT INTERFACE", "TEST_CASE"),
+    ]
+}
 OPPOSING = [("PROVIDES", "CONSUMES"), ("PROVIDES", "REQUIRES")]
 #: How a change spreads along a type: IN from an edge's target to its source, OUT the other way.
 SPREAD = {
@@ -89,15 +91,17 @@ SPREAD = {
 }
 
 
+def allowed_types(kind: Column, end: int) -> Column:
+    """The entity types that a relationship type may have at its source (end 0) or target (1); null: any."""
+    rows = [x for name, ends in RULES.items() if ends[end] is not None for x in (F.lit(name), F.array(*map(F.lit, ends[end])))]
+    return F.create_map(*rows)[kind]
+
+
 def rule_problem(kind: Column, source_type: Column, target_type: Column) -> Column:
     """What a relationship's ends violate, or null; the source is looked at first."""
-    out = F.lit(None).cast("string")
-    for name, (sources, targets) in RULES.items():
-        bad_source = F.lit(False) if sources is None else ~source_type.isin(sources)
-        bad_target = F.lit(False) if targets is None else ~target_type.isin(targets)
-        said = F.when(bad_source, F.concat(F.lit(f"{name} is not expected to start at a "), source_type, F.lit("."))).when(bad_target, F.concat(F.lit(f"{name} is not expected to end at a "), target_type, F.lit(".")))
-        out = F.when(kind == name, said).otherwise(out)
-    return out
+    bad = lambda end, found: ~F.array_contains(allowed_types(kind, end), found)
+    said = lambda verb, found: F.concat(kind, F.lit(f" is not expected to {verb} at a "), found, F.lit("."))
+    return F.when(bad(0, source_type), said("start", source_type)).when(bad(1, target_type), said("end", target_type))
 
 
 def component_report(entities: DataFrame, relationships: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -128,21 +132,19 @@ def bind_endpoints(candidates: DataFrame, entities: DataFrame, aliases: DataFram
     Adds source_state, source_id, target_state and target_id.
     """
     live = live_entities(entities)
-    index = name_index(live, aliases).join(live.select("id", "state", "entity_type"), "id")
+    owners = name_index(live, aliases).join(live.select("id", "state", "entity_type"), "id")
+    # One row per name, with its usable owners per type: a name with many owners costs a candidate no more than one with few.
+    usable = F.col("state") != "REJECTED"
+    kinds = owners.groupBy("normalized", "entity_type").agg(F.count("*").alias("n"), F.count(F.when(usable, 1)).alias("usable"), F.min(F.when(usable, F.col("id"))).alias("first"))
+    index = kinds.groupBy("normalized").agg(F.sum("n").alias("n"), F.sum("usable").alias("usable"), F.min("first").alias("one"), F.collect_list(F.struct("entity_type", "usable", "first")).alias("kinds"))
     out = candidates
-    for side, k in (("source", 0), ("target", 1)):
-        named = candidates.select(F.col("id").alias("candidate"), "type", F.col(f"normalized_{side}").alias("normalized"))
-        owners = named.join(index, "normalized")
-        wrong = F.lit(False)
-        for kind, allowed in RULES.items():
-            if allowed[k] is not None:
-                wrong = wrong | ((F.col("type") == kind) & ~F.col("entity_type").isin(allowed[k]))
-        usable = F.col("state") != "REJECTED"
-        found = owners.groupBy("candidate").agg(
-            F.count("*").alias("n"), F.count(F.when(usable, 1)).alias("usable"), F.count(F.when(usable & ~wrong, 1)).alias("plausible"),
-            F.min(F.when(usable, F.col("id"))).alias("one"), F.min(F.when(usable & ~wrong, F.col("id"))).alias("fit"),
-        )
-        state = F.when(F.col("n").isNull(), "MISSING").when(F.col("usable") == 0, "REJECTED").when(F.col("usable") == 1, "OK").when(F.col("plausible") == 1, "OK").otherwise("AMBIGUOUS")
-        bound = F.when(F.col("usable") == 1, F.col("one")).when((F.col("usable") > 1) & (F.col("plausible") == 1), F.col("fit"))
-        out = out.join(found, out["id"] == found["candidate"], "left").select(*out.columns, state.alias(f"{side}_state"), bound.alias(f"{side}_id"))
+    for side, end in (("source", 0), ("target", 1)):
+        found = out.join(index.withColumnRenamed("normalized", f"normalized_{side}"), f"normalized_{side}", "left").withColumn("allowed", allowed_types(F.col("type"), end))
+        fitting = F.filter("kinds", lambda k: F.col("allowed").isNull() | F.array_contains("allowed", k["entity_type"]))
+        found = found.withColumn("fitting", fitting)
+        plausible = F.aggregate("fitting", F.lit(0).cast("long"), lambda s, k: s + k["usable"])
+        fit = F.array_min(F.transform("fitting", lambda k: k["first"]))
+        state = F.when(F.col("n").isNull(), "MISSING").when(F.col("usable") == 0, "REJECTED").when((F.col("usable") == 1) | (plausible == 1), "OK").otherwise("AMBIGUOUS")
+        bound = F.when(F.col("usable") == 1, F.col("one")).when((F.col("usable") > 1) & (plausible == 1), fit)
+        out = found.select(*out.columns, state.alias(f"{side}_state"), bound.alias(f"{side}_id"))
     return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,17 +15,55 @@ def spread_directions() -> tuple[list[str], list[str]]:
     return [k for k, v in SPREAD.items() if "OUT" in v], [k for k, v in SPREAD.items() if "IN" in v]
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df written to spark.checkpoint.dir and read from there, so that its lineage ends; without that setting, on one machine only, to a folder of its own."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="heddle-"))
+    return df.checkpoint()
+
+
+def _steps(edges: DataFrame, out_types: list[str] | None, in_types: list[str] | None) -> DataFrame:
+    """Edges as steps: forwards if their type is in out_types, backwards if in in_types (None: all, empty: none)."""
+    allowed = lambda types: F.lit(True) if types is None else F.col("type").isin(types)
+    step = edges.where(allowed(out_types)).select(F.col("source").alias("at"), F.col("target").alias("to"), "id", "type", F.lit(True).alias("forward"))
+    return step.unionByName(edges.where(allowed(in_types)).select(F.col("target").alias("at"), F.col("source").alias("to"), "id", "type", F.lit(False).alias("forward")))
+
+
+def reach(edges: DataFrame, roots: DataFrame, depth: int, out_types: list[str] | None = None, in_types: list[str] | None = None) -> DataFrame:
+    """First arrivals over edges within depth steps of each root: root, node, depth, id, type, forward, path and nodes, as of traverse.
+
+    Each node is left once, by its smallest path (element by element) of those with fewest edges, and each edge is taken at its least depth only, from either
+    of its ends that is so near; so a level costs at most its edges, however many paths there are.
+    """
+    step = settled(_steps(edges, out_types, in_types))
+    front = roots.select("root", F.col("root").alias("node"), F.array().cast("array<string>").alias("path"), F.array("root").alias("nodes")).distinct()
+    seen = front.select("root", "node")
+    found = taken = None
+    for k in range(1, depth + 1):
+        here = front.withColumnRenamed("node", "at").join(step, "at")
+        if taken is not None:
+            here = here.join(taken, ["root", "id"], "left_anti")
+        arrived = settled(here.select("root", F.col("to").alias("node"), F.lit(k).alias("depth"), "id", "type", "forward", F.concat("path", F.array("id")).alias("path"), F.concat("nodes", F.array("to")).alias("nodes")))
+        found = arrived if found is None else found.unionByName(arrived)
+        if k < depth:
+            taken = found.select("root", "id").distinct()
+            front = settled(arrived.join(seen, ["root", "node"], "left_anti").groupBy("root", "node").agg(F.min(F.struct("path", "nodes")).alias("x")).select("root", "node", "x.*"))
+            seen = seen.unionByName(front.select("root", "node"))
+    return found
+
+
 def traverse(edges: DataFrame, roots: DataFrame, depth: int, out_types: list[str] | None = None, in_types: list[str] | None = None) -> DataFrame:
-    """Paths of up to depth steps over edges (id, source, target, type) from roots (root).
+    """All paths of up to depth steps over edges (id, source, target, type) from roots (root).
 
-    A step takes an edge forwards if its type is in out_types, backwards if in in_types (None: all, empty: none). An edge occurs once in a
-    path, nodes may repeat.  Gives root, node, depth, id (the last edge), type, forward, path (edge ids) and nodes.
+    An edge occurs once in a path, nodes may repeat, so their number grows with the degree to the power of depth: for depths and impacts use reach.
+    Gives root, node, depth, id (the last edge), type, forward, path (edge ids) and nodes.
     """
     if not 1 <= depth <= 3:
         raise ValueError("depth is 1 to 3")
-    allowed = lambda types: F.lit(True) if types is None else F.col("type").isin(types)
-    step = edges.where(allowed(out_types)).select(F.col("source").alias("at"), F.col("target").alias("to"), "id", "type", F.lit(True).alias("forward"))
-    step = step.unionByName(edges.where(allowed(in_types)).select(F.col("target").alias("at"), F.col("source").alias("to"), "id", "type", F.lit(False).alias("forward")))
+    step = _steps(edges, out_types, in_types)
     front = roots.select("root", F.col("root").alias("node"), F.array().cast("array<string>").alias("path"), F.array("root").alias("nodes"))
     found = None
     for k in range(1, depth + 1):
@@ -34,8 +74,8 @@ def traverse(edges: DataFrame, roots: DataFrame, depth: int, out_types: list[str
 
 
 def shortest_per_edge(paths: DataFrame) -> DataFrame:
-    """Of each root and edge the occurrence with the least depth, then type, then path."""
-    order = F.struct("depth", "type", F.array_join("path", ",").alias("o"))
+    """Of each root and edge the occurrence with the least depth, then path, then node."""
+    order = F.struct("depth", "path", "node")
     return paths.groupBy("root", "id").agg(F.min_by(F.struct(*[c for c in paths.columns if c not in ("root", "id")]), order).alias("x")).select("root", "id", "x.*")
 
 
@@ -45,8 +85,10 @@ def node_depths(paths: DataFrame) -> DataFrame:
 
 def limited(rows: DataFrame, order: list[str], limit: int) -> DataFrame:
     """The first rows in order, and whether there were more."""
-    more = rows.limit(limit + 1).count() > limit
-    return rows.orderBy(*order).limit(limit).withColumn("truncated", F.lit(more))
+    names = rows.columns
+    first = rows.orderBy(*order).limit(limit + 1)
+    # At most limit + 1 rows are left, so the window over all of them is small.
+    return first.withColumn("truncated", F.expr("count(*) over ()") > limit).orderBy(*order).limit(limit).select(*names, "truncated")
 
 
 def impact(edges: DataFrame, roots: DataFrame, depth: int = 3, node_limit: int = 250) -> DataFrame:
@@ -56,8 +98,8 @@ def impact(edges: DataFrame, roots: DataFrame, depth: int = 3, node_limit: int =
     fact is inferred, the weakest state; a fact without evidence makes the traceability insufficient.
     """
     out_types, in_types = spread_directions()
-    paths = traverse(edges, roots, depth, out_types, in_types).where("node <> root")
-    order = F.struct("depth", "type", F.col("id").alias("o"), F.array_join("path", ",").alias("p"))
+    paths = reach(edges, roots, depth, out_types, in_types).where("node <> root")
+    order = F.struct("depth", "type", F.col("id").alias("o"), F.col("path").alias("p"))
     first = paths.groupBy("root", "node").agg(F.min_by(F.struct("depth", "path"), order).alias("x")).select("root", "node", "x.*")
     chain = first.select("root", "node", "depth", F.explode("path").alias("edge")).join(edges.select(F.col("id").alias("edge"), "confidence", "extraction", "state", "evidence"), "edge")
     weak = F.when(F.col("state") == "PENDING", 0).when(F.col("state") == "CORRECTED", 1).otherwise(2)
@@ -109,14 +151,14 @@ def soft_merge(relationships: DataFrame, survivors: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, component) by label propagation with pointer jumping: each id gets the smallest that it reaches (links: a, b)."""
     both = links.select("a", "b").union(links.select("b", "a")).distinct()
-    both = both.checkpoint() if both.sparkSession.sparkContext.getCheckpointDir() else both.cache()
+    both = settled(both)
     labels = both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id"))
     while True:
         near = both.join(labels, both["b"] == labels["id"]).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         low = labels.join(near, "id").select("id", F.least("component", "near").alias("component"), (F.col("near") < F.col("component")).alias("moved"))
         up = low.select(F.col("id").alias("component"), F.col("component").alias("above"))
         nxt = low.join(up, "component").select("id", F.least("component", "above").alias("component"), "moved")
-        nxt = nxt.checkpoint() if nxt.sparkSession.sparkContext.getCheckpointDir() else nxt.cache()
+        nxt = settled(nxt)
         labels = nxt.select("id", "component")
         if not nxt.where("moved").limit(1).count():
             return labels

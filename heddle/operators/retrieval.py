@@ -87,11 +87,15 @@ def ranked(scores: DataFrame, k: int, key: str = "id") -> DataFrame:
 
 
 def lexical_channel(postings: DataFrame, terms: DataFrame, k: int = LEXICAL_K) -> DataFrame:
-    """postings (id, token) with repeats, terms (query, token): an OR search over stems.
+    """postings (id, w: lower-cased words, with repeats), terms (query, token: stems): an OR search over stems.
 
+    Words are counted per document first, and stemmed once each; only those whose stem is asked for meet the terms.
     Each place of a term counts 0.1, and a sum s gives s / (s + 1).
     """
-    hits = postings.join(terms.distinct(), "token").groupBy("query", "id").agg(F.count("*").alias("n"))
+    counted = postings.groupBy("id", "w").agg(F.count("*").alias("n"))
+    terms = terms.distinct()
+    stems = postings.select("w").distinct().select("w", X.stem(F.col("w")).alias("token")).join(terms.select("token").distinct(), "token", "left_semi")
+    hits = counted.join(stems, "w").join(terms, "token").groupBy("query", "id").agg(F.sum("n").alias("n"))
     return ranked(hits.select("query", "id", (F.col("n") * 0.1 / (F.col("n") * 0.1 + 1)).alias("score")), k)
 
 
@@ -128,7 +132,8 @@ def within_budget(rows: DataFrame, group: list[str], order: str, content: str, b
 
 def context_blocks(hits: DataFrame, chunks: DataFrame, neighbours: int = 1) -> DataFrame:
     """hits (query, doc_id, pos) with their neighbours of the same section: query, doc_id, pos, role; a hit's role wins."""
-    near = chunks.select("doc_id", F.col("pos").alias("near")).join(hits, "doc_id").where(F.abs(F.col("near") - F.col("pos")) <= neighbours)
+    around = hits.select("query", "doc_id", "pos", F.explode(F.sequence(F.col("pos") - neighbours, F.col("pos") + neighbours)).alias("near"))
+    near = around.join(chunks.select("doc_id", F.col("pos").alias("near")), ["doc_id", "near"])
     role = F.when(F.col("near") == F.col("pos"), "HIT").otherwise("NEIGHBOR")
     return near.groupBy("query", "doc_id", F.col("near").alias("pos")).agg(F.min(role).alias("role"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from heddle.functions import fuzzy
 from heddle.functions import text as X
 from heddle.operators import answers, compare, facts, graph, retrieval
-from heddle.plans.analytics import ASKED, EDGES, FUSED, VERSIONED, WALK, dense, edges, fused, roots, version_edges
+from heddle.plans.analytics import ASKED, EDGES, FUSED, VERSIONED, WALK, dense, edges, fused, roots, version_edges, walk
 from heddle.plans.base import query
 from heddle.plans.readmodels import CONF, conf
 from heddle.sources import files
@@ -31,9 +31,9 @@ def path_views(v: Views) -> DataFrame:
     return answers.path_views(graph.traverse(edges(v), roots(v, "s2"), 1, None, []), v.entities)
 
 
-@query("w4_shortest_paths", WALK + ", f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY depth, type, array_to_string(path, ',')) AS n FROM walk) SELECT id, node, array_to_string(path, ',') AS path FROM f WHERE n = 1")
+@query("w4_shortest_paths", WALK + ", f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY depth, path, node) AS n FROM walk) SELECT id, node, array_to_string(path, ',') AS path FROM f WHERE n = 1")
 def shortest_paths(v: Views) -> DataFrame:
-    return graph.shortest_per_edge(graph.traverse(edges(v), roots(v, "s1"), 3)).select("id", "node", F.array_join("path", ",").alias("path"))
+    return graph.shortest_per_edge(walk(v)).select("id", "node", F.array_join("path", ",").alias("path"))
 
 
 @query("w6_ordinals", "SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS ordinal FROM chunks")
@@ -72,9 +72,9 @@ def comparison_order(v: Views) -> DataFrame:
     return first.select(F.expr("row_number() over (order by o, id)").cast("long").alias("place"), "id")
 
 
-@query("l8_node_limit", WALK + ", d AS (SELECT node, min(depth) AS depth FROM walk WHERE node <> root GROUP BY node) SELECT node, (SELECT count(*) FROM d) > 20 AS truncated FROM d ORDER BY depth, node LIMIT 20")
+@query("l8_node_limit", WALK + ", d AS (SELECT node, min(depth) AS depth FROM walk WHERE node <> 's1' GROUP BY node) SELECT node, (SELECT count(*) FROM d) > 20 AS truncated FROM d ORDER BY depth, node LIMIT 20")
 def node_limit(v: Views) -> DataFrame:
-    depths = graph.node_depths(graph.traverse(edges(v), roots(v, "s1"), 3))
+    depths = graph.node_depths(walk(v))
     return graph.limited(depths, ["depth", "node"], 20).select("node", "truncated")
 
 
@@ -85,10 +85,10 @@ def shared_names(v: Views) -> DataFrame:
     return by_name.union(live.join(alias.select(F.col("entity_id").alias("id")), "id", "left_semi").select("id")).distinct()
 
 
-@query("u7_block_roles", "SELECT doc_id AS id, CASE min(CASE WHEN pos = 0 THEN 0 WHEN pos = 1 THEN 1 ELSE 2 END) WHEN 0 THEN 'HIT' WHEN 1 THEN 'PARENT_LEAD' ELSE 'NEIGHBOR' END AS role FROM chunks WHERE pos % 2 = doc_id % 2 GROUP BY doc_id")
+@query("u7_block_roles", "SELECT doc_id AS id, CASE min(CASE WHEN pos = 0 THEN 0 WHEN pos = 1 THEN 1 ELSE 2 END) WHEN 0 THEN 'HIT' WHEN 1 THEN 'PARENT_LEAD' ELSE 'NEIGHBOR' END AS role FROM chunks GROUP BY doc_id")
 def block_roles(v: Views) -> DataFrame:
     role = F.when(F.col("pos") == 0, "HIT").when(F.col("pos") == 1, "PARENT_LEAD").otherwise("NEIGHBOR")
-    return answers.merged_blocks(v.chunks.where("pos % 2 = doc_id % 2").select(F.col("doc_id").alias("id"), role.alias("role")))
+    return answers.merged_blocks(v.chunks.select(F.col("doc_id").alias("id"), role.alias("role")))
 
 
 @query("a15_page_ranges", "SELECT doc_id, min(CASE WHEN pos % 3 > 0 THEN pos END) AS first, max(CASE WHEN pos % 3 > 0 THEN pos END) AS last FROM chunks GROUP BY doc_id")
@@ -114,9 +114,9 @@ def opposite_qualifiers(v: Views) -> DataFrame:
     return v.table("events").select("user_id").distinct().select("user_id", X.opposite_qualifier(a, F.lit("WheelSpeed_FR")).alias("opposite"))
 
 
-@query("x8_identifiers", r"SELECT DISTINCT w AS word, contains(w, '_') OR (regexp_matches(w, '[0-9]') AND regexp_matches(w, '[A-Za-z]')) OR regexp_matches(w, '[a-z][A-Z]') OR regexp_matches(w, '[A-Z][A-Z]+[a-z]') AS identifier FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS w FROM documents WHERE lang = 'en')")
+@query("x8_identifiers", r"SELECT DISTINCT w AS word, contains(w, '_') OR (regexp_matches(w, '[0-9]') AND regexp_matches(w, '[A-Za-z]')) OR regexp_matches(w, '[a-z][A-Z]') OR regexp_matches(w, '[A-Z][A-Z]+[a-z]') AS identifier FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS w FROM documents)")
 def identifiers(v: Views) -> DataFrame:
-    words = v.table("documents").where("lang = 'en'").select(F.explode(X.tokens(F.col("text"))).alias("word")).distinct()
+    words = v.table("documents").select(F.explode(X.tokens(F.col("text"))).alias("word")).distinct()
     return words.select("word", X.is_identifier_like(F.col("word")).alias("identifier"))
 
 
@@ -137,9 +137,9 @@ def heading_numbers(v: Views) -> DataFrame:
     return rows.select("p_partkey", "x.number", "x.title", X.number_depth(F.col("x.number")).alias("depth"))
 
 
-@query("x23_statement_counts", r"""SELECT doc_id, sum(n)::BIGINT AS n FROM (SELECT doc_id, len(list_filter(string_split(regexp_replace(trim(content, chr(32) || chr(9) || chr(13)), '([.!?])\s+([A-Z0-9`"''(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x) <> '')) AS n FROM chunks WHERE NOT starts_with(trim(content), '|')) GROUP BY doc_id""")
+@query("x23_statement_counts", r"""SELECT doc_id, sum(n)::BIGINT AS n FROM (SELECT doc_id, len(list_filter(string_split(regexp_replace(trim(content, chr(32) || chr(9) || chr(13)), '([.!?])\s+([A-Z0-9`"''(\[])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x) <> '')) AS n FROM chunks WHERE NOT starts_with(trim(content), '|') UNION ALL SELECT doc_id, CASE WHEN regexp_matches(trim(content), '^[|\s:-]+$') THEN 0 ELSE 1 END FROM chunks WHERE starts_with(trim(content), '|')) GROUP BY doc_id""")
 def statement_counts(v: Views) -> DataFrame:
-    rows = v.chunks.where(~F.trim("content").startswith("|")).select("doc_id", F.size(X.statements(F.col("content"))).alias("n"))
+    rows = v.chunks.select("doc_id", F.size(X.statements(F.col("content"))).alias("n"))
     return rows.groupBy("doc_id").agg(F.sum("n").cast("long").alias("n"))
 
 
@@ -155,10 +155,9 @@ def section_keys(v: Views) -> DataFrame:
     return v.table("nation").join(v.table("region"), F.col("r_regionkey") == F.col("n_regionkey")).select("n_nationkey", X.section_key(path).alias("key"))
 
 
-@query("x31_status_texts", f"SELECT id, 'Confidence ' || printf('%.2f', {CONF}) || ' · ' || extraction || ' · ' || state AS status FROM relationships WHERE quantity >= 49 AND round({CONF} * 1000)::INTEGER % 10 <> 5")
+@query("x31_status_texts", f"SELECT id, 'Confidence ' || printf('%.2f', floor({CONF} * 100 + 0.5) / 100) || ' · ' || extraction || ' · ' || state AS status FROM relationships")
 def status_texts(v: Views) -> DataFrame:
-    rows = v.relationships.where("quantity >= 49").withColumn("confidence", conf()).where(F.round(F.col("confidence") * 1000).cast("int") % 10 != 5)
-    return rows.select("id", answers.display(F.col("confidence"), F.col("extraction"), F.col("state")).alias("status"))
+    return v.relationships.select("id", answers.display(conf(), F.col("extraction"), F.col("state")).alias("status"))
 
 
 @query("m11_groundedness", ", c AS (SELECT user_id AS question, event_type <> 'error' AS supported, 0.5 + (event_id % 5) / 10.0 AS support FROM events) SELECT question, count(*) FILTER (supported) AS kept, count(*) FILTER (NOT supported) AS dropped, round(coalesce(count(*) FILTER (supported) / count(*)::DOUBLE * (avg(support::DOUBLE) FILTER (supported)), 0), 2) AS groundedness, CASE WHEN count(*) FILTER (supported) = 0 THEN 'INSUFFICIENT_EVIDENCE' ELSE 'ANSWERED' END AS status FROM c GROUP BY question")
@@ -206,11 +205,12 @@ def undone_merges(v: Views) -> DataFrame:
     return answers.undone(merges.select("merged", "survivor"), merges.where("created_rank % 3 = 0").select("merged"))
 
 
-@query("d1_section_pairs", ", s AS (SELECT v.document, v.version_number AS n, c.pos AS ordinal, left(c.content, 3) AS key FROM chunks c JOIN versions v ON v.doc_id = c.doc_id WHERE v.version_number <= 2), o AS (SELECT *, row_number() OVER (PARTITION BY document, key ORDER BY ordinal) AS k FROM s WHERE n = 1), w AS (SELECT *, row_number() OVER (PARTITION BY document, key ORDER BY ordinal) AS k FROM s WHERE n = 2) SELECT o.document AS pair, o.ordinal AS old, w.ordinal AS new FROM o JOIN w USING (document, key, k)")
+@query("d1_section_pairs", ", s AS (SELECT v.document, v.version_number AS n, c.pos AS ordinal, c.content AS key FROM chunks c JOIN versions v ON v.doc_id = c.doc_id), o AS (SELECT *, row_number() OVER (PARTITION BY document, n, key ORDER BY ordinal) AS k FROM s) SELECT o.document || '#' || o.n AS pair, o.ordinal AS old, w.ordinal AS new FROM o JOIN o w ON w.document = o.document AND w.n = o.n + 1 AND w.key = o.key AND w.k = o.k")
 def section_pairs(v: Views) -> DataFrame:
-    """Lines stand in for sections, their first letters for the key."""
-    rows = v.chunks.join(v.versions.where("version_number <= 2").select("doc_id", "version_number"), "doc_id").select(F.col("document").alias("pair"), "version_number", F.col("pos").cast("long").alias("ordinal"), F.left("content", F.lit(3)).alias("key"))
-    paired = compare.pair_sections_by_key(rows.where("version_number = 1").drop("version_number"), rows.where("version_number = 2").drop("version_number"))
+    """Lines stand in for sections, the whole line for the key; every version against its successor."""
+    rows = v.chunks.join(v.versions.select("doc_id", "version_number"), "doc_id").select("document", "version_number", F.col("pos").cast("long").alias("ordinal"), F.col("content").alias("key"))
+    pair = lambda shift: F.concat_ws("#", "document", (F.col("version_number") - shift).cast("string")).alias("pair")
+    paired = compare.pair_sections_by_key(rows.select(pair(0), "ordinal", "key"), rows.select(pair(1), "ordinal", "key"))
     return paired.where("how = 'SAME_PATH'").select("pair", "old", "new")
 
 

@@ -52,11 +52,11 @@ def relationship_listing(v: Views) -> DataFrame:
 
 
 @query("f6_review_queue", """SELECT 'entity' AS kind, id, name AS label, 1 - 0.1::DOUBLE AS confidence FROM live WHERE state = 'PENDING' AND entity_type = 'COMPONENT'
-UNION ALL SELECT 'relationship', r.id, a.name || ' ' || r.type || ' ' || b.name, """ + CONF.replace("evidence", "r.evidence").replace("raw", "r.raw").replace("extraction", "r.extraction") + """ FROM liverel r JOIN live a ON a.id = r.source JOIN live b ON b.id = r.target WHERE r.state = 'PENDING' AND r.quantity >= 50""")
+UNION ALL SELECT 'relationship', r.id, a.name || ' ' || r.type || ' ' || b.name, """ + CONF.replace("evidence", "r.evidence").replace("raw", "r.raw").replace("extraction", "r.extraction") + """ FROM liverel r JOIN live a ON a.id = r.source JOIN live b ON b.id = r.target WHERE r.state = 'PENDING'""")
 def review_queue(v: Views) -> DataFrame:
     live = facts.live_entities(v.entities)
     entities = live.where("state = 'PENDING' and entity_type = 'COMPONENT'").select(F.lit("entity").alias("kind"), "id", F.col("name").alias("label"), F.col("confidence").cast("double").alias("confidence"))
-    edges = facts.with_endpoints(facts.live_relationships(v.relationships).where("state = 'PENDING' and quantity >= 50"), live)
+    edges = facts.with_endpoints(facts.live_relationships(v.relationships).where("state = 'PENDING'"), live)
     return entities.unionByName(edges.select(F.lit("relationship").alias("kind"), "id", F.concat_ws(" ", "source_name", "type", "target_name").alias("label"), conf().alias("confidence")))
 
 
@@ -72,9 +72,9 @@ def null_safe_identity(v: Views) -> DataFrame:
 
 
 @query("f10_rule_check", """SELECT r.id, r.type, CASE WHEN b.entity_type NOT IN ('INTERFACE', 'SIGNAL', 'DATA_ELEMENT') THEN r.type || ' is not expected to end at a ' || b.entity_type || '.' END AS problem
-FROM relationships r JOIN entities a ON a.id = r.source JOIN entities b ON b.id = r.target WHERE r.quantity >= 45""")
+FROM relationships r JOIN entities a ON a.id = r.source JOIN entities b ON b.id = r.target""")
 def rule_check(v: Views) -> DataFrame:
-    edges = facts.with_endpoints(v.relationships.where("quantity >= 45"), v.entities)
+    edges = facts.with_endpoints(v.relationships, v.entities)
     return edges.select("id", "type", facts.rule_problem(F.col("type"), F.col("source_type"), F.col("target_type")).alias("problem"))
 
 
@@ -116,9 +116,9 @@ def entity_detail(v: Views) -> DataFrame:
 
 
 @query("f16_relationship_detail", f"""SELECT r.id, a.name AS source_name, b.name AS target_name, r.evidence, {CONF.replace('raw', 'r.raw').replace('evidence', 'r.evidence').replace('extraction', 'r.extraction')} AS confidence, s.first_source
-FROM liverel r JOIN entities a ON a.id = r.source JOIN entities b ON b.id = r.target JOIN (SELECT source, target, type, arg_min(chunk_id, l_orderkey * 100 + l_linenumber) AS first_source FROM statements GROUP BY 1, 2, 3) s ON s.source = r.source AND s.target = r.target AND s.type = r.type WHERE r.quantity >= 48""")
+FROM liverel r JOIN entities a ON a.id = r.source JOIN entities b ON b.id = r.target JOIN (SELECT source, target, type, arg_min(chunk_id, l_orderkey * 100 + l_linenumber) AS first_source FROM statements GROUP BY 1, 2, 3) s ON s.source = r.source AND s.target = r.target AND s.type = r.type""")
 def relationship_detail(v: Views) -> DataFrame:
-    rows = facts.with_endpoints(facts.live_relationships(v.relationships).where("quantity >= 48"), v.entities)
+    rows = facts.with_endpoints(facts.live_relationships(v.relationships), v.entities)
     first = v.statements.groupBy("source", "target", "type").agg(F.min_by("chunk_id", F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("first_source"))
     return rows.join(first, ["source", "target", "type"]).select("id", "source_name", "target_name", "evidence", conf().alias("confidence"), "first_source")
 
@@ -140,9 +140,9 @@ def out_edges(v: Views) -> DataFrame:
     return v.relationships.where("source = 's2'").select("id", "target", "type")
 
 
-@query("j1_provenance", "SELECT s.chunk_id, r.id, o_orderstatus AS status, c_name AS document, n_name AS place FROM relationships r JOIN statements s ON s.source = r.source AND s.target = r.target AND s.type = r.type JOIN orders ON o_orderkey = s.l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE r.quantity >= 49")
+@query("j1_provenance", "SELECT s.chunk_id, r.id, o_orderstatus AS status, c_name AS document, n_name AS place FROM relationships r JOIN statements s ON s.source = r.source AND s.target = r.target AND s.type = r.type JOIN orders ON o_orderkey = s.l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey")
 def provenance(v: Views) -> DataFrame:
-    rows = v.relationships.where("quantity >= 49").select("id", "source", "target", "type").join(v.statements, ["source", "target", "type"])
+    rows = v.relationships.select("id", "source", "target", "type").join(v.statements, ["source", "target", "type"])
     rows = rows.join(v.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(v.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
     return rows.join(v.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("chunk_id", "id", F.col("o_orderstatus").alias("status"), F.col("c_name").alias("document"), F.col("n_name").alias("place"))
 
@@ -153,9 +153,9 @@ def chunk_context(v: Views) -> DataFrame:
     return v.chunks.select("doc_id", F.col("pos").cast("long").alias("pos")).join(versions, "doc_id").select("doc_id", "pos", "document", F.col("version_number").cast("long").alias("version_number"))
 
 
-@query("j3_section_text", "SELECT d.doc_id, coalesce(string_agg(c.content, chr(10) ORDER BY c.pos), '') AS content FROM documents d LEFT JOIN chunks c ON c.doc_id = d.doc_id AND length(c.content) < 40 GROUP BY d.doc_id")
+@query("j3_section_text", "SELECT d.doc_id, coalesce(string_agg(c.content, chr(10) ORDER BY c.pos), '') AS content FROM documents d LEFT JOIN chunks c ON c.doc_id = d.doc_id GROUP BY d.doc_id")
 def section_text(v: Views) -> DataFrame:
-    parts = v.chunks.where(F.length("content") < 40).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "content"))).alias("x"))
+    parts = v.chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "content"))).alias("x"))
     return v.table("documents").select("doc_id").join(parts, "doc_id", "left").select("doc_id", F.coalesce(F.array_join("x.content", "\n"), F.lit("")).alias("content"))
 
 
@@ -164,8 +164,8 @@ def name_index(v: Views) -> DataFrame:
     return facts.name_index(facts.live_entities(v.entities), v.aliases).groupBy("normalized").agg(F.count("*").alias("owners"), F.min("id").alias("first"))
 
 
-BINDING = """, cand AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, source, target, s.type, confidence) AS id, s.type, s.confidence, e.normalized AS ns, CASE WHEN s.l_partkey % 13 = 0 THEN 'gone' WHEN s.l_partkey % 5 = 0 THEN regexp_replace(lower(p_brand), '[^a-z0-9]+', '', 'g') ELSE p.normalized END AS nt
-  FROM statements s JOIN entities e ON e.id = s.source JOIN entities p ON p.id = s.target JOIN part ON p_partkey = s.l_partkey WHERE l_quantity >= 49),
+BINDING = """, cand AS (SELECT concat_ws('|', chunk_id, source, target, s.type, confidence::VARCHAR, row_number() OVER (PARTITION BY chunk_id, source, target, s.type, confidence ORDER BY explicit)::VARCHAR) AS id, s.type, s.confidence, e.normalized AS ns, CASE WHEN s.l_partkey % 13 = 0 THEN 'gone' WHEN s.l_partkey % 5 = 0 THEN regexp_replace(lower(p_brand), '[^a-z0-9]+', '', 'g') ELSE p.normalized END AS nt
+  FROM statements s JOIN entities e ON e.id = s.source JOIN entities p ON p.id = s.target JOIN part ON p_partkey = s.l_partkey),
 ix AS (SELECT i.normalized, l.id, l.state, l.entity_type FROM (SELECT normalized, id FROM live UNION SELECT normalized, entity_id FROM aliases) i JOIN live l ON l.id = i.id WHERE i.normalized <> ''),
 sd AS (SELECT c.id, count(ix.id) AS n, count(*) FILTER (ix.state <> 'REJECTED') AS u, count(*) FILTER (ix.state <> 'REJECTED' AND ix.entity_type IN ('COMPONENT', 'ECU') ) AS f, min(ix.id) FILTER (ix.state <> 'REJECTED') AS one FROM cand c LEFT JOIN ix ON ix.normalized = c.ns GROUP BY c.id),
 td AS (SELECT c.id, count(ix.id) AS n, count(*) FILTER (ix.state <> 'REJECTED') AS u, count(*) FILTER (ix.state <> 'REJECTED' AND (ix.entity_type IN ('INTERFACE', 'SIGNAL', 'DATA_ELEMENT') OR (c.type <> 'PROVIDES' AND ix.entity_type = 'COMPONENT'))) AS f,
@@ -175,21 +175,15 @@ b AS (SELECT c.id, c.type, CASE WHEN sd.n = 0 THEN 'MISSING' WHEN sd.u = 0 THEN
 """
 
 
-def candidates(v: Views, whole: bool = False) -> DataFrame:
-    """Relationship statements by name; every fifth part goes by its brand, and every thirteenth by a name that nothing has.
-
-    Those of the SQL have l_quantity >= 49 and are numbered.  whole: all statements, with their own columns as id and equal ones numbered.
-    """
+def candidates(v: Views) -> DataFrame:
+    """Relationship statements by name, numbered among equal ones; every fifth part goes by its brand, and every thirteenth by a name that nothing has."""
     names = lambda side: v.entities.select(F.col("id").alias(side), F.col("normalized").alias(f"normalized_{side}"))
-    rows = v.statements if whole else v.statements.where("l_quantity >= 49")
-    rows = rows.join(names("source"), "source").join(names("target"), "target")
+    rows = v.statements.join(names("source"), "source").join(names("target"), "target")
     brands = v.table("part").select(F.col("p_partkey").alias("l_partkey"), normalize_name(F.col("p_brand")).alias("brand"))
     name = F.when(F.col("l_partkey") % 13 == 0, "gone").when(F.col("l_partkey") % 5 == 0, F.col("brand")).otherwise(F.col("normalized_target"))
     rows = rows.join(brands, "l_partkey").withColumn("normalized_target", name)
-    number = F.expr("row_number() over (order by l_orderkey, l_linenumber, source, target, type, confidence)").cast("long")
-    if whole:
-        turn = F.expr("row_number() over (partition by chunk_id, source, target, type, confidence order by explicit)")
-        number = F.concat_ws("|", "chunk_id", "source", "target", "type", F.col("confidence").cast("string"), turn.cast("string"))
+    turn = F.expr("row_number() over (partition by chunk_id, source, target, type, confidence order by explicit)")
+    number = F.concat_ws("|", "chunk_id", "source", "target", "type", F.col("confidence").cast("string"), turn.cast("string"))
     return rows.select(number.alias("id"), "type", "normalized_source", "normalized_target", "confidence", "explicit", "chunk_id")
 
 
@@ -208,20 +202,20 @@ def find_or_create(v: Views) -> DataFrame:
     return out.select(F.coalesce("id", F.sha2(F.concat_ws("|", "source_id", "target_id", "type"), 256)).alias("id"), "source_id", "target_id", "type", F.col("id").isNull().alias("created"))
 
 
-@query("j8_live_edges", "SELECT r.id, r.source, r.target FROM activerel r JOIN live a ON a.id = r.source JOIN live b ON b.id = r.target WHERE r.quantity >= 40")
+@query("j8_live_edges", "SELECT r.id, r.source, r.target FROM activerel r JOIN live a ON a.id = r.source JOIN live b ON b.id = r.target")
 def live_edges(v: Views) -> DataFrame:
-    return facts.with_endpoints(facts.active_relationships(v.relationships).where("quantity >= 40"), facts.live_entities(v.entities)).select("id", "source", "target")
+    return facts.with_endpoints(facts.active_relationships(v.relationships), facts.live_entities(v.entities)).select("id", "source", "target")
 
 
-@query("j11_semi_join", "SELECT id, name FROM entities WHERE id IN (SELECT target FROM relationships WHERE type = 'USES' AND quantity >= 48)")
+@query("j11_semi_join", "SELECT id, name FROM entities WHERE id IN (SELECT target FROM relationships WHERE type = 'USES')")
 def semi_join(v: Views) -> DataFrame:
-    used = v.relationships.where("type = 'USES' and quantity >= 48").select(F.col("target").alias("id"))
+    used = v.relationships.where("type = 'USES'").select(F.col("target").alias("id"))
     return v.entities.join(used, "id", "left_semi").select("id", "name")
 
 
-@query("j12_anti_join", "SELECT id FROM entities WHERE id NOT IN (SELECT target FROM relationships WHERE type = 'PROVIDES' AND quantity >= 49) AND entity_type = 'INTERFACE'")
+@query("j12_anti_join", "SELECT id FROM entities WHERE id NOT IN (SELECT target FROM relationships WHERE type = 'PROVIDES') AND entity_type = 'INTERFACE'")
 def anti_join(v: Views) -> DataFrame:
-    provided = v.relationships.where("type = 'PROVIDES' and quantity >= 49").select(F.col("target").alias("id"))
+    provided = v.relationships.where("type = 'PROVIDES'").select(F.col("target").alias("id"))
     return v.entities.where("entity_type = 'INTERFACE'").join(provided, "id", "left_anti").select("id")
 
 
@@ -303,19 +297,14 @@ def counters(v: Views) -> DataFrame:
     return v.table("events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("largest"), F.round(F.try_divide(F.count(F.when(F.col("value") > 50, 1)).cast("double"), F.count("*")), 6).alias("rate"))
 
 
-@query("a17_entity_report", """, f AS (SELECT 'out' AS direction, source AS entity, type, target AS other FROM activerel WHERE quantity >= 49 UNION ALL SELECT 'in', target, type, source FROM activerel WHERE quantity >= 49)
+@query("a17_entity_report", """, f AS (SELECT 'out' AS direction, source AS entity, type, target AS other FROM activerel UNION ALL SELECT 'in', target, type, source FROM activerel)
 SELECT entity, direction, type, count(*) AS n, string_agg(other, ';' ORDER BY other) AS others FROM f GROUP BY ALL""")
 def entity_report(v: Views) -> DataFrame:
-    rows = facts.active_relationships(v.relationships).where("quantity >= 49")
+    rows = facts.active_relationships(v.relationships)
     both = rows.select(F.lit("out").alias("direction"), F.col("source").alias("entity"), "type", F.col("target").alias("other")).union(rows.select(F.lit("in"), "target", "type", "source"))
     return both.groupBy("entity", "direction", "type").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("other")), ";").alias("others"))
 
 
-@query("w5_first_fact", "SELECT target, arg_min(id, id) AS id FROM activerel GROUP BY target")
-def first_fact(v: Views) -> DataFrame:
-    return facts.active_relationships(v.relationships).groupBy("target").agg(F.min("id").alias("id"))
-
-
 @query("w3_top_evidence", """, s AS (SELECT source || '|' || target || '|' || type AS id, chunk_id, row_number() OVER (PARTITION BY source, target, type ORDER BY confidence DESC, l_orderkey, l_linenumber) AS n FROM statements)
 SELECT id, chunk_id, n FROM s WHERE n <= 2""")
 def top_evidence(v: Views) -> DataFrame:
