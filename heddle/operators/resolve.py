@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.functions import fuzzy
 from heddle.functions import text as X
+from heddle.operators.graph import settled
 
 
 def type_group(entity_type: Column) -> Column:
@@ -85,46 +83,40 @@ def survivors(members: DataFrame, group: list[str]) -> DataFrame:
     return rows.groupBy(*group).agg(F.min_by("id", "__o").alias("id"))
 
 
-class ConstrainedGroups:
-    """Greedy union of groups, refused where a forbidden pair would meet."""
-
-    def __init__(self, forbidden: Callable[[str, str], str | None]):
-        self.group: dict[str, list[str]] = {}
-        self.forbidden = forbidden
-        self.refused: list[tuple[str, str, str]] = []
-
-    def union(self, a: str, b: str) -> None:
-        left, right = self.group.setdefault(a, [a]), self.group.setdefault(b, [b])
-        if left is right:
-            return
-        for x in left:
-            for y in right:
-                if why := self.forbidden(x, y):
-                    self.refused.append((a, b, why))
-                    return
-        if (len(left), right[0]) < (len(right), left[0]):
-            left, right = right, left
-        left.extend(right)
-        for x in right:
-            self.group[x] = left
-
-
 def cluster(edges: DataFrame, forbidden: DataFrame) -> DataFrame:
-    """Constrained clustering of edges (component, a, b, priority, similarity, pair_key) per component.
+    """Constrained clustering of edges (component, a, b, priority, similarity, pair_key), taken by priority, falling similarity and pair_key.
 
-    forbidden: component, a, b, reason. Within a component edges are taken by priority, falling similarity and pair_key. Components come from candidate blocks of bounded size, so
-    each fits a task.  Gives component, id, grp (smallest member) and rows for refusals (id null; a, b, reason).
+    An edge joins the groups of its ends, unless a forbidden pair (component, a, b, reason) would meet.  Done in rounds of joins: an edge that is the first of
+    both groups that it touches would be the next to touch them in a walk over all edges too, so all such edges are decided at once; of two groups that may not meet, all
+    edges between them are refused.  No component has to fit a task.
+    Gives component, id, grp (smallest member), and rows for refusals (id and grp null; a, b, reason: that of the smallest forbidden pair).
     """
-    schema = "component string, id string, grp string, a string, b string, reason string"
-
-    def run(key, part: pd.DataFrame, no: pd.DataFrame) -> pd.DataFrame:
-        bad = {(x, y): r for x, y, r in zip(no["a"], no["b"], no["reason"], strict=True)}
-        groups = ConstrainedGroups(lambda x, y: bad.get((x, y)) or bad.get((y, x)))
-        for e in part.sort_values(["priority", "similarity", "pair_key"], ascending=[True, False, True]).itertuples():
-            groups.union(e.a, e.b)
-        rows = [(key[0], x, min(g), None, None, None) for x, g in groups.group.items()]
-        rows += [(key[0], None, None, a, b, why) for a, b, why in groups.refused]
-        return pd.DataFrame(rows, columns=["component", "id", "grp", "a", "b", "reason"])
-
-    edges, forbidden = (df.toDF(*df.columns) for df in (edges, forbidden))  # they may share a lineage
-    return edges.groupBy("component").cogroup(forbidden.groupBy("component")).applyInPandas(run, schema)
+    ends = edges.select("component", F.col("a").alias("id")).union(edges.select("component", "b")).distinct()
+    members = settled(ends.withColumn("grp", F.col("id")))
+    rank = F.struct("priority", (-F.col("similarity")).alias("s"), "pair_key", "a", "b")
+    live = settled(edges.where("a <> b").select("component", "a", "b", F.col("a").alias("ga"), F.col("b").alias("gb"), rank.alias("rank")))
+    either = forbidden.select("component", "a", "b", "reason").union(forbidden.select("component", "b", "a", "reason"))
+    bans = settled(either.select("component", F.col("a").alias("ga"), F.col("b").alias("gb"), F.struct("a", "b", "reason").alias("why")))
+    refused = None
+    while live.limit(1).count():
+        touching = live.select("component", F.col("ga").alias("g"), "rank").union(live.select("component", "gb", "rank")).groupBy("component", "g").agg(F.min("rank").alias("rank"))
+        first = touching.groupBy("component", "rank").agg(F.count("*").alias("n")).where("n = 2").select("component", "rank")
+        why = bans.groupBy("component", "ga", "gb").agg(F.min("why")["reason"].alias("reason"))
+        decided = settled(live.join(first, ["component", "rank"]).join(why, ["component", "ga", "gb"], "left").select("component", "ga", "gb", "reason"))
+        no = decided.where("reason is not null")
+        no = no.union(no.select("component", "gb", "ga", "reason"))
+        gone = live.join(no, ["component", "ga", "gb"]).select("component", "a", "b", "reason")
+        refused = gone if refused is None else refused.unionByName(gone)
+        into = decided.where("reason is null").select("component", F.greatest("ga", "gb").alias("g"), F.least("ga", "gb").alias("to"))
+
+        def moved(rows: DataFrame, c: str, into: DataFrame = into) -> DataFrame:
+            names = rows.columns
+            return rows.join(into.withColumnRenamed("g", c), ["component", c], "left").withColumn(c, F.coalesce("to", c)).select(*names)
+
+        rest = live.join(no.select("component", "ga", "gb"), ["component", "ga", "gb"], "left_anti").select(*live.columns)
+        live = settled(moved(moved(rest, "ga"), "gb").where("ga <> gb"))
+        bans = settled(moved(moved(bans, "ga"), "gb"))
+        members = settled(moved(members, "grp"))
+    none = F.lit(None).cast("string")
+    out = members.select(F.col("component").cast("string").alias("component"), "id", "grp", none.alias("a"), none.alias("b"), none.alias("reason"))
+    return out if refused is None else out.unionByName(refused.select(F.col("component").cast("string").alias("component"), none.alias("id"), none.alias("grp"), "a", "b", "reason"))

@@ -615,13 +615,13 @@ def finding_groups(v: Views) -> DataFrame:
 # Ingestion.
 
 
-def document_blocks(v: Views) -> DataFrame:
-    return v.chunks.select(F.col("doc_id").cast("string").alias("doc"), F.col("pos").alias("n"), F.lit("TEXT").alias("kind"), F.col("content").alias("text"), F.lit(None).cast("int").alias("level"), F.lit("none").alias("source"))
-
-
 @query("c1_chunks")
 def chunks(v: Views) -> DataFrame:
-    return ingest.chunk_documents(document_blocks(v)).select("doc", "section", "path", "chunk", "kind", "n_tokens", F.sha2("content", 256).alias("content_hash"))
+    """Each line of a document with a word is a block of text."""
+    block = lambda x, n: F.struct(n.alias("n"), F.lit("TEXT").alias("kind"), x.alias("text"), F.lit(None).cast("int").alias("level"), F.lit("none").alias("source"))
+    blocks = F.filter(F.transform(F.split("text", "\n"), block), lambda b: b["text"].rlike(r"\S"))
+    listed = v.table("documents").select(F.col("doc_id").alias("doc"), blocks.alias("blocks"))
+    return ingest.chunk_listed(listed).select("doc", "section", "path", "chunk", "kind", "n_tokens", F.sha2("content", 256).alias("content_hash"))
 
 
 @query("x26_metadata", r"""SELECT doc_id::VARCHAR AS doc, 'version' AS field, value FROM (SELECT doc_id, arg_min(regexp_extract(content, '(?i)^(?:document\s+)?(?:version|revision|rev\.?)\s*[:\-]\s*([0-9A-Za-z_.\-]+)', 1), pos) AS value FROM (SELECT doc_id, 0 AS pos, 'Version: 1.' || doc_id AS content FROM documents UNION ALL SELECT doc_id, pos + 1, content FROM chunks) WHERE regexp_matches(content, '(?i)^(?:document\s+)?(?:version|revision|rev\.?)\s*[:\-]\s*[0-9A-Za-z_.\-]+') AND pos < 60 GROUP BY doc_id)""")

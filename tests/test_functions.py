@@ -93,6 +93,21 @@ def test_markdown():
     assert MARKDOWN[blocks[2].start : blocks[2].stop] == b"# 1 Scope\n"
 
 
+def test_markdown_runs():
+    texts = lambda t: [(b.kind, b.text) for b in markup.read_markdown(t)]
+    assert texts(b"- a\nprose\nlower goes on\n  Indented starts anew\n  and goes on\n") == [("TEXT", "- a"), ("TEXT", "prose lower goes on"), ("TEXT", "Indented starts anew and goes on")]
+    assert texts(b"```\n# no heading\n\n```\n~~~\nleft open") == [("TEXT", "# no heading\n"), ("TEXT", "left open")]
+    assert texts(b"") == texts(b"\n \n") == texts(b"|---|\n") == []
+
+
+def test_numbered_headings():
+    number = lambda text: ingest._number(text)
+    accepted = lambda line, last: ingest.numbered_heading(line, last and number(last)) is not None
+    assert accepted("7 Any first number", None) and accepted("1.1 Below", "1") and accepted("4 Three on", "1.2") and accepted("1.4 Sibling", "1.2.9") and accepted("A.2 Letter", "A.1")
+    assert not accepted("5 Four on", "1") and not accepted("1.2 Skips one", "1") and not accepted("1 Again", "1") and not accepted("1.1.1 Two below", "1")
+    assert not accepted("2 ends in a full stop.", "1") and not accepted("2 lower case", "1") and not accepted("2 One. Two. Three", "1") and not accepted("2 " + "Word " * 17, "1") and not accepted("2 " + "W" * 111, "1")
+
+
 def test_office_readers_and_workbook_round_trip():
     book = markup.write_xlsx({"First": [["a", "b"], ["1", "<&>"]], "Second": [["x"]]})
     assert [(b.kind, b.text) for b in markup.read_xlsx(book)] == [("HEADING", "First"), ("TABLE", "| a | b |\n| --- | --- |\n| 1 | <&> |"), ("HEADING", "Second"), ("TABLE", "| x |\n| --- |")]
@@ -147,13 +162,31 @@ def test_sections_and_chunks(spark):
     assert [r["path"] for r in ingest.chunk_documents(rows).orderBy("section", "chunk").collect()] == ["", "Scope", "Scope > Sub"]
 
 
-def test_constrained_groups_do_not_depend_on_order():
-    forbidden = {frozenset("ac"): "no"}
-    groups = resolve.ConstrainedGroups(lambda x, y: forbidden.get(frozenset((x, y))))
-    for a, b in [("a", "b"), ("b", "c"), ("c", "d")]:
-        groups.union(a, b)
-    assert sorted(map(tuple, {tuple(sorted(g)) for g in map(tuple, groups.group.values())})) == [("a", "b"), ("c", "d")]
-    assert groups.refused == [("b", "c", "no")]
+def test_clusters_equal_a_walk_over_all_edges(spark):
+    """Random graphs with forbidden pairs, against taking one edge after the other."""
+    rng = random.Random(12)
+    edges, no, want, refused = [], [], {}, set()
+    for component in range(6):
+        ids = [f"{component}{chr(97 + k)}" for k in range(9)]
+        own = [(f"k{component}", a, b, rng.randrange(2), rng.randrange(80, 100) / 100, f"{rng.random()}") for k, a in enumerate(ids) for b in ids[k + 1 :] if rng.random() < 0.5]
+        bad = {frozenset(rng.sample(ids, 2)) for _ in range(5)}
+        edges += own
+        no += [(f"k{component}", *sorted(p), "never") for p in bad]
+        group = {x: {x} for e in own for x in e[1:3]}
+        for e in sorted(own, key=lambda e: (e[3], -e[4], e[5])):
+            left, right = group[e[1]], group[e[2]]
+            if left is right:
+                continue
+            if any(frozenset((x, y)) in bad for x in left for y in right):
+                refused.add(e[1:3])
+                continue
+            left |= right
+            for x in right:
+                group[x] = left
+        want |= {x: min(g) for x, g in group.items()}
+    rows = resolve.cluster(spark.createDataFrame(edges, "component string, a string, b string, priority int, similarity double, pair_key string"), spark.createDataFrame(no, "component string, a string, b string, reason string")).collect()
+    assert {r["id"]: r["grp"] for r in rows if r["id"]} == want
+    assert {(r["a"], r["b"]) for r in rows if not r["id"]} == refused
 
 
 def test_clusters_are_permutation_invariant(spark):
