@@ -85,3 +85,57 @@ def excerpt_of(text: Column, tokens: int) -> Column:
     cost = F.transform(lines, X.estimate_tokens)
     keep = F.aggregate(cost, F.struct(F.lit(0).alias("n"), F.lit(0).alias("used"), F.lit(False).alias("full")), lambda a, c: F.when(a["full"] | ((a["n"] > 0) & (a["used"] + c > tokens)), F.struct(a["n"].alias("n"), a["used"].alias("used"), F.lit(True).alias("full"))).otherwise(F.struct((a["n"] + 1).alias("n"), (a["used"] + c).alias("used"), (a["used"] + c >= tokens).alias("full"))), lambda a: a["n"])
     return F.array_join(F.slice(lines, 1, keep), "\n")
+
+
+def graph_facts(arrivals: DataFrame, evidence: DataFrame, most: int = MAX_FACTS, per_root: int = EDGES_PER_ROOT) -> DataFrame:
+    """arrivals of graph.reach (with turn: the order of the roots) to facts: the first per_root edges of each root by depth, type and id; an edge counts for its first root.
+
+    evidence (id, chunk_id, rank): facts without a citation are left out.  Of the rest the first ``most``: root, id, depth, type, citation.
+    """
+    once = arrivals.groupBy("turn", "root", "id", "type").agg(F.min("depth").alias("depth"))
+    near = once.withColumn("n", F.expr("row_number() over (partition by turn, root order by depth, type, id)")).where(F.col("n") <= per_root)
+    own = near.groupBy("id").agg(F.min(F.struct("turn", "root", "depth", "type")).alias("x")).select("id", "x.*")
+    cited = evidence.join(own.select("id"), "id", "left_semi").groupBy("id").agg(F.min_by("chunk_id", F.struct("rank", "chunk_id")).alias("citation"))
+    return own.join(cited, "id").orderBy("turn", "depth", "type", "id").limit(most).select("root", "id", "depth", "type", "citation")
+
+
+def fact_claims(facts: DataFrame, sources: DataFrame, most: int = FACT_CLAIMS) -> DataFrame:
+    """facts (root, place, id, source_name, type, target_name, depth, extraction) with the passage that each cites (sources: id, chunk_id, text), as claims.
+
+    Of each root the first ``most``; a claim stands only if its passage names both ends.
+    """
+    first = facts.where(F.col("place") <= most).join(sources, "id")
+    names = lambda c: F.contains(X.normalize_name(F.col("text")), X.normalize_name(F.col(c)))
+    hop = F.when(F.col("depth") > 1, F.concat(F.lit(" ("), F.col("depth").cast("string"), F.lit(" hops from the question's entity)"))).otherwise(F.lit(""))
+    said = F.concat(F.concat_ws(" ", "source_name", "type", "target_name"), hop)
+    return first.where(names("source_name") & names("target_name")).select("root", "id", said.alias("claim"), "chunk_id", F.when(F.col("extraction") == "EXPLICIT", "EXPLICIT").otherwise("INFERRED").alias("extraction"))
+
+
+def composed(claims: DataFrame, questions: DataFrame) -> DataFrame:
+    """questions (question, n_facts, graph_only, rounds) with claims (question, supported, support, inferred, role) as answers: status, mode, groundedness, limitations.
+
+    A question without a supported claim has no answer and a groundedness of 0.
+    """
+    supported = F.col("supported")
+    counts = claims.groupBy("question").agg(
+        F.count(F.when(supported, 1)).alias("kept"), F.count(F.when(~supported, 1)).alias("dropped"), F.avg(F.when(supported, F.col("support"))).alias("mean"),
+        F.coalesce(F.bool_or(supported & F.col("inferred")), F.lit(False)).alias("inferred"), F.coalesce(F.bool_or(supported & F.col("role").isin("PARENT_LEAD", "NEIGHBOR")), F.lit(False)).alias("around"),
+    )
+    rows = questions.join(counts, "question", "left").na.fill(0, ["kept", "dropped"])
+    able = F.col("kept") > 0
+    mode = F.when(F.col("graph_only"), "GRAPH").when(F.col("n_facts") > 0, "HYBRID").otherwise("SOURCE")
+    limits = F.array_compact(F.array(
+        F.lit("retrieved passages only"), F.when(F.col("dropped") > 0, F.concat(F.col("dropped").cast("string"), F.lit(" statement(s) removed"))), F.when(F.col("inferred"), "inferred statements need review"),
+        F.when(F.col("rounds") > 1, "rephrased queries"), F.when(F.col("around"), "parent or neighbouring context"),
+    ))
+    none = F.when(F.col("graph_only"), "no facts about a named entity").otherwise("nothing relevant was retrieved")
+    grounded = F.round(F.col("kept") / (F.col("kept") + F.col("dropped")) * F.col("mean"), 2)
+    return rows.select("question", F.when(able, "GROUNDED").otherwise("INSUFFICIENT_EVIDENCE").alias("status"), mode.alias("mode"), F.when(able, grounded).otherwise(F.lit(0.0)).alias("groundedness"), F.array_join(F.when(able, limits).otherwise(F.array(none)), "; ").alias("limitations"))
+
+
+def statement_units(lines: DataFrame) -> DataFrame:
+    """lines (doc, n, line) as single statements (doc, n, k, statement, context): sentences, list items, and table rows with their header as context; headers and separators are none."""
+    rows = table_rows(lines).select("doc", "n", F.lit(1).alias("k"), F.col("line").alias("statement"), F.col("header").alias("context"))
+    said = X.sentences(F.col("line"))
+    prose = lines.where(~F.trim("line").startswith("|") & (F.trim("line") != "")).select("doc", "n", F.posexplode(F.when(F.size(said) > 0, said).otherwise(F.array(F.trim("line")))).alias("k", "statement"))
+    return rows.unionByName(prose.select("doc", "n", (F.col("k") + 1).alias("k"), "statement", F.lit("").alias("context")))

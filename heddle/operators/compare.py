@@ -204,3 +204,20 @@ def line_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     count = lambda df, c: df.groupBy("pair", "line").agg(F.count("*").alias(c))
     both = count(old, "n_old").join(count(new, "n_new"), ["pair", "line"], "full_outer").na.fill(0, ["n_old", "n_new"])
     return both.where("n_old <> n_new").select("pair", F.when(F.col("n_old") > F.col("n_new"), "REMOVED").otherwise("ADDED").alias("change"), "line", F.abs(F.col("n_old") - F.col("n_new")).alias("n"))
+
+
+def section_findings(changes: DataFrame) -> DataFrame:
+    """changes (pair, change, n) of paired sections, a finding per pair that has any: severity and summary.  Lost or changed statements weigh more than new ones."""
+    said = {"CHANGED": "value change(s)", "REMOVED": "statement(s) removed", "ADDED": "statement(s) added", "REWORDED": "reworded"}
+    counts = changes.groupBy("pair").agg(*(F.coalesce(F.sum(F.when(F.col("change") == k, F.col("n"))), F.lit(0)).alias(k) for k in said))
+    parts = F.array_compact(F.array(*(F.when(F.col(k) > 0, F.concat(F.col(k).cast("string"), F.lit(f" {what}"))) for k, what in said.items())))
+    return counts.select("pair", F.lit("MODIFIED").alias("classification"), F.when((F.col("CHANGED") > 0) | (F.col("REMOVED") > 0), "MEDIUM").otherwise("LOW").alias("severity"), F.array_join(parts, ", ").alias("summary"))
+
+
+def analysed(findings: DataFrame, attempts: int = 40, enough: int = 10) -> DataFrame:
+    """findings (scope, severity, summary, n_impacts) whose impacts are looked at: relationships first, then by severity and summary, until ``enough`` have any or ``attempts`` are made."""
+    order = [F.when(F.col("scope") == "RELATIONSHIP", 0).otherwise(1), F.when(F.col("severity") == "HIGH", 0).when(F.col("severity") == "MEDIUM", 1).when(F.col("severity") == "LOW", 2).otherwise(3), F.col("summary")]
+    # At most ``attempts`` rows are left for the windows over all of them.
+    first = findings.withColumn("o", F.struct(*(c.alias(f"o{k}") for k, c in enumerate(order)))).orderBy("o").limit(attempts)
+    before = F.expr("coalesce(sum(if(n_impacts > 0, 1, 0)) over (order by o rows between unbounded preceding and 1 preceding), 0)")
+    return first.withColumn("attempt", F.expr("row_number() over (order by o)")).withColumn("before", before).where(F.col("before") < enough).select("attempt", "scope", "severity", "summary", "n_impacts")

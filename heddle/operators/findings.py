@@ -17,7 +17,7 @@ def fingerprint(kind: str, key: F.Column) -> F.Column:
     return F.sha2(F.concat_ws("|", F.lit(kind), key), 256)
 
 
-def _draft(rows: DataFrame, kind: str, severity: F.Column | str, key: F.Column, summary: F.Column, order: int) -> DataFrame:
+def draft(rows: DataFrame, kind: str, severity: F.Column | str, key: F.Column, summary: F.Column, order: int) -> DataFrame:
     severity = F.lit(severity) if isinstance(severity, str) else severity
     return rows.select(F.lit(kind).alias("finding_type"), severity.alias("severity"), key.alias("key"), fingerprint(kind, key).alias("fingerprint"), summary.alias("summary"), F.lit(order).alias("detector"))
 
@@ -30,7 +30,7 @@ def missing_providers(entities: DataFrame, relationships: DataFrame) -> DataFram
     open_ends = facts.active_entities(entities).where("entity_type = 'INTERFACE'").join(provided, "id", "left_anti").join(users, "id", "left")
     used = F.size(F.coalesce("users", F.array().cast("array<string>"))) > 0
     summary = F.concat(F.lit("interface '"), F.col("name"), F.lit("' has no provider."), F.when(used, F.concat(F.lit(" It is used by "), F.array_join(F.slice("users", 1, 3), ", "), F.lit("."))).otherwise(F.lit("")))
-    return _draft(open_ends, "MISSING_PROVIDER", F.when(used, "HIGH").otherwise("LOW"), F.col("id"), summary, 0)
+    return draft(open_ends, "MISSING_PROVIDER", F.when(used, "HIGH").otherwise("LOW"), F.col("id"), summary, 0)
 
 
 def binding_problems(bound: DataFrame) -> DataFrame:
@@ -41,9 +41,9 @@ def binding_problems(bound: DataFrame) -> DataFrame:
     ambiguous = rows.where("state = 'AMBIGUOUS'").groupBy("name").agg(F.count("*").alias("n"))
     rejected = rows.where("state = 'REJECTED'").select("id").distinct()
     return (
-        _draft(missing, "MISSING_ENTITY_DEFINITION", "MEDIUM", F.col("name"), F.concat(F.lit("'"), F.col("name"), F.lit("' is referenced in "), F.col("n").cast("string"), F.lit(" statement(s) but not defined.")), 1)
-        .unionByName(_draft(ambiguous, "UNRESOLVED_ALIAS", "MEDIUM", F.concat(F.lit("ambiguous:"), F.col("name")), F.concat(F.lit("the name '"), F.col("name"), F.lit("' could refer to several entities.")), 1))
-        .unionByName(_draft(rejected, "DANGLING_RELATIONSHIP", "MEDIUM", F.concat(F.lit("candidate:"), F.col("id").cast("string")), F.lit("a statement refers to a rejected entity."), 1))
+        draft(missing, "MISSING_ENTITY_DEFINITION", "MEDIUM", F.col("name"), F.concat(F.lit("'"), F.col("name"), F.lit("' is referenced in "), F.col("n").cast("string"), F.lit(" statement(s) but not defined.")), 1)
+        .unionByName(draft(ambiguous, "UNRESOLVED_ALIAS", "MEDIUM", F.concat(F.lit("ambiguous:"), F.col("name")), F.concat(F.lit("the name '"), F.col("name"), F.lit("' could refer to several entities.")), 1))
+        .unionByName(draft(rejected, "DANGLING_RELATIONSHIP", "MEDIUM", F.concat(F.lit("candidate:"), F.col("id").cast("string")), F.lit("a statement refers to a rejected entity."), 1))
     )
 
 
@@ -53,7 +53,7 @@ def dangling(entities: DataFrame, relationships: DataFrame) -> DataFrame:
     for s in ("source", "target"):
         rows = rows.join(bad.select(F.col("id").alias(s), F.col("name").alias(f"bad_{s}")), s, "left")
     rows = rows.withColumn("bad", F.coalesce("bad_source", "bad_target")).where("bad is not null")
-    return _draft(rows, "DANGLING_RELATIONSHIP", "MEDIUM", F.concat(F.lit("relationship:"), F.col("rel")), F.concat(F.lit("a "), F.col("type"), F.lit(" relationship depends on the rejected entity '"), F.col("bad"), F.lit("'.")), 2)
+    return draft(rows, "DANGLING_RELATIONSHIP", "MEDIUM", F.concat(F.lit("relationship:"), F.col("rel")), F.concat(F.lit("a "), F.col("type"), F.lit(" relationship depends on the rejected entity '"), F.col("bad"), F.lit("'.")), 2)
 
 
 def possible_duplicates(entities: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -62,30 +62,30 @@ def possible_duplicates(entities: DataFrame, decisions: DataFrame) -> DataFrame:
     rows = decisions.where("decision = 'UNSURE'")
     for s in "ab":
         rows = rows.join(active.select(F.col("id").alias(s), F.col("name").alias(f"name_{s}")), s)
-    return _draft(rows, "POSSIBLE_DUPLICATE", "LOW", F.col("pair_key"), F.concat(F.lit("'"), F.col("name_a"), F.lit("' and '"), F.col("name_b"), F.lit("' may be the same.")), 3)
+    return draft(rows, "POSSIBLE_DUPLICATE", "LOW", F.col("pair_key"), F.concat(F.lit("'"), F.col("name_a"), F.lit("' and '"), F.col("name_b"), F.lit("' may be the same.")), 3)
 
 
 def conflicting(entities: DataFrame, relationships: DataFrame) -> DataFrame:
     kinds = facts.active_entities(entities).groupBy("normalized").agg(F.countDistinct(type_group(F.col("entity_type"))).alias("groups"), F.array_sort(F.collect_set("entity_type")).alias("kinds"), F.min_by("name", "created_rank").alias("name")).where("groups > 1")
-    out = _draft(kinds, "CONFLICTING_DECLARATION", "MEDIUM", F.concat(F.lit("types:"), F.col("normalized")), F.concat(F.lit("'"), F.col("name"), F.lit("' is declared as more than one kind of element ("), F.array_join("kinds", ", "), F.lit(").")), 4)
+    out = draft(kinds, "CONFLICTING_DECLARATION", "MEDIUM", F.concat(F.lit("types:"), F.col("normalized")), F.concat(F.lit("'"), F.col("name"), F.lit("' is declared as more than one kind of element ("), F.array_join("kinds", ", "), F.lit(").")), 4)
     live = facts.active_relationships(relationships)
     for a, b in facts.OPPOSING:
         one, other = (live.where(F.col("type") == t).select("source", "target") for t in (a, b))
         key = F.concat_ws(":", F.lit("opposing"), "source", "target", F.lit(a), F.lit(b))
-        out = out.unionByName(_draft(one.join(other, ["source", "target"]), "CONFLICTING_DECLARATION", "MEDIUM", key, F.concat(F.lit("'"), F.col("source"), F.lit(f"' is stated to both {a} and {b} '"), F.col("target"), F.lit("'.")), 4))
+        out = out.unionByName(draft(one.join(other, ["source", "target"]), "CONFLICTING_DECLARATION", "MEDIUM", key, F.concat(F.lit("'"), F.col("source"), F.lit(f"' is stated to both {a} and {b} '"), F.col("target"), F.lit("'.")), 4))
     return out
 
 
 def inconsistent_types(entities: DataFrame, relationships: DataFrame) -> DataFrame:
     edges = facts.with_endpoints(facts.active_relationships(relationships), entities)
     edges = edges.withColumn("problem", facts.rule_problem(F.col("type"), F.col("source_type"), F.col("target_type"))).where("problem is not null")
-    return _draft(edges, "INCONSISTENT_RELATIONSHIP_TYPE", "LOW", F.concat(F.lit("relationship:"), F.col("id")), F.concat_ws(" ", "source_name", "type", F.concat("target_name", F.lit(":")), "problem"), 5)
+    return draft(edges, "INCONSISTENT_RELATIONSHIP_TYPE", "LOW", F.concat(F.lit("relationship:"), F.col("id")), F.concat_ws(" ", "source_name", "type", F.concat("target_name", F.lit(":")), "problem"), 5)
 
 
 def alias_conflicts(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """aliases (entity_id, alias, owner): stated for an entity though they belong to another."""
     rows = aliases.where("entity_id <> owner").join(facts.active_entities(entities).select(F.col("id").alias("entity_id"), "name"), "entity_id")
-    return _draft(rows, "UNRESOLVED_ALIAS", "LOW", F.concat_ws(":", F.lit("alias"), "entity_id", F.lower("alias")), F.concat(F.lit("the alias '"), F.col("alias"), F.lit("' stated for '"), F.col("name"), F.lit("' already belongs to a different entity.")), 6)
+    return draft(rows, "UNRESOLVED_ALIAS", "LOW", F.concat_ws(":", F.lit("alias"), "entity_id", F.lower("alias")), F.concat(F.lit("the alias '"), F.col("alias"), F.lit("' stated for '"), F.col("name"), F.lit("' already belongs to a different entity.")), 6)
 
 
 def distinct_drafts(drafts: list[DataFrame]) -> DataFrame:
@@ -104,3 +104,14 @@ def sync(existing: DataFrame, drafts: DataFrame) -> DataFrame:
     event = F.when(seen & F.col("old").isNull(), "OPENED").when(seen & (F.col("old") == "RESOLVED"), "REOPENED").when(~seen & (F.col("old") == "OPEN"), "RESOLVED").otherwise("UNCHANGED")
     status = F.when(event.isin("OPENED", "REOPENED"), "OPEN").when(event == "RESOLVED", "RESOLVED").otherwise(F.col("old"))
     return both.select("fingerprint", "old", status.alias("status"), event.alias("event"))
+
+
+def reviewed(findings: DataFrame, actions: DataFrame) -> DataFrame:
+    """findings (fingerprint, status) after actions (fingerprint, seq, action: dismiss or reopen, reason), in the order of seq.
+
+    A dismissal needs a reason; reopening takes back a dismissal only, and leaves other states.  What doesn't hold changes nothing.
+    """
+    valid = actions.where((F.col("action") == "reopen") | ((F.col("action") == "dismiss") & (F.trim(F.coalesce("reason", F.lit(""))) != "")))
+    folded = valid.groupBy("fingerprint").agg(F.max_by("action", "seq").alias("last"), F.count(F.when(F.col("action") == "dismiss", 1)).alias("dismissals"), F.max_by("reason", F.when(F.col("action") == "dismiss", F.col("seq"))).alias("reason"))
+    status = F.when(F.col("last") == "dismiss", "DISMISSED").when((F.col("last") == "reopen") & ((F.col("dismissals") > 0) | (F.col("status") == "DISMISSED")), "OPEN").otherwise(F.col("status"))
+    return findings.select("fingerprint", "status").join(folded, "fingerprint", "left").select("fingerprint", status.alias("status"), F.when(F.col("last") == "dismiss", F.trim("reason")).alias("reason"))

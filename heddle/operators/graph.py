@@ -25,7 +25,7 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _steps(edges: DataFrame, out_types: list[str] | None, in_types: list[str] | None) -> DataFrame:
+def steps(edges: DataFrame, out_types: list[str] | None = None, in_types: list[str] | None = None) -> DataFrame:
     """Edges as steps: forwards if their type is in out_types, backwards if in in_types (None: all, empty: none)."""
     allowed = lambda types: F.lit(True) if types is None else F.col("type").isin(types)
     step = edges.where(allowed(out_types)).select(F.col("source").alias("at"), F.col("target").alias("to"), "id", "type", F.lit(True).alias("forward"))
@@ -38,7 +38,7 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int, out_types: list[str] |
     Each node is left once, by its smallest path (element by element) of those with fewest edges, and each edge is taken at its least depth only, from either
     of its ends that is so near; so a level costs at most its edges, however many paths there are.
     """
-    step = settled(_steps(edges, out_types, in_types))
+    step = settled(steps(edges, out_types, in_types))
     front = roots.select("root", F.col("root").alias("node"), F.array().cast("array<string>").alias("path"), F.array("root").alias("nodes")).distinct()
     seen = front.select("root", "node")
     found = taken = None
@@ -63,7 +63,7 @@ def traverse(edges: DataFrame, roots: DataFrame, depth: int, out_types: list[str
     """
     if not 1 <= depth <= 3:
         raise ValueError("depth is 1 to 3")
-    step = _steps(edges, out_types, in_types)
+    step = steps(edges, out_types, in_types)
     front = roots.select("root", F.col("root").alias("node"), F.array().cast("array<string>").alias("path"), F.array("root").alias("nodes"))
     found = None
     for k in range(1, depth + 1):
@@ -182,3 +182,17 @@ def tree_paths(headings: DataFrame, keys: list[str]) -> DataFrame:
     trail = F.array_compact(F.array(*opened))
     rows = rows.withColumn("trail", trail)
     return rows.select(*keys, "ordinal", "level", "heading", F.element_at("trail.o", F.when(F.size("trail") > 0, -1)).alias("parent"), (F.size("trail") + 1).alias("depth"), F.array_join(F.concat("trail.h", F.array("heading")), " > ").alias("path"))
+
+
+def hard_merge(relationships: DataFrame, merges: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """relationships with the ends of merged entities replaced, and the aliases that the merges add.
+
+    merges (id, survivor, alias, normalized): of one id the smallest survivor counts.  A name becomes an alias of the survivor unless it is one already
+    (aliases: entity_id, alias, normalized); of several survivors with one name the smallest gets it.
+    """
+    to = merges.groupBy("id").agg(F.min("survivor").alias("survivor"))
+    out = relationships
+    for side in ("source", "target"):
+        out = out.join(to.withColumnRenamed("id", side), side, "left").withColumn(side, F.coalesce("survivor", side)).drop("survivor")
+    new = merges.where("normalized <> ''").groupBy("normalized").agg(F.min(F.struct("survivor", "alias")).alias("x")).select(F.col("x.survivor").alias("entity_id"), F.col("x.alias").alias("alias"), "normalized")
+    return out.select(*relationships.columns), new.join(aliases.select("normalized").distinct(), "normalized", "left_anti").select("entity_id", "alias", "normalized")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import fuzzy
 from heddle.functions import text as X
+from heddle.functions.vectors import cosine_distance
 from heddle.operators.graph import settled
 
 
@@ -120,3 +121,24 @@ def cluster(edges: DataFrame, forbidden: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     out = members.select(F.col("component").cast("string").alias("component"), "id", "grp", none.alias("a"), none.alias("b"), none.alias("reason"))
     return out if refused is None else out.unionByName(refused.select(F.col("component").cast("string").alias("component"), none.alias("id"), none.alias("grp"), "a", "b", "reason"))
+
+
+def with_vectors(rated: DataFrame, vectors: DataFrame) -> DataFrame:
+    """rated pairs (a, b, similarity, decisive) with vectors (id, embedding): the similarity is the mean of the lexical one and the cosine where both have vectors of one width; decisive pairs stay."""
+    out = rated
+    for s in "ab":
+        out = out.join(vectors.select(F.col("id").alias(s), F.col("embedding").alias(f"v_{s}")), s, "left")
+    cosine = 1 - cosine_distance(F.col("v_a"), F.col("v_b"))
+    usable = F.col("decisive").isNull() & (F.size("v_a") == F.size("v_b")) & F.exists("v_a", lambda x: x != 0) & F.exists("v_b", lambda x: x != 0)
+    return out.select(*(F.when(usable, (F.col("similarity") + cosine) / 2).otherwise(F.col("similarity")).alias(c) if c == "similarity" else c for c in rated.columns))
+
+
+def from_cache(pairs: DataFrame, known: DataFrame, budget: int = 200, least: float = 0.85) -> DataFrame:
+    """pairs (pair_key, fingerprint, similarity) with known decisions (pair_key, fingerprint, decision, confidence): a decision holds while the fingerprint is the same.
+
+    A known SAME needs a confidence of ``least``, else it is UNSURE.  Of pairs without a decision the first ``budget`` by falling similarity and pair_key are to be judged, the rest deferred.
+    """
+    same = F.when((F.col("decision") == "SAME") & (F.col("confidence") < least), "UNSURE").otherwise(F.col("decision"))
+    found = pairs.join(known.withColumnRenamed("fingerprint", "seen"), "pair_key", "left").withColumn("decision", F.when(F.col("seen") == F.col("fingerprint"), same))
+    open_ = found.where("decision is null").orderBy(F.desc("similarity"), "pair_key").limit(budget).select("pair_key", F.lit("JUDGE").alias("turn"))
+    return found.join(open_, "pair_key", "left").select("pair_key", F.coalesce("decision", "turn", F.lit("DEFERRED")).alias("outcome"))

@@ -90,7 +90,7 @@ def lexical_channel(postings: DataFrame, terms: DataFrame, k: int = LEXICAL_K) -
     """postings (id, w: lower-cased words, with repeats), terms (query, token: stems): an OR search over stems.
 
     Words are counted per document first, and stemmed once each; only those whose stem is asked for meet the terms.
-    Each place of a term counts 0.1, and a sum s gives s / (s + 1).
+    Each place of a term counts 0.1, and a sum s gives s / (s + 1): of an OR of words every place is a cover by itself, so this is its cover density.
     """
     counted = postings.groupBy("id", "w").agg(F.count("*").alias("n"))
     terms = terms.distinct()
@@ -208,3 +208,36 @@ def find_excerpts(docs: DataFrame, items: DataFrame) -> DataFrame:
     near = inside.distinct().join(rare, "word").select("doc_id", "item_id", "excerpt").join(docs.select("doc_id", "text"), "doc_id")
     near = near.unionByName(docs.select("doc_id", "text").crossJoin(F.broadcast(items.where(F.size("w") <= 2).select("item_id", "excerpt"))).select("doc_id", "item_id", "excerpt", "text"))
     return near.select("doc_id", "item_id", X.locate_excerpt(F.col("text"), F.col("excerpt")).alias("x")).where("x is not null").select("doc_id", "item_id", F.col("x.start").cast("long").alias("start"), F.col("x.exact").alias("exact"))
+
+
+def rounds(hits: DataFrame, most: int = 3, top_k: int = TOP_K, wider: int = 4) -> DataFrame:
+    """hits (query, id, rank) of bounded rounds: the first takes top_k, each further one ``wider`` more; round is the first that brings a hit.
+
+    A query ends with the first round that brings nothing new.
+    """
+    n = F.greatest(F.lit(1), F.ceil((F.col("rank") - top_k) / wider) + 1).cast("int")
+    rows = hits.withColumn("round", n).where(F.col("round") <= most)
+    have = rows.groupBy("query").agg(F.collect_set("round").alias("have"))
+    whole = F.size(F.array_except(F.sequence(F.lit(1), F.col("round")), F.col("have"))) == 0
+    return rows.join(have, "query").where(whole).select("query", "id", "rank", "round")
+
+
+def evaluated(questions: DataFrame, ranked_hits: DataFrame, expected: DataFrame, k: int = TOP_K) -> DataFrame:
+    """Per question (query, answerable): rank of the first expected hit, whether one is among the first k, and whether the question is refused (no hit at all).
+
+    ranked_hits (query, id, rank), expected (query, id).  The rows are those that retrieval_metrics sums up.
+    """
+    first = ranked_hits.join(expected.distinct(), ["query", "id"]).groupBy("query").agg(F.min("rank").alias("rank"))
+    asked = ranked_hits.groupBy("query").agg(F.count("*").alias("hits"))
+    rows = questions.join(first, "query", "left").join(asked, "query", "left")
+    return rows.select("query", "answerable", "rank", F.coalesce(F.col("rank") <= k, F.lit(False)).alias("in_context"), F.col("hits").isNull().alias("refused"))
+
+
+def question_rows(files: DataFrame) -> DataFrame:
+    """Labelled questions from JSON files (path, content: an object with questions, or an array of them), a row each: id, category, question, answerable, expected_sections, expected_terms."""
+    kind = "array<struct<id: string, category: string, question: string, answerable: boolean, expected_sections: array<string>, expected_terms: array<string>>>"
+    text = F.trim(F.decode("content", "UTF-8"))
+    rows = F.when(text.startswith("["), F.from_json(text, kind)).otherwise(F.from_json(text, f"questions {kind}")["questions"])
+    x = files.select(F.explode(rows).alias("x")).select("x.*")
+    none = F.array().cast("array<string>")
+    return x.select("id", "category", "question", F.coalesce("answerable", F.lit(True)).alias("answerable"), F.coalesce("expected_sections", none).alias("expected_sections"), F.coalesce("expected_terms", none).alias("expected_terms"))

@@ -430,11 +430,11 @@ def dense_channel(v: Views) -> DataFrame:
 LEX = ", tq AS (SELECT DISTINCT item_id AS query, stem AS token FROM " + stem_sql("SELECT item_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS w FROM benchmark WHERE item_id % 20 = 0") + "), tp AS (SELECT doc_id AS id, stem AS token FROM " + stem_sql("SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS w FROM documents") + "), lh AS (SELECT query, id, count(*) * 0.1 / (count(*) * 0.1 + 1) AS score FROM tp JOIN tq USING (token) GROUP BY query, id), lr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM lh)"
 
 
-def lexical(v: Views) -> DataFrame:
+def lexical(v: Views, k: int = retrieval.LEXICAL_K) -> DataFrame:
     """The benchmark items with ids divisible by 20 against all documents, by all their terms."""
     words = lambda t: F.explode(F.transform(X.tokens(F.col(t)), F.lower)).alias("w")
     terms = v.table("benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query"), words("text")).distinct().select("query", X.stem(F.col("w")).alias("token"))
-    return retrieval.lexical_channel(v.table("documents").select(F.col("doc_id").alias("id"), words("text")), terms)
+    return retrieval.lexical_channel(v.table("documents").select(F.col("doc_id").alias("id"), words("text")), terms, k)
 
 
 @query("q2_lexical_channel", LEX + " SELECT query, id, rank, round(score, 6) AS score FROM lr WHERE rank <= 30")
