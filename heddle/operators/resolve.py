@@ -88,8 +88,8 @@ def cluster(edges: DataFrame, forbidden: DataFrame) -> DataFrame:
     """Constrained clustering of edges (component, a, b, priority, similarity, pair_key), taken by priority, falling similarity and pair_key.
 
     An edge joins the groups of its ends, unless a forbidden pair (component, a, b, reason) would meet.  Done in rounds of joins: an edge that is the first of
-    both groups that it touches would be the next to touch them in a walk over all edges too, so all such edges are decided at once; of two groups that may not meet, all
-    edges between them are refused.  No component has to fit a task.
+    both groups that it touches would be the next to touch them in a walk over all edges too, so all such edges join at once, after all
+    edges between groups that may not meet are refused.  No component has to fit a task.
     Gives component, id, grp (smallest member), and rows for refusals (id and grp null; a, b, reason: that of the smallest forbidden pair).
     """
     ends = edges.select("component", F.col("a").alias("id")).union(edges.select("component", "b")).distinct()
@@ -99,23 +99,24 @@ def cluster(edges: DataFrame, forbidden: DataFrame) -> DataFrame:
     either = forbidden.select("component", "a", "b", "reason").union(forbidden.select("component", "b", "a", "reason"))
     bans = settled(either.select("component", F.col("a").alias("ga"), F.col("b").alias("gb"), F.struct("a", "b", "reason").alias("why")))
     refused = None
-    while live.limit(1).count():
-        touching = live.select("component", F.col("ga").alias("g"), "rank").union(live.select("component", "gb", "rank")).groupBy("component", "g").agg(F.min("rank").alias("rank"))
-        first = touching.groupBy("component", "rank").agg(F.count("*").alias("n")).where("n = 2").select("component", "rank")
+    while True:
+        # A ban between two groups stays as they grow, so their edges can be refused at once.
         why = bans.groupBy("component", "ga", "gb").agg(F.min("why")["reason"].alias("reason"))
-        decided = settled(live.join(first, ["component", "rank"]).join(why, ["component", "ga", "gb"], "left").select("component", "ga", "gb", "reason"))
-        no = decided.where("reason is not null")
-        no = no.union(no.select("component", "gb", "ga", "reason"))
-        gone = live.join(no, ["component", "ga", "gb"]).select("component", "a", "b", "reason")
+        checked = settled(live.join(why, ["component", "ga", "gb"], "left").select(*live.columns, "reason"))
+        gone = checked.where("reason is not null").select("component", "a", "b", "reason")
         refused = gone if refused is None else refused.unionByName(gone)
-        into = decided.where("reason is null").select("component", F.greatest("ga", "gb").alias("g"), F.least("ga", "gb").alias("to"))
+        rest = checked.where("reason is null").drop("reason")
+        touching = rest.select("component", F.col("ga").alias("g"), "rank").union(rest.select("component", "gb", "rank")).groupBy("component", "g").agg(F.min("rank").alias("rank"))
+        first = touching.groupBy("component", "rank").agg(F.count("*").alias("n")).where("n = 2").select("component", "rank")
+        into = settled(rest.join(first, ["component", "rank"]).select("component", F.greatest("ga", "gb").alias("g"), F.least("ga", "gb").alias("to")))
+        if not into.limit(1).count():
+            break
 
         def moved(rows: DataFrame, c: str, into: DataFrame = into) -> DataFrame:
             names = rows.columns
             return rows.join(into.withColumnRenamed("g", c), ["component", c], "left").withColumn(c, F.coalesce("to", c)).select(*names)
 
-        rest = live.join(no.select("component", "ga", "gb"), ["component", "ga", "gb"], "left_anti").select(*live.columns)
-        live = settled(moved(moved(rest, "ga"), "gb").where("ga <> gb"))
+        live = moved(moved(rest, "ga"), "gb").where("ga <> gb")
         bans = settled(moved(moved(bans, "ga"), "gb"))
         members = settled(moved(members, "grp"))
     none = F.lit(None).cast("string")

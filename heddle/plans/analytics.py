@@ -422,9 +422,9 @@ def dense(v: Views, k: int) -> DataFrame:
     return retrieval.dense_channel(v.table("embeddings").select(F.col("vec_id").alias("id"), "embedding"), asked(v), k)
 
 
-@query("q1_dense_channel", ASKED + "SELECT query, id, rank, round(score, 6) AS score FROM dr WHERE rank <= 30")
+@query("q1_dense_channel", ASKED + "SELECT query, id, rank, round(score, 9) AS score FROM dr WHERE rank <= 30")
 def dense_channel(v: Views) -> DataFrame:
-    return dense(v, 30).select("query", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    return dense(v, 30).select("query", "id", F.col("rank").cast("long").alias("rank"), "score")
 
 
 LEX = ", tq AS (SELECT DISTINCT item_id AS query, stem AS token FROM " + stem_sql("SELECT item_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS w FROM benchmark WHERE item_id % 20 = 0") + "), tp AS (SELECT doc_id AS id, stem AS token FROM " + stem_sql("SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS w FROM documents") + "), lh AS (SELECT query, id, count(*) * 0.1 / (count(*) * 0.1 + 1) AS score FROM tp JOIN tq USING (token) GROUP BY query, id), lr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM lh)"
@@ -632,7 +632,7 @@ def metadata(v: Views) -> DataFrame:
 
 
 @query("e1_validated_candidates", """, c AS (SELECT s.chunk_id, s.type, a.name AS sn, b.name AS tn, a.normalized AS ns, b.normalized AS nt FROM statements s JOIN entities a ON a.id = s.source JOIN entities b ON b.id = s.target WHERE s.l_partkey % 3 <> 0)
-SELECT chunk_id, ns AS normalized_source, nt AS normalized_target, type, sn || ' ' || type AS excerpt, 0 AS start FROM c""")
+SELECT chunk_id, ns AS normalized_source, nt AS normalized_target, type, min(sn || ' ' || type) AS excerpt, 0 AS start FROM c GROUP BY ALL""")
 def validated_candidates(v: Views) -> DataFrame:
     names = lambda side: v.entities.select(F.col("id").alias(side), F.col("name").alias(f"{side}_name"))
     rows = v.statements.join(names("source"), "source").join(names("target"), "target")

@@ -187,11 +187,11 @@ def channel_ranks(v: Views) -> DataFrame:
     return named(dense(v, 3), "dense").unionByName(named(lexical(v, 3), "lexical"))
 
 
-@query("j16_vector_pairs", ASKED + " SELECT query, count(*) AS n, round(min(score), 6) AS least, round(max(score), 6) AS most FROM dr GROUP BY query")
+@query("j16_vector_pairs", ASKED + " SELECT query, count(*) AS n, round(min(score), 9) AS least, round(max(score), 9) AS most FROM dr GROUP BY query")
 def vector_pairs(v: Views) -> DataFrame:
     """All queries against all vectors."""
     scores = retrieval.dense_channel(v.table("embeddings").select(F.col("vec_id").alias("id"), "embedding"), v.table("embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector")), 1 << 14)
-    return scores.groupBy("query").agg(F.count("*").alias("n"), F.round(F.min("score"), 6).alias("least"), F.round(F.max("score"), 6).alias("most"))
+    return scores.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("least"), F.max("score").alias("most"))
 
 
 @query("q4_section_caps", FUSED + """, s AS (SELECT fu.*, label, row_number() OVER (PARTITION BY query, label ORDER BY round(fused, 9) DESC, id) > 2 AS filler FROM fu JOIN embeddings ON vec_id = id),
