@@ -6,7 +6,7 @@ ratios; a step of either recursion is a Moebius map of the ratio, so a piece of
 all its documents is one chain that is cut into rows, composed row by row and
 evaluated exactly with array operations, however long a document is.
 
-Labels exist per document, so token labels are drawn from them first: a token of a toxic document is
+No token labels are supplied: labels exist per document, so token labels are drawn from them first: a token of a toxic document is
 labelled 1 if one of its features is tied to toxic documents by a
 likelihood-ratio test.  The field is then fitted to these token labels by Adagrad, and a logistic curve over the expected and
 the largest token marginal turns marginals into document scores.
@@ -210,11 +210,11 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 5000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 5000, max_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, held_out, score, predicted and spans (start, stop: characters of toxic tokens), a row per row of docs.
 
-    Learns from at most max_train rows of labels (doc_id, toxic) that aren't held out, by text alone.  Null labels
-    and ids teach nothing; of a doc_id with several labels the largest counts.  Null and empty
+    Learns from at most max_train rows of labels (doc_id, toxic) that aren't held out, by text alone, and of these from whole texts with at most max_bytes in all.  Null labels
+    and ids teach nothing; of a doc_id with several labels the largest counts, of one with several texts that of the smallest hash.  Null and empty
     texts are scored like a text without a toxic token.  Repeated rows are scored alike.
     Of docs only doc_id and text are read.  Without labels of both kinds all scores are low.
     """
@@ -222,7 +222,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 5000) -> DataF
     docs = docs.select("doc_id", "text")
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
-    train = docs.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").collect()
+    texts = docs.join(F.broadcast(chosen), "doc_id")
+    # At most max_train rows for the window: those ahead of the first that doesn't fit any more.
+    sizes = texts.groupBy("doc_id").agg(F.max(F.octet_length(F.coalesce("text", F.lit("")))).alias("n"), F.first("toxic").alias("toxic"))
+    fitting = sizes.withColumn("n", F.expr("sum(n) over (order by xxhash64(doc_id), doc_id)")).where(F.col("n") <= max_bytes).select("doc_id", "toxic")
+    train = docs.join(F.broadcast(fitting), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic")).collect()
     train = sorted(train, key=lambda r: r["doc_id"])
     field = fit([r["text"] or "" for r in train], np.array([int(r["toxic"] > 0) for r in train], dtype=np.int64))
     scored = docs.select("doc_id", _scorer(spark.sparkContext.broadcast(field))(F.col("text")).alias("x"))

@@ -345,6 +345,19 @@ def test_toxicity_on_held_out_documents(spark, empty):
     assert toxicity.toxicity(empty, known).count() == 0
 
 
+def test_toxicity_of_repeated_long_and_clashing_rows(spark):
+    rng = random.Random(16)
+    rows = [(k, prose(rng, 40) + (" grubbel" if k % 4 == 0 else ""), k) for k in range(400)]
+    rows += [(1000, prose(rng, 30_000) + " grubbel grubbel grubbel", 7), (3, "another text", 0), (5, rows[5][1], 9), (5, rows[5][1], 9), (None, prose(rng, 30), 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic long")
+    known = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, known).collect()
+    assert len(got) == len(rows) and len({r["score"] for r in got if r["doc_id"] == 5}) == 1
+    assert all(r["held_out"] is False for r in got if r["doc_id"] is None) and all(0 <= r["score"] <= 1 for r in got)
+    assert next(len(r["spans"]) for r in got if r["doc_id"] == 1000) == 3
+    assert toxicity.toxicity(docs, known, max_bytes=10).where("score >= 0.5").count() == 0
+
+
 def test_token_counts_follow_edits(spark, empty):
     counter = tokens.Counter(open(tokens.VOCABULARY, "rb").read())
     rng = random.Random(9)
