@@ -215,7 +215,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 5000, max_byte
 
     Learns from at most max_train rows of labels (doc_id, toxic) that aren't held out, by text alone, and of these from whole texts with at most max_bytes in all.  Null labels
     and ids teach nothing; of a doc_id with several labels the largest counts, of one with several texts that of the smallest hash.  Null and empty
-    texts are scored like a text without a toxic token.  Repeated rows are scored alike.
+    texts are scored like a text without a toxic token.  Scores have nine digits (the last bits hang on what else is in a batch), so repeated rows are scored alike.
     Of docs only doc_id and text are read.  Without labels of both kinds all scores are low.
     """
     spark = docs.sparkSession
@@ -230,7 +230,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 5000, max_byte
     train = sorted(train, key=lambda r: r["doc_id"])
     field = fit([r["text"] or "" for r in train], np.array([int(r["toxic"] > 0) for r in train], dtype=np.int64))
     scored = docs.select("doc_id", _scorer(spark.sparkContext.broadcast(field))(F.col("text")).alias("x"))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("x.score").alias("score"), (F.col("x.score") >= 0.5).cast("int").alias("predicted"), F.col("x.spans").alias("spans"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.round("x.score", 9).alias("score"), (F.round("x.score", 9) >= 0.5).cast("int").alias("predicted"), F.col("x.spans").alias("spans"))
 
 
 def op1_crf_toxicity(spark, sf_dir: str) -> DataFrame:
