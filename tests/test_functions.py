@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import fuzzy, vectors
 from heddle.functions import text as X
-from heddle.operators import compare, ingest, questions, resolve
+from heddle.operators import compare, graph, ingest, questions, resolve, retrieval
 from heddle.sources import files, markup
 
 
@@ -225,3 +225,33 @@ def test_questions(spark):
     assert [(r["entity"], r["ambiguous"]) for r in questions.linked(asked, index).orderBy("start", "entity").collect()] == [("e1", False), ("e3", True), ("e4", True)]
     assert questions.near_spelling("BrakeContoller", ["brakecontroller", "wheelspeed"]) == ("brakecontroller", 0.966)
     assert questions.near_spelling("brakes", ["brakes"]) is None
+
+
+def test_question_files(spark):
+    one = '{"questions": [{"id": "q1", "category": "fact", "question": "What?", "answerable": false, "expected_sections": ["1 Scope"], "expected_terms": ["a", "b"]}, {"id": "q2", "question": "Why?"}]}'
+    rows = retrieval.question_rows(spark.createDataFrame([("a.json", bytearray(one.encode())), ("b.json", bytearray(b'[{"id": "q3", "question": "Who?", "answerable": true}]'))], "path string, content binary")).collect()
+    assert [(r["id"], r["answerable"], r["expected_sections"], r["expected_terms"]) for r in sorted(rows)] == [("q1", False, ["1 Scope"], ["a", "b"]), ("q2", True, [], []), ("q3", True, [], [])]
+
+
+def test_joined_lines(spark):
+    lines = ["A wrapped line that is bro-", "ken goes on", "here.", "- an item", "and its rest", "2.1 Next Heading", "stands alone before this", "and that"]
+    got = spark.createDataFrame([(lines,), ([],)], "l array<string>").select(X.joined_lines(F.col("l")).alias("x")).collect()
+    assert got[0]["x"].split("\n") == ["A wrapped line that is broken goes on here.", "- an item and its rest", "2.1 Next Heading", "stands alone before this and that"] and got[1]["x"] == ""
+
+
+def test_table_markdown_of_no_rows(spark):
+    rows = spark.createDataFrame([([["", ""]],), ([],), ([["a"]],)], "r array<array<string>>")
+    assert [r["x"] for r in rows.select(X.table_markdown(F.col("r")).alias("x")).collect()] == ["", "", "| a |\n| --- |"]
+
+
+def test_first_arrivals_equal_the_shortest_of_all_paths(spark):
+    """On random graphs: least depths of nodes and edges, and the smallest shortest path of each node."""
+    rng = random.Random(31)
+    edges = [(f"e{k:02}", f"n{rng.randrange(9)}", f"n{rng.randrange(9)}", rng.choice(["USES", "PROVIDES"])) for k in range(24)]
+    frame, roots = spark.createDataFrame(edges, "id string, source string, target string, type string"), spark.createDataFrame([("n0",), ("n4",)], "root string")
+    for out_types, in_types in ((None, None), (["USES"], ["PROVIDES"])):
+        every, first = (f(frame, roots, 3, out_types, in_types) for f in (graph.traverse, graph.reach))
+        least = lambda rows, c: {(r["root"], r[c]): r["d"] for r in rows.where("node <> root or id is not null and '" + c + "' = 'id'").groupBy("root", c).agg(F.min("depth").alias("d")).collect()}
+        assert least(every, "id") == least(first, "id") and least(every, "node") == least(first, "node")
+        paths = lambda rows: {(r["root"], r["node"]): r["x"]["path"] for r in rows.where("node <> root").groupBy("root", "node").agg(F.min(F.struct("depth", "path")).alias("x")).collect()}
+        assert paths(every) == paths(first)
