@@ -28,7 +28,7 @@ def blocking_keys(name: Column, entity_type: Column) -> Column:
 def candidate_pairs(names: DataFrame, max_block: int = 40) -> DataFrame:
     """names (id, name, entity_type; several per id allowed): pairs a < b that share a block, with the keys they share.
 
-    Blocks with more than max_block members say too little and are skipped, before anything is joined.
+    Blocks with more than max_block members say too little and are skipped, before anything is joined; skipped_blocks lists them.
     """
     keyed = names.select("id", F.explode(blocking_keys(F.col("name"), F.col("entity_type"))).alias("key")).distinct()
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n").between(2, max_block)).select("key")
@@ -38,6 +38,12 @@ def candidate_pairs(names: DataFrame, max_block: int = 40) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_list(F.element_at(F.split("key", r"\|", 2), 2))), ",").alias("keys"))
 
 
+def skipped_blocks(names: DataFrame, max_block: int = 40) -> DataFrame:
+    """key and n (members) of the blocks that candidate_pairs leaves out for their size."""
+    keyed = names.select("id", F.explode(blocking_keys(F.col("name"), F.col("entity_type"))).alias("key")).distinct()
+    return keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max_block)
+
+
 def pair_key(a: Column, b: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.least(a, b), F.greatest(a, b)), 256)
 

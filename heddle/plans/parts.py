@@ -256,6 +256,12 @@ def type_groups(v: Views) -> DataFrame:
     return v.entities.select(kind.alias("entity_type")).select("entity_type", resolve.type_group(F.col("entity_type")).alias("grp")).groupBy("entity_type", "grp").agg(F.count("*").alias("n"))
 
 
+@query("r1_skipped_blocks", r""", tk AS (SELECT id, entity_type, regexp_extract_all(lower(name), '[a-z]+') AS t FROM active), b AS (SELECT id, entity_type || '|n:' || normalized AS key FROM active UNION SELECT id, entity_type || '|t:' || array_to_string(list_sort(t), '-') FROM tk WHERE len(t) > 0
+UNION SELECT id, entity_type || '|w:' || w FROM (SELECT id, entity_type, unnest(t) AS w FROM tk) WHERE length(w) >= 4 UNION SELECT id, entity_type || '|a:' || array_to_string(list_transform(t, lambda x: x[1]), '') FROM tk WHERE len(t) >= 2) SELECT key, count(*) AS n FROM b GROUP BY key HAVING count(*) > 40""")
+def skipped_blocks(v: Views) -> DataFrame:
+    return resolve.skipped_blocks(facts.active_entities(v.entities).select("id", "name", "entity_type"))
+
+
 TWINS = """, tw AS (SELECT a.id AS a, c.id AS b, a.created_rank AS ra, c.created_rank AS rb, sha256(least(a.id, c.id) || '|' || greatest(a.id, c.id)) AS pair_key, sha256(a.name || '|' || c.name) AS fingerprint FROM active a JOIN active c ON a.normalized = c.normalized AND a.entity_type = c.entity_type AND a.id < c.id
   JOIN (SELECT normalized, entity_type FROM active GROUP BY ALL HAVING count(*) BETWEEN 2 AND 40) s ON s.normalized = a.normalized AND s.entity_type = a.entity_type)"""
 
