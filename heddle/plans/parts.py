@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import text as X
 from heddle.operators import answers, compare, facts, findings, graph, ingest, resolve, retrieval, review
-from heddle.plans.analytics import ASKED, BOTH_WAYS, EDGES, FUSED, IDENTIFIER, LEX, PARTS, SPREADING, STOPS, VERSIONED, WALK, dense, edges, fused, lexical, roots, sided, stem_sql, version_edges, walk
+from heddle.plans.analytics import ASKED, BOTH_WAYS, EDGES, FUSED, IDENTIFIER, LEX, PARTS, SPREADING, STOPS, VERSIONED, WALK, dense, edges, fused, lexical, sided, stem_sql, version_edges, walk
 from heddle.plans.base import query
 from heddle.plans.readmodels import BINDING, candidates
 from heddle.sources import files, markup
