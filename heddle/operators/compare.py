@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heddle.functions import fuzzy
+from heddle.operators.graph import settled
 from heddle.operators.resolve import type_group
 
 # Fixed values.
@@ -51,28 +53,76 @@ def relationship_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return found.withColumn("severity", severity(F.col("change")))
 
 
+def _numbered(rows: DataFrame, keys: list[str], order: list[str], as_: str) -> DataFrame:
+    """rows with their place (from 1) within keys in the given order.  A group may lie in several tasks: each numbers its range, behind those before it."""
+    placed = settled(rows.repartitionByRange(*keys, *order).withColumn("part", F.spark_partition_id()))
+    names = ", ".join(keys)
+    ahead = placed.groupBy(*keys, "part").agg(F.count("*").alias("n")).withColumn("ahead", F.expr(f"coalesce(sum(n) over (partition by {names} order by part rows between unbounded preceding and 1 preceding), 0)")).drop("n")
+    turn = F.expr(f"row_number() over (partition by {names}, part order by {', '.join(order)})")
+    return placed.withColumn("turn", turn).join(ahead, [*keys, "part"]).select(*rows.columns, (F.col("ahead") + F.col("turn")).alias(as_))
+
+
+def similar_names(old: DataFrame, new: DataFrame) -> DataFrame:
+    """old, new (kind, name): kind, a, b, ratio of all distinct pairs with a sequence ratio of RENAME at least.
+
+    Such a pair shares at least 0.2 T - 1 pairs of neighbouring characters (T: summed lengths), since at most a fifth of the characters is unmatched and
+    parts the rest into runs.  So the rarest of a name's pairs, all but as many as its shortest partner must share, hold one that both have.
+    Names of up to three characters meet on single characters too.
+    """
+    sides = old.select("kind", "name", F.lit(True).alias("old")).unionByName(new.select("kind", "name", F.lit(False).alias("old"))).where("name is not null").distinct()
+    size = F.length("name")
+    pairs = F.when(size > 1, F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda i: F.substring(F.col("name"), i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    # The k-th time that a pair occurs is a token of its own.
+    counted = F.transform("pairs", lambda x, i: F.concat(x, F.size(F.filter(F.slice("pairs", F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+    short = F.when(size < 4, F.array_distinct(F.split("name", ""))).otherwise(F.array().cast("array<string>"))
+    tokens = sides.withColumn("pairs", pairs).select("kind", "name", "old", F.explode(F.concat(counted, short)).alias("token"))
+    often = tokens.groupBy("kind", "token").agg(F.count("*").alias("n"))
+    listed = tokens.join(often, ["kind", "token"]).groupBy("kind", "name", "old").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("all"))
+    least = F.greatest(F.lit(1), F.ceil(size / 3.0 - 1 - 1e-9)).cast("int")
+    rare = listed.select("kind", "name", "old", F.explode(F.slice("all", F.lit(1), F.size("all") - least + 1)).alias("x")).select("kind", "name", "old", "x.token")
+    side = lambda which, c: rare.where(F.col("old") == which).select("kind", "token", F.col("name").alias(c))
+    fits = F.least(F.length("a"), F.length("b")) * 2 >= (F.length("a") + F.length("b")) * RENAME - 1e-9
+    met = side(True, "a").join(side(False, "b"), ["kind", "token"]).where(fits).select("kind", "a", "b").distinct()
+    return met.withColumn("ratio", fuzzy.sequence_ratio("a", "b")).where(F.col("ratio") >= RENAME)
+
+
+def renames(old: DataFrame, new: DataFrame) -> DataFrame:
+    """old, new (kind, id, name, normalized): old_id, new_id.  In the order of name and id each old one takes the most similar new one of its kind that is left, the first of equals.
+
+    Entities of one name are alike, so names share out their members: each name asks, by falling ratio, for as many as it still lacks, and of another name gets what
+    earlier names have left.  Shares only fall from round to round, and when none does they are those of taking turns.
+    """
+    sizes = lambda df, c: df.groupBy("kind", "name", "normalized").agg(F.count("*").alias(f"n_{c}")).toDF("kind", c, f"norm_{c}", f"n_{c}")
+    ratios = similar_names(*(df.select("kind", F.col("normalized").alias("name")) for df in (old, new))).toDF("kind", "norm_a", "norm_b", "ratio")
+    edges = ratios.join(sizes(old, "a"), ["kind", "norm_a"]).join(sizes(new, "b"), ["kind", "norm_b"]).select("kind", "a", "b", "n_a", "n_b", "ratio", F.col("n_b").alias("share"))
+    edges = settled(edges)
+    while True:
+        before = F.expr("coalesce(sum(share) over (partition by kind, a order by ratio desc, b rows between unbounded preceding and 1 preceding), 0)")
+        asked = edges.withColumn("from_a", before).withColumn("take", F.greatest(F.lit(0), F.least("share", F.col("n_a") - F.col("from_a"))))
+        taken = F.expr("coalesce(sum(take) over (partition by kind, b order by a rows between unbounded preceding and 1 preceding), 0)")
+        asked = asked.withColumn("from_b", taken).withColumn("next", F.least("share", F.greatest(F.lit(0), F.col("n_b") - F.col("from_b"))))
+        asked = settled(asked)
+        if not asked.where("next < share").limit(1).count():
+            break
+        edges = asked.withColumn("share", F.col("next")).select(*edges.columns)
+    shares = asked.where("take > 0").select("kind", "a", "b", "take", "from_a", "from_b")
+    left = _numbered(old.select("kind", F.col("name").alias("a"), F.col("id").alias("old_id")), ["kind", "a"], ["old_id"], "k")
+    right = _numbered(new.select("kind", F.col("name").alias("b"), F.col("id").alias("new_id")), ["kind", "b"], ["new_id"], "m")
+    placed = left.join(shares, ["kind", "a"]).where((F.col("k") > F.col("from_a")) & (F.col("k") <= F.col("from_a") + F.col("take")))
+    return placed.withColumn("m", F.col("k") - F.col("from_a") + F.col("from_b")).join(right, ["kind", "b", "m"]).select("old_id", "new_id")
+
+
 def entity_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """old, new (id, name, normalized, entity_type): type changes by equal name, renames by similar name within a kind, else removed or added."""
     ids = lambda df: df.select(F.col("id").alias("other"))
     removed, added = (a.join(ids(b), F.col("id") == F.col("other"), "left_anti") for a, b in ((old, new), (new, old)))
     number = lambda df, c: df.withColumn("k", F.expr("row_number() over (partition by normalized order by name, id)")).select("normalized", "k", F.col("id").alias(c), F.col("entity_type").alias(f"{c}_type"))
     typed = number(removed, "old_id").join(number(added, "new_id"), ["normalized", "k"]).where("old_id_type <> new_id_type").select("old_id", "new_id", F.lit("TYPE_CHANGED").alias("change"))
-    # Rebuilt by name after each step, as Spark can't tell the sides of such self-joins apart.
-    left = lambda df, pairs, c: df.join(pairs.select(F.col(c).alias("other")), F.col("id") == F.col("other"), "left_anti").toDF(*df.columns)
-    removed, added = removed.toDF(*removed.columns), added.toDF(*added.columns)
-    removed, added = left(removed, typed, "old_id"), left(added, typed, "new_id")
-    grouped = lambda df: df.select(type_group(F.col("entity_type")).alias("kind"), "id", "name", "normalized")
-
-    def rename(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        rest = list(b.sort_values(["name", "id"])[["id", "normalized"]].itertuples(index=False, name=None))
-        rows = []
-        for one in a.sort_values(["name", "id"]).itertuples():
-            scores = [SequenceMatcher(None, one.normalized, name).ratio() for _, name in rest]
-            if scores and max(scores) >= RENAME:
-                rows.append((one.id, rest.pop(scores.index(max(scores)))[0], "RENAMED"))
-        return pd.DataFrame(rows, columns=["old_id", "new_id", "change"])
-
-    renamed = grouped(removed).groupBy("kind").cogroup(grouped(added).groupBy("kind")).applyInPandas(rename, "old_id string, new_id string, change string")
+    typed = settled(typed)
+    left = lambda df, pairs, c: df.join(pairs.select(F.col(c).alias("other")), F.col("id") == F.col("other"), "left_anti")
+    removed, added = settled(left(removed, typed, "old_id")), settled(left(added, typed, "new_id"))
+    grouped = lambda df: df.select(F.coalesce(type_group(F.col("entity_type")), F.lit("")).alias("kind"), "id", "name", "normalized")
+    renamed = settled(renames(grouped(removed), grouped(added)).withColumn("change", F.lit("RENAMED")))
     removed, added = left(removed, renamed, "old_id"), left(added, renamed, "new_id")
     none = F.lit(None).cast("string")
     out = typed.unionByName(renamed).unionByName(removed.select(F.col("id").alias("old_id"), none.alias("new_id"), F.lit("REMOVED").alias("change"))).unionByName(added.select(none.alias("old_id"), F.col("id").alias("new_id"), F.lit("ADDED").alias("change")))

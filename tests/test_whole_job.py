@@ -93,3 +93,31 @@ def test_excerpts_are_found_in_any_case_and_place(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     items.write.parquet(f"{tmp_path}/benchmark.parquet")
     assert {tuple(r) for r in QUERIES["x21_excerpts"](spark, str(tmp_path)).collect()} == {(0, 1, 3), (0, 5, 15), (2, 2, 0)}
+
+
+def test_renames_equal_taking_turns(spark):
+    """Names share out their members as a walk over all old entities does, ties, short, equal and null names included."""
+    rng = random.Random(5)
+    words = ["pump", "pumps", "valve", "valves", "gauge", "a", "b", "ab", "axb", "unit", "units"]
+    name = lambda: " ".join(rng.choice(words) for _ in range(rng.choice([1, 1, 2])))
+    side = lambda mark, n: [(f"{mark}{k:03d}", x, x.lower(), rng.choice(["SOFTWARE_COMPONENT", "COMPONENT", "SYSTEM"])) for k in range(n) for x in [name()]]
+    old, new = side("o", 150), side("n", 130)
+    # A name that a third of all rows have.
+    old += [(f"p{k:03d}", "Pump unit", "pump unit", "SYSTEM") for k in range(70)] + [("z1", None, None, "SYSTEM")]
+    new += [(f"q{k:03d}", "Pump units", "pump units", "SYSTEM") for k in range(50)] + [("z2", None, None, "SYSTEM")]
+    schema = "id string, name string, normalized string, entity_type string"
+    frames = [spark.createDataFrame(rows, schema) for rows in (old, new)]
+    rows = compare.entity_changes(*frames).collect()
+    typed = {(r["old_id"], r["new_id"]) for r in rows if r["change"] == "TYPE_CHANGED"}
+    kind = lambda x: "COMPONENT" if x[3] == "SOFTWARE_COMPONENT" else x[3]
+    rest = lambda side, k: sorted((x for x in side if x[1] is not None and x[0] not in {t[k] for t in typed}), key=lambda x: (x[1], x[0]))
+    left, want = rest(new, 1), set()
+    for a in rest(old, 0):
+        scores = [(SequenceMatcher(None, a[2], b[2]).ratio(), b) for b in left if kind(b) == kind(a)]
+        best = max(scores, key=lambda s: s[0], default=(0, None))
+        if best[0] >= 0.8:
+            want.add((a[0], best[1][0]))
+            left.remove(best[1])
+    assert typed and {(r["old_id"], r["new_id"]) for r in rows if r["change"] == "RENAMED"} == want and len(want) > 80
+    assert {("z1", None, "REMOVED"), (None, "z2", "ADDED")} <= {(r["old_id"], r["new_id"], r["change"]) for r in rows}
+    assert compare.entity_changes(*(f.where("false") for f in frames)).count() == 0
