@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,13 +17,15 @@ def spread_directions() -> tuple[list[str], list[str]]:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df written to spark.checkpoint.dir and read from there, so that its lineage ends; without that setting, on one machine only, to a folder of its own."""
+    """df written as Parquet to spark.checkpoint.dir and read from there, so that its lineage ends, it is computed once and joins know its size; without that setting, on one machine only, to a folder of its own."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="heddle-"))
-    return df.checkpoint()
+    path = f"{context.getCheckpointDir()}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def steps(edges: DataFrame, out_types: list[str] | None = None, in_types: list[str] | None = None) -> DataFrame:
