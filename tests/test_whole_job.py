@@ -92,7 +92,7 @@ def test_excerpts_are_found_in_any_case_and_place(spark, tmp_path):
     assert got == {(0, 1, 3, True), (0, 5, 15, True), (1, 1, None, False), (2, 2, 0, True), (4, 3, None, False)}
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     items.write.parquet(f"{tmp_path}/benchmark.parquet")
-    assert {tuple(r) for r in QUERIES["x21_excerpts"](spark, str(tmp_path)).collect()} == {(0, 1, 3), (0, 5, 15), (2, 2, 0)}
+    assert {tuple(r) for r in QUERIES["x21_excerpts"](spark, str(tmp_path)).collect()} == got
 
 
 def test_renames_equal_taking_turns(spark):
