@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from heddle.llm import decontaminate, importance, licenses, line_dedup, mixing, near_dedup, quality, tokens, toxicity, urls, warc
+from heddle.llm import decontaminate, importance, lexical, licenses, line_dedup, mixing, near_dedup, quality, tokens, toxicity, urls, warc
 
 QUERIES = {
     "op1_crf_toxicity": toxicity.op1_crf_toxicity,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_suffix_line_dedup": line_dedup.op9_suffix_line_dedup,
     "op10_url_filter": urls.op10_url_filter,
     "op11_importance_resampling": importance.op11_importance_resampling,
+    "op13_ranked_search": lexical.op13_ranked_search,
     "pipeline": corpus_pipeline.run,
 }
 #: SQL can't express models (1, 10), a tokenizer (2), a randomized search (4) and the stages over them; tests hold those against Python.
@@ -28,4 +29,5 @@ ORACLES = {
     "op8_warc_round_trip": warc.ORACLE,
     "op9_suffix_line_dedup": line_dedup.ORACLE,
     "op11_importance_resampling": importance.ORACLE,
+    "op13_ranked_search": lexical.ORACLE,
 }
