@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from heddle.llm import decontaminate, importance, lexical, licenses, line_dedup, mixing, near_dedup, quality, tokens, toxicity, urls, warc
+from heddle.llm import decontaminate, importance, jaccard_join, lexical, licenses, line_dedup, mixing, near_dedup, quality, tokens, toxicity, urls, warc
 
 QUERIES = {
     "op1_crf_toxicity": toxicity.op1_crf_toxicity,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_suffix_line_dedup": line_dedup.op9_suffix_line_dedup,
     "op10_url_filter": urls.op10_url_filter,
     "op11_importance_resampling": importance.op11_importance_resampling,
+    "op12_ngram_jaccard_join": jaccard_join.op12_ngram_jaccard_join,
     "op13_ranked_search": lexical.op13_ranked_search,
     "pipeline": corpus_pipeline.run,
 }
@@ -29,5 +30,6 @@ ORACLES = {
     "op8_warc_round_trip": warc.ORACLE,
     "op9_suffix_line_dedup": line_dedup.ORACLE,
     "op11_importance_resampling": importance.ORACLE,
+    "op12_ngram_jaccard_join": jaccard_join.ORACLE,
     "op13_ranked_search": lexical.ORACLE,
 }
