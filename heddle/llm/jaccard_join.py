@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heddle.llm import textcore as tc
 from heddle.llm.components import connected_components
@@ -121,28 +122,41 @@ def _signed(words: int, percent: int):
     return run
 
 
-def allocated(rows: Column) -> Column:
-    """Of one set's rows (n: sets in the bucket, key, tag) toward one band, rows (key, asks): which of them ask.
+def allocated(n: np.ndarray, key: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """Which of one set's rows ask; n is the number of sets in the row's bucket.
 
     The i-th largest bucket of an ordinary segment is skipped if the i-th cheapest reserve segment costs less; a reserve segment
     none of whose neighbours met anyone costs nothing.
     """
-    segment = lambda x: x["tag"].bitwiseAND((1 << _BITS) - 1)
-    neighbour = lambda x: F.getbit(x["tag"], F.lit(2 * _BITS)) == 1
-    plain = F.filter(rows, lambda x: ~neighbour(x) & (segment(x) % RESERVE != 0))
-    costs = F.reverse(F.array_sort(F.transform(plain, lambda x: F.struct((x["n"] - 1).alias("n"), x["key"].alias("key")))))
-    reserve = F.array_distinct(F.transform(F.filter(rows, neighbour), segment))
-    priced = F.transform(reserve, lambda j: F.struct(F.aggregate(F.filter(rows, lambda x: neighbour(x) & (segment(x) == j)), F.lit(0).cast("long"), lambda a, x: a + x["n"] - 1).alias("n"), j.alias("segment")))
-    n_reserve = F.shiftright(rows[0]["tag"], _BITS).bitwiseAND((1 << _BITS) - 1).cast("int")
-    free = F.greatest(n_reserve - F.size(reserve), F.lit(0))
-    prices = F.array_sort(priced)
-    price = lambda i: F.when(i <= free, F.lit(0).cast("long")).otherwise(F.element_at(prices, F.greatest(i - free, F.lit(1)))["n"])
-    turns = F.least(F.size(costs), n_reserve)
-    swaps = F.when(turns > 0, F.size(F.filter(F.sequence(F.lit(1), F.greatest(turns, F.lit(1))), lambda i: F.element_at(costs, i)["n"] > price(i)))).otherwise(0)
-    skipped = F.transform(F.slice(costs, 1, swaps), lambda x: x["key"])
-    taken = F.transform(F.slice(prices, 1, F.greatest(swaps - free, F.lit(0))), lambda x: x["segment"])
-    asks = lambda x: F.when(neighbour(x), F.array_contains(taken, segment(x))).otherwise(~F.array_contains(skipped, x["key"]))
-    return F.transform(rows, lambda x: F.struct(x["key"].alias("key"), asks(x).alias("asks"), (F.getbit(x["tag"], F.lit(2 * _BITS + 1)) == 0).alias("indexed")))
+    mask = (1 << _BITS) - 1
+    segment, near, below = tag & mask, tag >> 2 * _BITS & 1 == 1, tag >> 2 * _BITS + 1 & 1
+    asks = ~near
+    for b in (0, 1):
+        plain = np.flatnonzero((below == b) & ~near & (segment % RESERVE != 0))
+        if not len(plain):
+            continue
+        dearest = plain[np.lexsort((key[plain], n[plain]))[::-1]]
+        own = np.flatnonzero((below == b) & near)
+        reserve, at = np.unique(segment[own], return_inverse=True)
+        price = np.bincount(at, weights=n[own] - 1, minlength=len(reserve)).astype(np.int64)
+        by_price = np.argsort(price, kind="stable")
+        free = int(tag[plain[0]] >> _BITS & mask) - len(reserve)
+        prices = np.concatenate([np.zeros(free, dtype=np.int64), price[by_price]])
+        turns = min(len(dearest), len(prices))
+        swaps = int((n[dearest[:turns]] - 1 > prices[:turns]).sum())
+        asks[dearest[:swaps]] = False
+        asks[own[np.isin(segment[own], reserve[by_price[: max(0, swaps - free)]])]] = True
+    return asks
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("asks", T.BooleanType()), T.StructField("indexed", T.BooleanType())])))
+def _asking(rows: pa.Array) -> pa.Array:
+    """Of lists of (n, key, tag), one per set, lists of (key, asks, indexed)."""
+    first = np.asarray(rows.offsets).astype(np.int64)
+    n, key, tag = (rows.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+    asks = np.concatenate([np.zeros(first[0], dtype=bool), *(allocated(n[a:b], key[a:b], tag[a:b]) for a, b in zip(first[:-1], first[1:], strict=True))])
+    indexed = tag[: first[-1]] >> 2 * _BITS + 1 & 1 == 0
+    return pa.ListArray.from_arrays(rows.offsets, pa.StructArray.from_arrays([pa.array(key[: first[-1]]), pa.array(asks), pa.array(indexed)], names=["key", "asks", "indexed"]))
 
 
 def _reaches(overlap: Column, percent: int) -> Column:
@@ -218,10 +232,9 @@ def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     # Two sets of one 64-bit name are both joined, and told apart when they are verified.
     ids = named.select(F.col("set_a").alias("name"), "set_a", "id", F.col("n_shingles").alias("n_set"))
     own = met.repartition("name").groupBy("name").agg(F.collect_list(F.struct("n", "key", "tag")).alias("x"))
-    part = lambda below: F.filter("x", lambda r: F.getbit(r["tag"], F.lit(2 * _BITS + 1)) == below)
     company = F.aggregate("x", F.lit(0).cast("long"), lambda a, r: a + r["n"])
-    asked = own.select("name", company.alias("company"), *(F.when(F.size(part(b)) > 0, allocated(part(b))).otherwise(F.array()).alias(f"x{b}") for b in (0, 1)))
-    rows = asked.join(ids, "name").select("id", F.col("n_set").alias("n"), "set_a", "company", F.explode(F.concat("x0", "x1")).alias("r"))
+    asked = own.select("name", company.alias("company"), _asking("x").alias("x"))
+    rows = asked.join(ids, "name").select("id", F.col("n_set").alias("n"), "set_a", "company", F.explode("x").alias("r"))
     rows = scratch.keep(rows.select("id", "n", "set_a", "company", "r.key", "r.asks", "r.indexed").where("r.asks or r.indexed"))
     scratch.drop(met)
     live = rows.groupBy("key").agg(F.bool_or("asks").alias("asks"), F.bool_or("indexed").alias("indexed"), F.min("id").alias("one"), F.max("id").alias("other"))

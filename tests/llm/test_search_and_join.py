@@ -151,25 +151,20 @@ def test_signatures_meet_for_all_linked_pairs():
                 assert at(small, (0,)) & at(large, (0, 1)), (percent, size)
 
 
-def test_allocation_keeps_the_units(spark):
+def test_allocation_keeps_the_units():
     """Skipped segments and reserve segments taken at two units are as many, and a dearer bucket is only skipped for cheaper ones."""
     bits, rng = jaccard_join._BITS, random.Random(2)
-    cases = []
     for n_reserve in (1, 2, 4):
-        for _ in range(20):
+        for _ in range(40):
             rows = [(rng.choice([2, 2, 3, 50, 900]), 1000 + j, j | n_reserve << bits) for j in range(n_reserve * 32) if rng.random() < 0.3]
             rows += [(rng.choice([2, 5, 60]), 5000 + 10 * j + d, 32 * j | n_reserve << bits | 1 << 2 * bits) for j in range(n_reserve) for d in range(rng.randrange(0, 3))]
-            if rows:
-                cases.append((len(cases), rows, n_reserve))
-    frame = spark.createDataFrame(cases, "id int, x array<struct<n:long,key:long,tag:long>>, r int")
-    got = {r["id"]: {a["key"]: a["asks"] for a in r["y"]} for r in frame.select("id", jaccard_join.allocated(F.col("x")).alias("y")).collect()}
-    for k, rows, n_reserve in cases:
-        price = {j: sum(n - 1 for n, key, tag in rows if tag >> 2 * bits & 1 and (tag & (1 << bits) - 1) == 32 * j) for j in range(n_reserve)}
-        plain = sorted(((n - 1, key) for n, key, tag in rows if not tag >> 2 * bits & 1 and (tag & (1 << bits) - 1) % 32), reverse=True)
-        skipped = {key for cost, (n, key) in zip(sorted(price.values()), plain, strict=False) if n > cost}
-        assert {key for _, key in plain if not got[k][key]} == skipped
-        taken = sum(all(got[k][key] for _, key, tag in rows if tag >> 2 * bits & 1 and (tag & (1 << bits) - 1) == 32 * j) for j in range(n_reserve))
-        assert taken >= len(skipped)
+            got = dict(zip([r[1] for r in rows], jaccard_join.allocated(*np.array(rows, dtype=np.int64).reshape(-1, 3).T).tolist(), strict=True))
+            price = {j: sum(n - 1 for n, key, tag in rows if tag >> 2 * bits & 1 and (tag & (1 << bits) - 1) == 32 * j) for j in range(n_reserve)}
+            plain = sorted(((n - 1, key) for n, key, tag in rows if not tag >> 2 * bits & 1 and (tag & (1 << bits) - 1) % 32), reverse=True)
+            skipped = {key for cost, (n, key) in zip(sorted(price.values()), plain, strict=False) if n > cost}
+            assert {key for _, key in plain if not got[key]} == skipped
+            taken = sum(all(got[key] for _, key, tag in rows if tag >> 2 * bits & 1 and (tag & (1 << bits) - 1) == 32 * j) for j in range(n_reserve))
+            assert taken >= len(skipped)
 
 
 def test_join_edge_rows(spark, empty):
