@@ -223,9 +223,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_train: int = 5000, max_byte
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     texts = docs.join(F.broadcast(chosen), "doc_id")
-    # At most max_train rows for the window: those ahead of the first that doesn't fit any more.
-    sizes = texts.groupBy("doc_id").agg(F.max(F.octet_length(F.coalesce("text", F.lit("")))).alias("n"), F.first("toxic").alias("toxic"))
-    fitting = sizes.withColumn("n", F.expr("sum(n) over (order by xxhash64(doc_id), doc_id)")).where(F.col("n") <= max_bytes).select("doc_id", "toxic")
+    # At most max_train rows; a text that doesn't fit any more is left out, and shorter ones behind it may still fit.
+    fitting, room = [], max_bytes
+    for r in texts.groupBy("doc_id").agg(F.max(F.octet_length(F.coalesce("text", F.lit("")))).alias("n"), F.first("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if r["n"] <= room:
+            fitting.append((r["doc_id"], r["toxic"]))
+            room -= r["n"]
+    fitting = spark.createDataFrame(fitting, texts.select("doc_id", "toxic").schema)
     train = docs.join(F.broadcast(fitting), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic")).collect()
     train = sorted(train, key=lambda r: r["doc_id"])
     field = fit([r["text"] or "" for r in train], np.array([int(r["toxic"] > 0) for r in train], dtype=np.int64))
