@@ -24,6 +24,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,8 +89,8 @@ def anchor(lengths: np.ndarray, turn: int, reach: int) -> int:
     return near + int(np.argmax(lengths[near : min(near + 4, last + 1)])) if last >= 8 else near
 
 
-def rounds_for(n_words: int, reach: int, edit_share: float, recall: float) -> int:
-    """Rounds that find the share recall of TRIALS simulated items of n_words words with the most edits allowed."""
+def rounds_for(n_words: int, reach: int, edit_share: float, recall: float) -> int | None:
+    """Rounds that find the share recall of TRIALS simulated items of n_words words with the most edits allowed; None if MOST_ROUNDS don't."""
     rng = np.random.default_rng(n_words)
     allowed = int(edit_share * n_words)
     item = rng.integers(1, 2**63, n_words, dtype=np.uint64)
@@ -112,7 +113,7 @@ def rounds_for(n_words: int, reach: int, edit_share: float, recall: float) -> in
         found[trial[index[keys == key[0]]]] = True
         if found.mean() >= recall:
             return turn + 1
-    return MOST_ROUNDS
+    return None
 
 
 def parts(n_words: int, allowed: int) -> list[tuple[int, int]]:
@@ -123,7 +124,7 @@ def parts(n_words: int, allowed: int) -> list[tuple[int, int]]:
 
 @dataclass
 class Index:
-    """Items of one block, with the keys of their walks per (round, sampled steps), and the parts of the short ones."""
+    """Items of one block, with the keys of their walks per (round, sampled steps), and the parts of those that go through parts: short ones, and classes that walks can't bring to the recall."""
 
     ids: list[int]
     words: list[np.ndarray]
@@ -134,7 +135,7 @@ class Index:
     def build(cls, items: list[tuple[int, str]], edit_share: float, recall: float) -> Index:
         split = [(i, *item_words(t)) for i, t in items]
         split = [x for x in split if len(x[1])]
-        rounds = []
+        rounds, by_parts = [], {n for n, x in enumerate(split) if len(x[1]) <= SHORT}
         for k, (least, reach) in enumerate(REACH):
             most = REACH[k - 1][0] if k else 1 << 60
             own = [n for n, x in enumerate(split) if least <= len(x[1]) < most]
@@ -142,7 +143,11 @@ class Index:
                 continue
             # Of the class's first ten lengths, the one at which the allowed edits are the largest share.
             hardest = max(range(least, least + 10), key=lambda n: int(edit_share * n) / n)
-            for turn in range(rounds_for(hardest, reach, edit_share, recall)):
+            turns = rounds_for(hardest, reach, edit_share, recall)
+            if turns is None:  # walks would miss too much at this edit share, so these items go through exact parts
+                by_parts.update(own)
+                continue
+            for turn in range(turns):
                 steps = sample(turn, reach)
                 starts = [anchor(split[n][2], turn, reach) for n in own]
                 levels: list[list[int]] = [[] for _ in steps]
@@ -153,7 +158,7 @@ class Index:
                 rounds.append((turn, steps, table, [np.unique(np.array(x, dtype=np.uint64)) for x in levels], np.array(levels[-1], dtype=np.uint64)[order], np.array(own)[order], np.array(starts)[order]))
         by_length: dict[int, list[tuple]] = {}
         for n, (_, words, _) in enumerate(split):
-            if len(words) <= SHORT:
+            if n in by_parts:
                 for a, b in parts(len(words), int(edit_share * len(words))):
                     by_length.setdefault(b - a, []).append((tc.ngrams(words[a:b], b - a)[0], n, a, words[a]))
         exact = []
@@ -260,13 +265,13 @@ def _finder(broadcast, edit_share: float):
     return find
 
 
-def blocks(docs: DataFrame, items: DataFrame, edit_share: float = 0.2, recall: float = 0.995, block_bytes: int = 16 << 20) -> Iterator[Column]:
-    """Per block of items a column for docs: array of (item_id, n_item_words, n_edits, end_word) of the block's items that the text holds.
+def blocks(docs: DataFrame, items: DataFrame, edit_share: float = 0.2, recall: float = 0.995, block_bytes: int = 16 << 20) -> Iterator[tuple[Column, Broadcast]]:
+    """Per block of items a column for docs, array of (item_id, n_item_words, n_edits, end_word) of the block's items that the text holds; and the broadcast that it reads.
 
     An item is held if a part of the text is at most ``edit_share`` of the item's words away from it in edits of words
     (none, for fewer than five words); n_edits is the least at the candidate places and end_word the end of the first best part.  Items without a word, null and empty
     ones are never held; equal items are each reported.  The item table may have any size: it is read in blocks of
-    hashed ids with at most about block_bytes of text, and the driver holds one block at a time.
+    hashed ids with at most about block_bytes of text.  The driver holds one block at a time if the caller destroys the broadcast once the column is written.
     """
     spark = docs.sparkSession
     known = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
@@ -275,16 +280,20 @@ def blocks(docs: DataFrame, items: DataFrame, edit_share: float = 0.2, recall: f
     for k in range(n):
         rows = sorted(tuple(r) for r in known.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect())
         index = spark.sparkContext.broadcast(Index.build(rows, edit_share, recall))
-        yield _finder(index, edit_share)(F.col("text"))
+        yield _finder(index, edit_share)(F.col("text")), index
 
 
 def contaminated(docs: DataFrame, items: DataFrame, **parameters) -> DataFrame:
     """doc_id, item_id, n_item_words, n_edits, similarity, end_word: a row per pair of a row of docs and an item that it holds.
 
     Null and empty texts hold nothing.  Repeated rows each give their pairs; a null doc_id is
-    kept.  Only doc_id and text are read, so other columns may have any name.  An empty table gives no pairs.
+    kept.  Only doc_id and text are read, so other columns may have any name.  An empty table gives no pairs.  Each block's pairs are written before the next block is read.
     """
-    pairs = reduce(DataFrame.unionByName, (docs.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.*") for found in blocks(docs, items, **parameters)))
+    scratch, written = Scratch(docs.sparkSession, "contaminated"), []
+    for found, index in blocks(docs, items, **parameters):
+        written.append(scratch.keep(docs.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.*")))
+        index.destroy()
+    pairs = reduce(DataFrame.unionByName, written)
     return pairs.select("doc_id", "item_id", "n_item_words", "n_edits", (1 - F.col("n_edits") / F.col("n_item_words")).alias("similarity"), "end_word")
 
 
@@ -294,12 +303,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, **parameters) -> DataFrame:
     With more than one block of items, the rows that hold none of a block are written and the next block reads them.
     """
     scratch, left, waiting = Scratch(docs.sparkSession, "decontaminate"), docs, None
-    for found in blocks(docs, items, **parameters):
+    for found, index in blocks(docs, items, **parameters):
         if waiting is not None:
-            before, left = left, scratch.keep(left.where(F.size(waiting) == 0))
+            before, left = left, scratch.keep(left.where(F.size(waiting[0]) == 0))
             scratch.drop(before)
-        waiting = found
-    return left.where(F.size(waiting) == 0)
+            waiting[1].destroy()
+        waiting = found, index
+    return left.where(F.size(waiting[0]) == 0)
 
 
 def op4_cgk_decontamination(spark, sf_dir: str) -> DataFrame:
