@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.operators.facts import SPREAD
@@ -16,14 +18,27 @@ def spread_directions() -> tuple[list[str], list[str]]:
     return [k for k, v in SPREAD.items() if "OUT" in v], [k for k, v in SPREAD.items() if "IN" in v]
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written as Parquet to spark.checkpoint.dir and read from there, so that its lineage ends, it is computed once and joins know its size; without that setting, on one machine only, to a folder of its own."""
-    context = df.sparkSession.sparkContext
+def kept_folder(spark: SparkSession, name: str) -> str:
+    """A new path in spark.checkpoint.dir (without that setting, on one machine only, in a folder of its own), which goes when the driver ends."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="heddle-"))
-    path = f"{context.getCheckpointDir()}/settled-{uuid.uuid4().hex}"
+    path = f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended first
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the folder of kept_folder and read from there, so that its lineage ends, it is computed once and joins know its size."""
+    path = kept_folder(df.sparkSession, "settled")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -86,19 +86,6 @@ def ranked(scores: DataFrame, k: int, key: str = "id") -> DataFrame:
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def lexical_channel(postings: DataFrame, terms: DataFrame, k: int = LEXICAL_K) -> DataFrame:
-    """postings (id, w: lower-cased words, with repeats), terms (query, token: stems): an OR search over stems.
-
-    Words are counted per document first, and stemmed once each; only those whose stem is asked for meet the terms.
-    Each place of a term counts 0.1, and a sum s gives s / (s + 1): of an OR of words every place is a cover by itself, so this is its cover density.
-    """
-    counted = postings.groupBy("id", "w").agg(F.count("*").alias("n"))
-    terms = terms.distinct()
-    stems = postings.select("w").distinct().select("w", X.stem(F.col("w")).alias("token")).join(terms.select("token").distinct(), "token", "left_semi")
-    hits = counted.join(stems, "w").join(terms, "token").groupBy("query", "id").agg(F.sum("n").alias("n"))
-    return ranked(hits.select("query", "id", (F.col("n") * 0.1 / (F.col("n") * 0.1 + 1)).alias("score")), k)
-
-
 def fuse(channels: dict[str, DataFrame], weights: dict[str, float] | None = None, k: int = RRF_K, key: str = "id") -> DataFrame:
     """Reciprocal rank fusion of channels (query, key, rank)."""
     out = None

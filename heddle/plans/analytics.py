@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions import fuzzy, vectors
 from heddle.functions import text as X
-from heddle.operators import compare, facts, findings, graph, ingest, questions, resolve, retrieval, review
+from heddle.operators import compare, facts, findings, graph, ingest, lexical_index, questions, resolve, retrieval, review
 from heddle.plans.base import query
 from heddle.plans.readmodels import BINDING, CONF, candidates, conf
 from heddle.tables import Views
@@ -427,14 +427,34 @@ def dense_channel(v: Views) -> DataFrame:
     return dense(v, 30).select("query", "id", F.col("rank").cast("long").alias("rank"), "score")
 
 
-LEX = ", tq AS (SELECT DISTINCT item_id AS query, stem AS token FROM " + stem_sql("SELECT item_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS w FROM benchmark WHERE item_id % 20 = 0") + "), tp AS (SELECT doc_id AS id, stem AS token FROM " + stem_sql("SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS w FROM documents") + "), lh AS (SELECT query, id, count(*) * 0.1 / (count(*) * 0.1 + 1) AS score FROM tp JOIN tq USING (token) GROUP BY query, id), lr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM lh)"
+def lexical_sql(questions: str, documents: str = "SELECT doc_id AS id, text FROM documents") -> str:
+    """qt: terms, qw: words looked up (of > 1: of a phrase), dw: words of lexical texts, iv: covers before the smallest are chosen, cv: covers, lh: scores, lr: ranks."""
+    return rf""", qs AS ({questions}), qa AS (SELECT query, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS w, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9_]+'), 1) AS i FROM qs),
+qb AS (SELECT *, CASE WHEN {IDENTIFIER} THEN {PARTS} ELSE [] END AS parts, regexp_matches(w, '[A-Z]') AND NOT regexp_matches(w, '[a-z]') AND length(w) >= 2 AS up FROM qa),
+qc AS (SELECT *, CASE WHEN len(parts) > 0 THEN array_to_string(parts, '') ELSE replace(lower(w), '_', '') END AS joined FROM qb),
+qd AS (SELECT query, joined, min(i) AS i, arg_min(parts, i) AS parts FROM qc WHERE joined <> '' AND (len(parts) > 0 OR ((up OR joined NOT IN {STOPS}) AND length(joined) >= 2)) GROUP BY ALL),
+qt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY i) AS n FROM qd) WHERE n <= 32),
+qw AS (SELECT query, n, k, of_, stem FROM {stem_sql("SELECT query, n, 0 AS k, 1 AS of_, joined AS w FROM qt UNION ALL SELECT query, n, unnest(range(len(parts))), len(parts), unnest(parts) FROM qt WHERE len(parts) > 1")}),
+da AS (SELECT id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS w, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9_]+'), 1) AS i FROM ({documents})),
+db AS (SELECT *, CASE WHEN {IDENTIFIER} THEN {PARTS} ELSE [] END AS parts FROM da),
+dc AS (SELECT id, i, 0 AS k, 0 AS j, replace(lower(w), '_', ' ') AS form FROM db UNION ALL SELECT id, i, 1, 0, array_to_string(parts, '') FROM db WHERE len(parts) > 0 UNION ALL SELECT id, i, 1, 1, array_to_string(parts, ' ') FROM db WHERE len(parts) > 1),
+dd AS (SELECT id, string_split(string_agg(form, ' ' ORDER BY k, i, j), ' ') AS ws FROM dc GROUP BY id),
+de AS (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM dd),
+dw AS (SELECT id, p, stem FROM {stem_sql("SELECT * FROM de WHERE w <> ''")}),
+iv AS (SELECT DISTINCT query, id, p AS first, p AS last FROM dw JOIN qw USING (stem) WHERE of_ = 1 UNION
+  SELECT query, id, p - k, p - k + of_ - 1 FROM dw JOIN qw USING (stem) WHERE of_ > 1 GROUP BY query, n, id, of_, p - k HAVING count(*) = any_value(of_)),
+cv AS (SELECT * FROM iv WHERE first = last UNION ALL SELECT * FROM iv a WHERE first < last AND NOT EXISTS (SELECT 1 FROM iv b WHERE b.query = a.query AND b.id = a.id AND b.first >= a.first AND b.last <= a.last AND (b.first <> a.first OR b.last <> a.last))),
+lh AS (SELECT query, id, count(*) * 0.1 / (count(*) * 0.1 + 1) AS score, count(*) AS n_covers, count(*) FILTER (last > first) AS n_phrases FROM cv GROUP BY query, id),
+lr AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM lh)"""
+
+
+LEX = lexical_sql("SELECT item_id AS query, text FROM benchmark WHERE item_id % 20 = 0")
 
 
 def lexical(v: Views, k: int = retrieval.LEXICAL_K) -> DataFrame:
-    """The benchmark items with ids divisible by 20 against all documents, by all their terms."""
-    words = lambda t: F.explode(F.transform(X.tokens(F.col(t)), F.lower)).alias("w")
-    terms = v.table("benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query"), words("text")).distinct().select("query", X.stem(F.col("w")).alias("token"))
-    return retrieval.lexical_channel(v.table("documents").select(F.col("doc_id").alias("id"), words("text")), terms, k)
+    """The benchmark items with ids divisible by 20 against all documents."""
+    questions = v.table("benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query"), "text")
+    return lexical_index.lexical_channel(v.table("documents").select(F.col("doc_id").alias("id"), "text"), questions, k)
 
 
 @query("q2_lexical_channel", LEX + " SELECT query, id, rank, round(score, 6) AS score FROM lr WHERE rank <= 30")
