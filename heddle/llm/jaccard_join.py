@@ -246,11 +246,10 @@ def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links, component = None, None
 
     def mixed() -> DataFrame:
-        """Rows of the buckets that hold several components."""
-        if component is None:
-            return rows.withColumn("component", F.col("id"))
-        now = scratch.keep(rows.join(component, "id", "left").withColumn("component", F.coalesce("component", "id")))
-        keys = now.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other").select("key")
+        """Rows of the buckets that hold several components, and one that asks."""
+        now = rows.withColumn("component", F.col("id")) if component is None else rows.join(component, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        now = scratch.keep(now)
+        keys = now.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other"), F.bool_or("asks").alias("asks")).where("one <> other and asks").select("key")
         return scratch.keep(now.join(scratch.keep(keys), "key"))
 
     def linked(pairs: DataFrame) -> None:
@@ -266,9 +265,12 @@ def join_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         rank = F.struct("company", (-F.col("id")).alias("o"))
         hub_of = lambda frame: scratch.keep(frame.where("asks").groupBy("key").agg(F.max_by(F.struct("id", "n", "component"), rank).alias("hub")))
         hubs = hub_of(now)
-        if turn:  # the first hub has met all; the next has most company among those outside its component
+        if turn:  # the one with most company outside the component of the one with most
             hubs = hub_of(now.join(hubs, "key").where("component <> hub.component").drop("hub"))
-        linked(now.join(hubs, "key").where("component <> hub.component").select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("hub.id").alias("b"), F.col("hub.n").alias("n_b")))
+        met = now.join(hubs, "key", "left")
+        linked(met.where("component <> hub.component").select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("hub.id").alias("b"), F.col("hub.n").alias("n_b")))
+        # The hub has met all of its bucket, so it leaves it; a bucket of two ends here.
+        rows = scratch.keep(met.where("hub is null or id <> hub.id").select(*rows.columns))
     linked(_open_pairs(mixed(), sets, percent, scratch))
     smallest = member.join(component, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))
     out = every.select("doc_id", "n_shingles").join(smallest, "doc_id", "left")
