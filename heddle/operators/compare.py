@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.functions import fuzzy
@@ -62,10 +62,10 @@ def _numbered(rows: DataFrame, keys: list[str], order: list[str], as_: str) -> D
     return placed.withColumn("turn", turn).join(ahead, [*keys, "part"]).select(*rows.columns, (F.col("ahead") + F.col("turn")).alias(as_))
 
 
-def similar_names(old: DataFrame, new: DataFrame) -> DataFrame:
-    """old, new (kind, name): kind, a, b, ratio of all distinct pairs with a sequence ratio of RENAME at least.
+def similar_names(old: DataFrame, new: DataFrame, ratio: float = RENAME, apart: int | None = None) -> DataFrame:
+    """old, new (kind, name): kind, a, b, ratio of all distinct pairs with a sequence ratio of ``ratio`` (above 2 / 3) at least; ``apart``: of lengths that differ by no more.
 
-    Such a pair shares at least 0.2 T - 1 pairs of neighbouring characters (T: summed lengths), since at most a fifth of the characters is unmatched and
+    Such a pair shares at least (1.5 ratio - 1) T - 1 pairs of neighbouring characters (T: summed lengths), since the share 1 - ratio of the characters is unmatched and
     parts the rest into runs.  So the rarest of a name's pairs, all but as many as its shortest partner must share, hold one that both have.
     Names of up to three characters meet on single characters too.
     """
@@ -78,12 +78,14 @@ def similar_names(old: DataFrame, new: DataFrame) -> DataFrame:
     tokens = sides.withColumn("pairs", pairs).select("kind", "name", "old", F.explode(F.concat(counted, short)).alias("token"))
     often = tokens.groupBy("kind", "token").agg(F.count("*").alias("n"))
     listed = tokens.join(often, ["kind", "token"]).groupBy("kind", "name", "old").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("all"))
-    least = F.greatest(F.lit(1), F.ceil(size / 3.0 - 1 - 1e-9)).cast("int")
+    least = F.greatest(F.lit(1), F.ceil(size * ((1.5 * ratio - 1) * 2 / (2 - ratio)) - 1 - 1e-9)).cast("int")
     rare = listed.select("kind", "name", "old", F.explode(F.slice("all", F.lit(1), F.size("all") - least + 1)).alias("x")).select("kind", "name", "old", "x.token")
     side = lambda which, c: rare.where(F.col("old") == which).select("kind", "token", F.col("name").alias(c))
-    fits = F.least(F.length("a"), F.length("b")) * 2 >= (F.length("a") + F.length("b")) * RENAME - 1e-9
+    fits = F.least(F.length("a"), F.length("b")) * 2 >= (F.length("a") + F.length("b")) * ratio - 1e-9
+    if apart is not None:
+        fits = fits & (F.abs(F.length("a") - F.length("b")) <= apart)
     met = side(True, "a").join(side(False, "b"), ["kind", "token"]).where(fits).select("kind", "a", "b").distinct()
-    return met.withColumn("ratio", fuzzy.sequence_ratio("a", "b")).where(F.col("ratio") >= RENAME)
+    return met.withColumn("ratio", fuzzy.sequence_ratio("a", "b")).where(F.col("ratio") >= ratio)
 
 
 def renames(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -129,48 +131,86 @@ def entity_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return out.withColumn("severity", severity(F.col("change")))
 
 
+def _rest(rows: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
+    return rows.join(pairs.select("pair", F.col(side).alias("ordinal")), ["pair", "ordinal"], "left_anti")
+
+
 def pair_sections_by_key(old: DataFrame, new: DataFrame) -> DataFrame:
     """old, new (pair, key, ordinal): sections of equal key, the k-th with the k-th; then those whose key is unique on both sides by its last part."""
     number = lambda df, c: df.withColumn("k", F.expr("row_number() over (partition by pair, key order by ordinal)")).select("pair", "key", "k", F.col("ordinal").alias(c))
     same = number(old, "old").join(number(new, "new"), ["pair", "key", "k"]).select("pair", "old", "new", F.lit("SAME_PATH").alias("how"))
 
-    def rest(df: DataFrame, c: str) -> DataFrame:
-        last = F.element_at(F.split("key", " > "), -1)
-        left = df.join(same.select("pair", F.col(c).alias("ordinal")), ["pair", "ordinal"], "left_anti").withColumn("last", last)
+    def unique(df: DataFrame, c: str) -> DataFrame:
+        left = _rest(df, same, c).withColumn("last", F.element_at(F.split("key", " > "), -1))
         return left.withColumn("n", F.expr("count(*) over (partition by pair, last)")).where("n = 1").select("pair", "last", F.col("ordinal").alias(c))
 
-    return same.unionByName(rest(old, "old").join(rest(new, "new"), ["pair", "last"]).select("pair", "old", "new", F.lit("SAME_HEADING").alias("how")))
-
-
-def match_sections(old: list[tuple[int, str]], new: list[tuple[int, str]]) -> list[tuple[int, int]]:
-    """All four ways to pair sections (ordinal, key of parts joined by ' > ') of one version pair."""
-    left, right, pairs = list(old), list(new), []
-
-    def settle(a: tuple[int, str], b: tuple[int, str]) -> None:
-        left.remove(a)
-        right.remove(b)
-        pairs.append((a[0], b[0]))
-
-    parts = lambda x: x[1].split(" > ")
-    for a in list(left):
-        if b := next((b for b in right if b[1] == a[1]), None):
-            settle(a, b)
-    for a in list(left):
-        mine, theirs = ([x for x in side if parts(x)[-1] == parts(a)[-1]] for side in (left, right))
-        if len(mine) == 1 and len(theirs) == 1:
-            settle(a, theirs[0])
-    longer = lambda a, b: parts(a)[:-1] == parts(b)[:-1] and (parts(a)[-1] != parts(b)[-1]) and (parts(b)[-1].startswith(parts(a)[-1] + " ") or parts(a)[-1].startswith(parts(b)[-1] + " "))
-    for a in list(left):
-        on = [b for b in right if longer(a, b)]
-        if len(on) == 1 and sum(longer(x, on[0]) for x in left) == 1:
-            settle(a, on[0])
-    flat = lambda x: " ".join(parts(x))
-    ratio = lambda a, b: SequenceMatcher(None, flat(a), flat(b)).ratio()
-    for a in list(left):
-        best = max(right, key=lambda b: ratio(a, b), default=None)
-        if best and ratio(a, best) >= SECTION_FUZZY and max(left, key=lambda x: ratio(x, best)) == a:
-            settle(a, best)
-    return sorted(pairs, key=lambda p: p[1])
+    return same.unionByName(unique(old, "old").join(unique(new, "new"), ["pair", "last"]).select("pair", "old", "new", F.lit("SAME_HEADING").alias("how")))
+
+
+def extended_headings(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(pair, old, new) of sections under one parent of which one's last heading has all words of the other's.
+
+    The smaller set's rarest word stands in the larger, so each side's rarest words meet all words of the other.
+    """
+    def side(rows: DataFrame) -> DataFrame:
+        parts = F.split("key", " > ")
+        parent = F.array_join(F.slice(parts, 1, F.size(parts) - 1), " > ")
+        words = F.array_distinct(F.array_remove(F.split(F.element_at(parts, -1), r"\s+"), ""))
+        return rows.select("pair", parent.alias("parent"), "ordinal", words.alias("words")).where(F.size("words") > 0)
+
+    left, right = side(old), side(new)
+    spread = lambda df: df.select("pair", "parent", "ordinal", F.explode("words").alias("word"))
+    often = spread(left).unionByName(spread(right)).groupBy("pair", "parent", "word").agg(F.count("*").alias("n"))
+    rarest = lambda df: spread(df).join(often, ["pair", "parent", "word"]).groupBy("pair", "parent", "ordinal").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
+    at = ["pair", "parent", "word"]
+    a, b = (lambda df: df.withColumnRenamed("ordinal", "old")), (lambda df: df.withColumnRenamed("ordinal", "new"))
+    met = a(rarest(left)).join(b(spread(right)), at).unionByName(a(spread(left)).join(b(rarest(right)), at)).select("pair", "old", "new").distinct()
+    both = met.join(a(left).select("pair", "old", F.col("words").alias("x")), ["pair", "old"]).join(b(right).select("pair", "new", F.col("words").alias("y")), ["pair", "new"])
+    return both.where((F.size(F.array_except("x", "y")) == 0) | (F.size(F.array_except("y", "x")) == 0)).select("pair", "old", "new")
+
+
+def take_turns(edges: DataFrame, best: bool) -> DataFrame:
+    """(pair, old, new) taken from edges (pair, old, new, ratio), as if the old ones took turns in their order.
+
+    In its turn an old one takes its only new one that is left, if no other old one is left for that; with ``best`` its most similar one (the first of equals),
+    if it is the most similar left (the first of equals) to that.  Who takes nothing stays in the way of others.  In a round all decide at once that have no undecided
+    one before them at any of their new ones, so rounds are as many as the longest chain of such neighbours, not as the sections.
+    """
+    edges, taken = settled(edges.withColumn("decided", F.lit(False))), None
+    at_old, at_new = Window.partitionBy("pair", "old"), Window.partitionBy("pair", "new")
+    while edges.where("not decided").limit(1).count():
+        rows = edges.withColumn("first", F.min(F.when(~F.col("decided"), F.col("old"))).over(at_new))
+        rows = rows.withColumn("turn", ~F.col("decided") & (F.min("first").over(at_old) == F.col("old")))
+        if best:
+            mine = F.max_by("new", F.struct("ratio", (-F.col("new")).alias("o"))).over(at_old) == F.col("new")
+            theirs = F.max_by("old", F.struct("ratio", (-F.col("old")).alias("o"))).over(at_new) == F.col("old")
+        else:
+            mine, theirs = F.count("*").over(at_old) == 1, F.count("*").over(at_new) == 1
+        rows = settled(rows.withColumn("takes", F.col("turn") & mine & theirs))
+        now = settled(rows.where("takes").select("pair", "old", "new"))
+        taken = now if taken is None else taken.unionByName(now)
+        left = rows.join(now.select("pair", "old"), ["pair", "old"], "left_anti").join(now.select("pair", "new"), ["pair", "new"], "left_anti")
+        edges = settled(left.withColumn("decided", F.col("decided") | F.col("turn")).select(*edges.columns))
+    return edges.select("pair", "old", "new") if taken is None else taken
+
+
+def pair_sections(old: DataFrame, new: DataFrame) -> DataFrame:
+    """old, new (pair, key, ordinal): pair, old, new and how: SAME_PATH, SAME_HEADING, EXTENDED or RENAMED, each among what the ways before it leave.
+
+    A key's parts are joined by ' > '.  EXTENDED: under one parent, a heading with all words of the other's; RENAMED: the most similar to each other, by a ratio of SECTION_FUZZY at least.
+    """
+    old, new = settled(old), settled(new)
+    pairs = settled(pair_sections_by_key(old, new))
+    left, right = settled(_rest(old, pairs, "old")), settled(_rest(new, pairs, "new"))
+    extended = take_turns(extended_headings(left, right).withColumn("ratio", F.lit(1.0)), best=False)
+    left, right = settled(_rest(left, extended, "old")), settled(_rest(right, extended, "new"))
+    flat = lambda df, c, name: df.select(F.col("pair").alias("kind"), F.col("ordinal").alias(c), F.replace("key", F.lit(" > "), F.lit(" ")).alias(name))
+    a, b = flat(left, "old", "a"), flat(right, "new", "b")
+    near = similar_names(a.select("kind", F.col("a").alias("name")), b.select("kind", F.col("b").alias("name")), SECTION_FUZZY)
+    edges = near.join(a, ["kind", "a"]).join(b, ["kind", "b"]).select(F.col("kind").alias("pair"), "old", "new", "ratio")
+    renamed = take_turns(edges, best=True)
+    how = lambda df, name: df.select("pair", "old", "new", F.lit(name).alias("how"))
+    return pairs.unionByName(how(extended, "EXTENDED")).unionByName(how(renamed, "RENAMED"))
 
 
 class Candidates:

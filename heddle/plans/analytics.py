@@ -515,6 +515,16 @@ def linked_entities(v: Views) -> DataFrame:
     return questions.linked(asked_, index)
 
 
+@query("q6_near_spellings")
+def near_spellings(v: Views) -> DataFrame:
+    """Each brand and each part's name as one identifier of capitalized words that lacks its third letter, against all names."""
+    index = facts.name_index(facts.live_entities(v.entities), v.aliases).select("normalized", F.col("id").alias("entity"))
+    words = v.table("part").select(F.explode(F.array("p_brand", "p_name")).alias("name")).distinct().select("name", F.replace(F.initcap(F.regexp_replace("name", "[^A-Za-z0-9]+", " ")), F.lit(" "), F.lit("")).alias("w"))
+    misspelled = words.select("name", F.concat(F.left("w", F.lit(2)), F.substring("w", 4, 1 << 30)).alias("w"))
+    asked_ = misspelled.select(F.col("name").alias("id"), F.concat(F.lit("What requires "), "w", F.lit("?")).alias("text"))
+    return questions.linked(asked_, index)
+
+
 #: Questions about Alpha, and the plan that each calls for: intent, direction, types, depth.  One at least for each phrase, and for each way round.
 QUESTIONS = [
     ("Alpha is required by what?", "DEPENDENCY", "INCOMING", "REQUIRES", 1), ("What is required by Alpha?", "DEPENDENCY", "OUTGOING", "REQUIRES", 1), ("Alpha is used by which part?", "DEPENDENCY", "INCOMING", "USES", 1),

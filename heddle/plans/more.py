@@ -214,6 +214,16 @@ def section_pairs(v: Views) -> DataFrame:
     return paired.where("how = 'SAME_PATH'").select("pair", "old", "new")
 
 
+@query("d1_all_passes")
+def all_passes(v: Views) -> DataFrame:
+    """Lines stand in for sections: a line's first two words for the parent, the next four for the heading; every version against its successor."""
+    words = F.filter(F.split(F.lower("content"), r"[^a-z0-9]+"), lambda w: w != "")
+    key = F.concat_ws(" > ", F.array_join(F.slice(words, 1, 2), " "), F.nullif(F.array_join(F.slice(words, 3, 4), " "), F.lit("")))
+    rows = v.chunks.join(v.versions.select("doc_id", "version_number"), "doc_id").select("document", "version_number", F.col("pos").cast("long").alias("ordinal"), key.alias("key"))
+    pair = lambda shift: F.concat_ws("#", "document", (F.col("version_number") - shift).cast("string")).alias("pair")
+    return compare.pair_sections(rows.select(pair(0), "ordinal", "key"), rows.select(pair(1), "ordinal", "key"))
+
+
 @query("d10_change_groups", VERSIONED + ", d AS (SELECT source AS scope, 'REMOVED' AS change FROM ba WHERE id NOT IN (SELECT id FROM nw) UNION ALL SELECT source, 'ADDED' FROM nw WHERE id NOT IN (SELECT id FROM ba)) SELECT scope || ':' || change AS grp, count(*) AS n FROM d GROUP BY 1")
 def change_groups(v: Views) -> DataFrame:
     old, new = version_edges(v)

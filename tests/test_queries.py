@@ -21,11 +21,13 @@ def _once(rows, *columns):
 #: What holds for the rows of the queries without SQL.
 INVARIANTS = {
     "c1_chunks": lambda rows: _once(rows, "doc", "section", "chunk") and all(0 < r["n_tokens"] <= 800 for r in rows),
+    "d1_all_passes": lambda rows: _once(rows, "pair", "old") and _once(rows, "pair", "new") and {r["how"] for r in rows} <= {"SAME_PATH", "SAME_HEADING", "EXTENDED", "RENAMED"},
     "d2_statement_changes": lambda rows: all((r["before"] is None) == (r["change"] == "ADDED") and (r["after"] is None) == (r["change"] == "REMOVED") for r in rows),
     "d5_entity_changes": lambda rows: all((r["old_id"] is None) == (r["change"] == "ADDED") and (r["new_id"] is None) == (r["change"] == "REMOVED") for r in rows) and _once([r for r in rows if r["old_id"]] or rows, "old_id", "new_id"),
     "f5_findings_listing": lambda rows: len(rows) <= 50 and {r["total"] for r in rows} == {max(r["total"] for r in rows)} and [r["severity"] for r in rows] == sorted((r["severity"] for r in rows), key=["HIGH", "MEDIUM", "LOW", "INFO"].index),
     "m5_sequence_ratio": lambda rows: _once(rows, "p_name", "other") and all(r["p_name"] < r["other"] and 0 < r["ratio"] < 1 for r in rows),
     "q6_linked_entities": lambda rows: _once(rows, "id", "entity") and all(0 <= r["start"] < r["stop"] <= r["start"] + 5 for r in rows),
+    "q6_near_spellings": lambda rows: _once(rows, "id", "entity") and any(r["similarity"] < 1 for r in rows) and all(r["similarity"] >= 0.88 for r in rows),
     "q8_claim_support": lambda rows: _once(rows, "id") and all(0 <= r["support"] <= 1 and r["supported"] == (r["support"] >= 0.6) for r in rows),
     "q16_extractive_answers": lambda rows: _once(rows, "query", "id") and all(r["sentence"].strip() for r in rows),
     "r4_scores": lambda rows: _once(rows, "a", "b") and all(0 <= r["similarity"] <= 1 and (r["similarity"] == 1) == (r["decisive"] == "EXACT_NAME") for r in rows),
