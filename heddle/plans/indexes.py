@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heddle.functions import text as X
+from heddle.functions import vectors as V
+from heddle.operators.embedding_index import EmbeddingIndex
 from heddle.operators.graph import kept_folder
 from heddle.operators.lexical_index import LexicalIndex
 from heddle.operators.vector_index import VectorIndex
@@ -47,3 +50,30 @@ def phrase_search(v: Views) -> DataFrame:
     index = LexicalIndex.build(v.table("documents").select(F.col("doc_id").alias("id"), "text"), kept_folder(v.spark, "postings"))
     found = index.search(items.select("query", F.array_join(names, " ").alias("text")))
     return found.select("query", "id", F.col("rank").cast("long").alias("rank"), "n_covers", "n_phrases", F.round("score", 6).alias("score"))
+
+
+GROWN = ", ck AS (SELECT doc_id * 1000000 + pos AS id, content FROM chunks), half AS (SELECT max(doc_id) // 2 AS d FROM chunks), a AS (SELECT content FROM ck, half WHERE id < (d + 1) * 1000000), b AS (SELECT content FROM ck, half WHERE id >= (d + 1) * 1000000)"
+
+
+@query("q14_incremental_runs", GROWN + """ SELECT 1::INT AS run, count(*) AS total, count(*) - count(DISTINCT content) AS reused, count(DISTINCT content) AS computed FROM a
+UNION ALL SELECT 2, (SELECT count(*) FROM b), (SELECT count(*) FROM b) - n, n FROM (SELECT count(DISTINCT content) AS n FROM b WHERE content NOT IN (SELECT content FROM a)) UNION ALL SELECT 3, 0, 0, 0""")
+def incremental_runs(v: Views) -> DataFrame:
+    """Lines of the first half of the documents, then of all, then nothing new: later runs embed only what is new."""
+    lines = v.chunks.select((F.col("doc_id") * 1_000_000 + F.col("pos")).alias("id"), "doc_id", "content")
+    half = lines.agg(F.floor(F.max("doc_id") / 2)).first()[0]
+    index = EmbeddingIndex(v.spark, kept_folder(v.spark, "embeddings"))
+    embed = lambda c: V.hashed_embedding(F.transform(X.tokens(c), F.lower), 16)
+    for rows in (lines.where(F.col("doc_id") <= half), lines, lines):
+        index.run(rows, embed, "hashed", "16")
+    return index.runs().select("run", "total", "reused", "computed")
+
+
+@query("s17_keyset_pages", "SELECT doc_id AS id, ((row_number() OVER (ORDER BY doc_id) - 1) // ceil(count(*) OVER () / 4.0) + 1)::INT AS run FROM documents WHERE text IS NOT NULL")
+def keyset_pages(v: Views) -> DataFrame:
+    """Runs of at most a quarter of the documents, each behind the id that the one before ended with, until nothing is pending."""
+    rows = v.table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    index, most = EmbeddingIndex(v.spark, kept_folder(v.spark, "embeddings")), -(-rows.where("content is not null").count() // 4)
+    while index.run(rows, lambda c: F.array(F.length(c).cast("double")), "length", "1", most)["total"]:
+        pass
+    pages = index.runs().where("total > 0").select("run", F.coalesce("after", F.lit(-1)).alias("after"), "upto")
+    return rows.where("content is not null").join(F.broadcast(pages), (F.col("id") > F.col("after")) & (F.col("id") <= F.col("upto"))).select("id", "run")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.functions.text import safe_cell, safe_filename
-from heddle.sources.markup import READERS
+from heddle.sources.markup import blocks_of
 
 # Accepted media types per extension, and the largest upload.
 MEDIA_TYPES = {
@@ -45,15 +45,7 @@ def read_blocks(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for part in batches:
-            rows = []
-            for path, content in part[["path", "content"]].itertuples(index=False):
-                reader = READERS.get(path.rsplit(".", 1)[-1].lower())
-                try:
-                    if reader is None:
-                        raise ValueError("unsupported file type")
-                    rows += [(path, k, b.kind, b.text, b.level, b.start, b.stop, b.source, None) for k, b in enumerate(reader(bytes(content)))]
-                except Exception as e:  # a broken file is a row, not a failed job
-                    rows.append((path, 0, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+            rows = [row for path, content in part[["path", "content"]].itertuples(index=False) for row in blocks_of(path, bytes(content))]
             out = pd.DataFrame(rows, columns=["path", "n", "kind", "text", "level", "start", "stop", "source", "problem"])
             yield out.astype({"level": "Int32", "start": "Int32", "stop": "Int32", "n": "Int32"})
 
