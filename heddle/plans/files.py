@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.operators import retrieval
+from heddle.operators import ingest, retrieval
 from heddle.operators.graph import kept_folder
 from heddle.plans.base import query
 from heddle.sources import datasource, markup
@@ -58,3 +58,17 @@ def labelled_questions(v: Views) -> DataFrame:
     files = v.table("benchmark").select(F.concat(item.cast("string"), F.lit(".json")).alias("path"), F.when(item % 2 == 0, F.to_json(F.array(row))).otherwise(F.to_json(F.struct(F.array(row).alias("questions")))).cast("binary").alias("content"))
     rows = retrieval.question_rows(read(v, stored(v, files)))
     return rows.select("id", "category", "question", "answerable", F.array_join("expected_terms", "|").alias("terms"))
+
+
+#: A customer's orders as a table; what the columns are called goes by the customer's nation, and every fifth nation's isn't a revision table.
+HEADERS = [("Version", "Date", "Description", "Author"), ("Revision no.", "Date of issue", "Changes", "Owner"), ("Rev", "date", "By", "Summary of change"), ("Number", "Date", "Comment", "Author"), (" REVISION ", "Dated", "Text", "Author")]
+
+
+@query("x27_revisions", """, t AS (SELECT c_custkey AS doc, c_nationkey % 5 AS h, o_orderkey::VARCHAR AS version, o_orderdate::VARCHAR AS date, o_orderpriority AS third, o_orderstatus AS fourth, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) AS k FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey % 5 <> 3)
+SELECT doc, k::INT AS k, version, date, CASE h WHEN 0 THEN third WHEN 1 THEN third WHEN 2 THEN fourth END AS description, CASE h WHEN 2 THEN third ELSE fourth END AS author FROM t WHERE k <= 100""")
+def revisions(v: Views) -> DataFrame:
+    text = lambda c: F.col(c).cast("string")
+    cells = v.table("orders").select(F.col("o_custkey").alias("c_custkey"), F.struct("o_orderkey", F.array(text("o_orderkey"), text("o_orderdate"), text("o_orderpriority"), text("o_orderstatus")).alias("row")).alias("r"))
+    listed = cells.groupBy("c_custkey").agg(F.array_sort(F.collect_list("r"))["row"].alias("rows")).join(v.table("customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    header = F.get(F.array(*(F.array(*map(F.lit, h)) for h in HEADERS)), (F.col("c_nationkey") % 5).cast("int"))
+    return ingest.revisions(listed.select(F.col("c_custkey").alias("doc"), F.lit(1).alias("n"), F.concat(F.array(header), "rows").alias("rows")))

@@ -157,7 +157,6 @@ def test_sections_and_chunks(spark):
     assert len(parts) > 1 and all(c.startswith("| h |\n| --- |") and k == "TABLE" for k, c in parts)
     with pytest.raises(ValueError, match="overlap"):
         ingest.chunk_section([], 10, 10, 10)
-    assert ingest.revision_history([["Version", "Date", "Author"], ["1", "2024", "x"]]) == [{"version": "1", "date": "2024", "author": "x"}]
     rows = spark.createDataFrame([("d", k, *b, "markdown") for k, b in enumerate(blocks)], "doc string, n int, kind string, text string, level int, source string")
     assert [r["path"] for r in ingest.chunk_documents(rows).orderBy("section", "chunk").collect()] == ["", "Scope", "Scope > Sub"]
 

@@ -7,6 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from heddle.operators import ingest
 from heddle.operators.embedding_index import EmbeddingIndex
 from heddle.sources import datasource, markup
 
@@ -79,3 +80,22 @@ def test_second_run_embeds_the_difference_only(spark, tmp_path):
     with pytest.raises(Exception):
         index.run(frame([(1, "")]), embed, "m", "4")
     assert index.run(frame([(1, "y")]), embed, "m", "4")["run"] == 6
+
+
+def test_revision_tables(spark):
+    head = ["Version", "Date", "Author"]
+    tables = [
+        ("a", 2, [head, ["1", "2024", "x"], ["", " ", None], ["2", "2025"]]), ("a", 1, [["Name", "Date", "Author"], ["1", "2", "3"]]), ("a", 3, [head, ["9", "9", "9"]]),
+        ("b", 1, [["Version", "Date"], ["1", "2"]]), ("c", 1, [head]), ("d", 1, []), ("e", 1, [["rev date", "Date", "by"], ["a  b", "c", "d" * 300]]), ("f", 1, [head, *([str(k), "d", "e"] for k in range(150))]),
+        ("g", 1, [["by", "description", None, "date", "version"], ["p", "q", "r", "s", "t"]]),
+    ]
+    got = ingest.revisions(spark.createDataFrame(tables, "doc string, n int, rows array<array<string>>")).collect()
+    by = lambda doc: [tuple(r)[1:] for r in sorted(got, key=lambda r: r["k"]) if r["doc"] == doc]
+    assert by("a") == [(1, "1", "2024", None, "x"), (2, "2", "2025", None, None)]
+    assert by("e") == [(1, "a b", "c", None, "d" * 200)] and by("g") == [(1, "t", "s", "q", "p")]
+    assert not by("b") and not by("c") and not by("d") and len(by("f")) == 100
+
+
+def test_tables_as_text():
+    assert markup.table_text([["a", "b  c"], [], ["", ""], ["1"], ["x", "y", "z"]]) == "| a | b c |  |\n| --- | --- | --- |\n| 1 |  |  |\n| x | y | z |"
+    assert markup.table_text([]) == markup.table_text([["", ""]]) == ""
