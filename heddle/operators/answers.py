@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.functions import text as X
+from heddle.operators import compare
 
 # Most facts, roots, edges per root, claims from facts.
 MAX_FACTS, MAX_ROOTS, EDGES_PER_ROOT, FACT_CLAIMS = 40, 3, 60, 15
@@ -57,10 +58,33 @@ def table_rows(lines: DataFrame) -> DataFrame:
     return rows.withColumn("header", header).where(~F.col("start") & ~F.col("line").rlike(r"^[\s|:-]+$")).select("doc", "n", F.trim("line").alias("line"), "header")
 
 
-def legacy_resolution(pairs: DataFrame) -> DataFrame:
-    """pairs (a, b, normalized_a, normalized_b, ratio) that share their first four letters: how the older resolver decides on a."""
-    best = pairs.groupBy("a").agg(F.max("ratio").alias("best"), F.count(F.when(F.col("ratio") >= 0.80, 1)).alias("near"))
-    return best.select("a", F.when(F.col("best") == 1.0, "EXACT").when((F.col("best") >= 0.96) & (F.col("near") == 1), "MERGED").when(F.col("near") >= 1, "AMBIGUOUS").otherwise("UNRESOLVED").alias("state"))
+# The ratio at which the older resolver merges, the one at which a candidate is in the way, and the letters that block.
+MERGES_AT, NEAR_AT, BLOCK = 0.96, 0.80, 4
+
+
+def legacy_resolution(mentions: DataFrame, candidates: DataFrame, aliases: DataFrame) -> DataFrame:
+    """mentions (mention, normalized, kind), candidates (id, normalized, kind), aliases (id, normalized): mention, state, id, n_near and similarity, as the older resolver decides.
+
+    Within a kind: EXACT if one candidate has the name; else ALIAS if one has it for an alias; else, of those that share the first four letters, MERGED if the best
+    ratio is MERGES_AT and no other reaches NEAR_AT; AMBIGUOUS if there is one at all, and UNRESOLVED if not.  similarity is null below NEAR_AT, which needs no ratio.
+    """
+    rows = mentions.select("mention", "normalized", "kind").distinct()
+    candidates = candidates.select("id", "normalized", "kind").distinct()
+    found = lambda frame: rows.join(frame, ["normalized", "kind"]).groupBy("mention", "kind").agg(F.countDistinct("id").alias("n"), F.min("id").alias("id")).where("n = 1").drop("n")
+    exact = found(candidates)
+    alias = found(aliases.select("id", "normalized").join(candidates.select("id", "kind"), "id").distinct()).join(exact, ["mention", "kind"], "left_anti")
+    rest = rows.join(exact.unionByName(alias), ["mention", "kind"], "left_anti").withColumn("block", F.left("normalized", F.lit(BLOCK)))
+    blocks = candidates.withColumn("block", F.left("normalized", F.lit(BLOCK)))
+    named = lambda df: df.select(F.struct("kind", "block").alias("kind"), F.col("normalized").alias("name"))
+    near = compare.similar_names(named(rest), named(blocks), NEAR_AT).select("kind.kind", F.col("a").alias("normalized"), "b", "ratio")
+    close = rest.join(near, ["kind", "normalized"]).join(candidates.select("id", F.col("normalized").alias("b"), "kind"), ["b", "kind"])
+    best = close.groupBy("mention", "kind").agg(F.count("*").alias("n_near"), F.max(F.struct("ratio", "id")).alias("x"))
+    known = rest.join(blocks.select("kind", "block").distinct().withColumn("blocked", F.lit(True)), ["kind", "block"], "left").join(best, ["mention", "kind"], "left")
+    merges = (F.col("x.ratio") >= MERGES_AT) & (F.col("n_near") == 1)
+    state = F.when(merges, "MERGED").when(F.col("blocked"), "AMBIGUOUS").otherwise("UNRESOLVED")
+    told = lambda df, name: df.select("mention", "kind", F.lit(name).alias("state"), "id", F.lit(1).cast("long").alias("n_near"), F.lit(1.0).alias("similarity"))
+    others = known.select("mention", "kind", state.alias("state"), F.when(merges, F.col("x.id")).alias("id"), F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.col("x.ratio").alias("similarity"))
+    return told(exact, "EXACT").unionByName(told(alias, "ALIAS")).unionByName(others)
 
 
 def undone(merges: DataFrame, undo: DataFrame) -> DataFrame:

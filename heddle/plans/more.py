@@ -188,15 +188,19 @@ def dropped_claims(v: Views) -> DataFrame:
 
 @query("r8_legacy_resolution")
 def legacy_resolution(v: Views) -> DataFrame:
-    names = v.table("part").select("p_name").distinct().select(F.col("p_name").alias("a"), X.normalize_name(F.col("p_name")).alias("normalized_a"))
-    keyed = names.withColumn("lead", F.left("normalized_a", F.lit(4)))
-    pairs = keyed.join(keyed.select(F.col("a").alias("b"), F.col("normalized_a").alias("normalized_b"), "lead"), "lead").where("a <> b")
-    return answers.legacy_resolution(pairs.withColumn("ratio", fuzzy.sequence_ratio(F.col("normalized_a"), F.col("normalized_b"))))
+    """Each part's name and brand, as it is and without its last letter, against all live entities and their aliases, within its kind."""
+    live = facts.live_entities(v.entities).select("id", "normalized", F.col("entity_type").alias("kind"))
+    parts = v.entities.where("id like 'p%'").select(F.col("entity_type").alias("kind"), F.substring("id", 2, 20).cast("long").alias("p_partkey"), "name").join(v.table("part").select("p_partkey", "p_brand"), "p_partkey")
+    spelled = F.explode(F.array("name", "p_brand", F.expr("left(name, length(name) - 1)"), F.expr("left(p_brand, length(p_brand) - 1)")))
+    mentions = parts.select("kind", spelled.alias("mention")).distinct().withColumn("normalized", X.normalize_name(F.col("mention")))
+    return answers.legacy_resolution(mentions, live, v.aliases.select(F.col("entity_id").alias("id"), "normalized"))
 
 
-@query("r10_validation", f"SELECT id, CASE WHEN state <> 'PENDING' THEN state WHEN type = 'USES' OR {CONF} <= 0 THEN 'REJECTED' ELSE 'PENDING' END AS outcome FROM relationships")
+@query("r10_validation", f"SELECT id, CASE WHEN state <> 'PENDING' THEN state WHEN tt NOT IN ('INTERFACE', 'SIGNAL', 'DATA_ELEMENT') OR {CONF} <= 0 THEN 'REJECTED' ELSE 'PENDING' END AS outcome FROM relationships JOIN (SELECT id AS tid, entity_type AS tt FROM entities) ON tid = target")
 def validation(v: Views) -> DataFrame:
-    return v.relationships.select("id", answers.validation_outcome(F.col("state"), conf(), F.col("evidence"), F.col("type") != "USES").alias("outcome"))
+    edges = facts.with_endpoints(v.relationships, v.entities)
+    holds = facts.rule_problem(F.col("type"), F.col("source_type"), F.col("target_type")).isNull()
+    return edges.select("id", answers.validation_outcome(F.col("state"), conf(), F.col("evidence"), holds).alias("outcome"))
 
 
 @query("t11_undone_merges", "SELECT id AS merged, merged_into AS survivor, CASE WHEN created_rank % 3 = 0 THEN 'DIFFERENT' ELSE 'MERGED' END AS decision FROM entities WHERE merged_into IS NOT NULL")

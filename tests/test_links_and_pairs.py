@@ -9,7 +9,7 @@ from difflib import SequenceMatcher
 import numpy as np
 import pytest
 
-from heddle.operators import compare, lexical_index, questions
+from heddle.operators import answers, compare, lexical_index, questions
 from heddle.operators.graph import kept_folder
 from heddle.operators.vector_index import VectorIndex
 
@@ -192,3 +192,30 @@ def test_word_containment_pairs(spark):
     frame = lambda key: spark.createDataFrame([(1, 0, key)], "pair long, ordinal long, key string")
     for a, b in (("x > timing", "x > bus timing"), ("x > timing and bus", "x > bus timing")):
         assert [tuple(r) for r in compare.pair_sections(frame(a), frame(b)).collect()] == [(1, 0, 0, "EXTENDED")]
+
+
+def test_legacy_resolution_equals_a_walk(spark):
+    rng = random.Random(21)
+    stems = ["brakeunit", "brakeunits", "brakecontrol", "wheelspeed", "wheelspeeds", "pump", "valvecontroller"]
+    spell = lambda: (lambda w: w[: rng.randrange(3, len(w) + 1)] + rng.choice(["", "", "x", "ab"]))(rng.choice(stems))
+    candidates = [(f"c{k}", spell(), rng.choice("SI")) for k in range(40)]
+    aliases = [(rng.choice(candidates)[0], spell()) for _ in range(15)]
+    mentions = sorted({(w, w, kind) for w, kind in ((spell(), rng.choice("SI")) for _ in range(90))} | {("zzzz", "zzzz", "S")})
+    want = set()
+    for mention, name, kind in mentions:
+        own = [c for c in candidates if c[2] == kind]
+        exact = [c[0] for c in own if c[1] == name]
+        alias = sorted({c[0] for c in own if (c[0], name) in aliases})
+        blocked = sorted(((SequenceMatcher(None, name, c[1]).ratio(), c[0]) for c in own if c[1][:4] == name[:4]), reverse=True)
+        near = [x for x in blocked if x[0] >= 0.8]
+        if len(exact) == 1:
+            want.add((mention, kind, "EXACT", exact[0], 1, 1.0))
+        elif len(alias) == 1:
+            want.add((mention, kind, "ALIAS", alias[0], 1, 1.0))
+        elif blocked and blocked[0][0] >= 0.96 and len(near) == 1:
+            want.add((mention, kind, "MERGED", blocked[0][1], 1, blocked[0][0]))
+        else:
+            want.add((mention, kind, "AMBIGUOUS" if blocked else "UNRESOLVED", None, len(near), near[0][0] if near else None))
+    frames = [spark.createDataFrame(rows, schema) for rows, schema in ((mentions, "mention string, normalized string, kind string"), (candidates, "id string, normalized string, kind string"), (aliases, "id string, normalized string"))]
+    got = {tuple(r) for r in answers.legacy_resolution(*frames).collect()}
+    assert got == want and {x[2] for x in want} >= {"EXACT", "ALIAS", "AMBIGUOUS", "UNRESOLVED"}

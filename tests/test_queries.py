@@ -31,7 +31,7 @@ INVARIANTS = {
     "q8_claim_support": lambda rows: _once(rows, "id") and all(0 <= r["support"] <= 1 and r["supported"] == (r["support"] >= 0.6) for r in rows),
     "q16_extractive_answers": lambda rows: _once(rows, "query", "id") and all(r["sentence"].strip() for r in rows),
     "r4_scores": lambda rows: _once(rows, "a", "b") and all(0 <= r["similarity"] <= 1 and (r["similarity"] == 1) == (r["decisive"] == "EXACT_NAME") for r in rows),
-    "r8_legacy_resolution": lambda rows: _once(rows, "a") and {r["state"] for r in rows} <= {"EXACT", "MERGED", "AMBIGUOUS", "UNRESOLVED"},
+    "r8_legacy_resolution": lambda rows: _once(rows, "mention", "kind") and {r["state"] for r in rows} <= {"EXACT", "ALIAS", "MERGED", "AMBIGUOUS", "UNRESOLVED"} and all((r["id"] is not None) == (r["state"] in ("EXACT", "ALIAS", "MERGED")) for r in rows),
     "t9_constrained_clusters": lambda rows: _once(rows, "id") and all(r["grp"] <= r["id"] for r in rows) and {r["grp"] for r in rows} <= {r["id"] for r in rows},
 }
 
