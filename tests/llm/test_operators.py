@@ -413,6 +413,18 @@ def test_license_places_equal_brute_force(spark, empty):
         assert set(got[k]["base_labels"].split(",")) - {""} <= set(got[k]["labels"].split(",")) and 0 <= got[k]["score"] <= 1
     assert got[6]["labels"] == "all-rights-reserved"
     assert licenses.scan(empty).count() == 0
+    twice = spark.createDataFrame([(None, "Under the MIT license", 1), (None, "Under the MIT license", 2), (4, None, 3)], "doc_id long, text string, hits int")
+    assert sorted((str(r["doc_id"]), r["n_base"], r["labels"]) for r in licenses.scan(twice).collect()) == [("4", 0, ""), ("None", 1, "mit"), ("None", 1, "mit")]
+
+
+def test_license_index_of_many_templates(spark):
+    """Hundreds of templates are data of one plan: each is found where its text stands, and where its key phrase alone does with a lower score."""
+    rng = random.Random(17)
+    templates = [licenses.Template(f"t{k:03d}", f"{a} {b} {c}", b) for k in range(300) for a, b, c in [(prose(rng, 4), f"{prose(rng, 5)} mark{k}", prose(rng, 3))]]
+    rows = [(k, f"{prose(rng, 20)} {t.text} {prose(rng, 20)}") for k, t in enumerate(templates)] + [(1000 + k, f"{prose(rng, 9)} {t.key} {prose(rng, 9)}") for k, t in enumerate(templates[:20])] + [(2000, prose(rng, 300))]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()}
+    assert all(got[k] == (t.label, 1.0) for k, t in enumerate(templates)) and got[2000] == ("", 0.0)
+    assert all(got[1000 + k][0] == t.label and got[1000 + k][1] < 1 for k, t in enumerate(templates[:20]))
 
 
 def brute_url(url: str | None) -> tuple:
@@ -429,8 +441,8 @@ def test_walks_that_miss_too_much_give_way_to_parts(spark):
     """At this edit share no number of rounds brings long items to the recall, so they go through exact parts, and all plants are found."""
     rng = random.Random(6)
     items = [(k, prose(rng, 40)) for k in range(3)]
-    assert decontaminate.rounds_for(26, 13, 0.5, 0.995) is None
-    index = decontaminate.Index.build(items, 0.5, 0.995)
+    assert decontaminate.rounds_for(26, 13, 0.65, 0.995) is None
+    index = decontaminate.Index.build(items, 0.65, 0.995)
     assert not index.rounds and index.exact
     rows = []
     for k in range(30):
@@ -438,7 +450,7 @@ def test_walks_that_miss_too_much_give_way_to_parts(spark):
         for at in rng.sample(range(40), 18):
             w[at] = f"other{k}x{at}"
         rows.append((k, prose(rng, 30) + " " + " ".join(w) + " " + prose(rng, 30)))
-    found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), edit_share=0.5, block_bytes=300).collect()
+    found = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), edit_share=0.65, block_bytes=300).collect()
     assert {(k, k % 3) for k in range(30)} <= {(r["doc_id"], r["item_id"]) for r in found}
 
 
