@@ -26,10 +26,13 @@ def missing_providers(entities: DataFrame, relationships: DataFrame) -> DataFram
     live = facts.active_relationships(relationships)
     provided = live.where("type = 'PROVIDES'").select(F.col("target").alias("id")).union(live.where("type = 'IMPLEMENTED_BY'").select("source")).distinct()
     names = entities.select(F.col("id").alias("source"), F.col("name").alias("user"))
-    users = live.where(F.col("type").isin(CONSUMING)).join(names, "source").groupBy(F.col("target").alias("id")).agg(F.array_sort(F.collect_set("user")).alias("users"))
+    # Three names are told, so no more of an interface's users are gathered.
+    users = live.where(F.col("type").isin(CONSUMING)).join(names, "source").select(F.col("target").alias("id"), "user").distinct()
+    told = users.withColumn("k", F.expr("row_number() over (partition by id order by user)")).where("k <= 3")
+    users = told.groupBy("id").agg(F.array_sort(F.collect_list("user")).alias("users"))
     open_ends = facts.active_entities(entities).where("entity_type = 'INTERFACE'").join(provided, "id", "left_anti").join(users, "id", "left")
     used = F.size(F.coalesce("users", F.array().cast("array<string>"))) > 0
-    summary = F.concat(F.lit("interface '"), F.col("name"), F.lit("' has no provider."), F.when(used, F.concat(F.lit(" It is used by "), F.array_join(F.slice("users", 1, 3), ", "), F.lit("."))).otherwise(F.lit("")))
+    summary = F.concat(F.lit("interface '"), F.col("name"), F.lit("' has no provider."), F.when(used, F.concat(F.lit(" It is used by "), F.array_join("users", ", "), F.lit("."))).otherwise(F.lit("")))
     return draft(open_ends, "MISSING_PROVIDER", F.when(used, "HIGH").otherwise("LOW"), F.col("id"), summary, 0)
 
 

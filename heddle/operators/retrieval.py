@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.functions import text as X
+from heddle.operators.graph import settled
 
 # Defaults of the retrieval settings.
 DENSE_K = LEXICAL_K = 30
@@ -32,7 +33,11 @@ def dense_channel(chunks: DataFrame, queries: DataFrame, k: int = DENSE_K, block
     near = None
     for n in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == n).toArrow().combine_chunks()
-        found = rows.mapInArrow(_nearest(spark.sparkContext.broadcast(part), k), schema)
+        shared = spark.sparkContext.broadcast(part)
+        found = rows.mapInArrow(_nearest(shared, k), schema)
+        if blocks > 1:  # a block's hits are written, so that its broadcast can go before the next comes
+            found = settled(found)
+            shared.destroy()
         near = found if near is None else near.unionByName(found)
     return ranked(near, k)
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.functions import vectors as V
+from heddle.operators.graph import settled
 from heddle.operators.retrieval import _unit_vectors, ranked
 
 #: The sample that k-means is fitted on, and the one that probes are measured on; both are rows of smallest hash.
@@ -100,6 +101,9 @@ class VectorIndex:
                     wanted[at].append(q)
             shared = self.spark.sparkContext.broadcast((part["query"].combine_chunks().take(pa.array(where)), unit, dict(wanted)))
             found = rows.where(F.col("list").isin(sorted(wanted))).select("id", "embedding", "list").mapInArrow(_probe(shared, k), f"query {kind}, id {self.id_type}, list int, score double")
+            if blocks > 1:  # a block's hits are written, so that its broadcast can go before the next comes
+                found = settled(found)
+                shared.destroy()
             near = found if near is None else near.unionByName(found)
         out = ranked(near, k)
         return out if with_list else out.drop("list")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.functions import fuzzy
 from heddle.functions import text as X
 from heddle.operators import answers, compare, facts, graph, retrieval
+from heddle.operators.embedding_index import EmbeddingIndex
+from heddle.operators.graph import kept_folder
 from heddle.plans.analytics import ASKED, EDGES, FUSED, VERSIONED, WALK, dense, edges, fused, roots, version_edges, walk
 from heddle.plans.base import query
 from heddle.plans.readmodels import CONF, conf
@@ -103,9 +104,12 @@ def body_size(v: Views) -> DataFrame:
     return sizes.groupBy("document").agg(F.max_by("size", F.struct("w", (-F.col("size")).alias("s"))).alias("size"))
 
 
-@query("a18_indexing_counters", "SELECT count(*) AS total, count(*) FILTER (vec_id % 3 = 0) AS reused, count(*) FILTER (vec_id % 3 > 0) AS computed FROM embeddings")
+@query("a18_indexing_counters", "SELECT count(*) AS total, count(*) - count(DISTINCT text) AS reused, count(DISTINCT text) AS computed FROM documents WHERE text IS NOT NULL")
 def indexing_counters(v: Views) -> DataFrame:
-    return v.table("embeddings").agg(F.count("*").alias("total"), F.count(F.when(F.col("vec_id") % 3 == 0, 1)).alias("reused"), F.count(F.when(F.col("vec_id") % 3 > 0, 1)).alias("computed"))
+    """One run over all documents: equal texts are embedded once."""
+    index = EmbeddingIndex(v.spark, kept_folder(v.spark, "embeddings"))
+    index.run(v.table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), lambda c: F.array(F.length(c).cast("double")), "length", "1")
+    return index.runs().select("total", "reused", "computed")
 
 
 @query("x7_opposite_qualifiers", "SELECT user_id, user_id % 3 = 0 AS opposite FROM (SELECT DISTINCT user_id FROM events)")

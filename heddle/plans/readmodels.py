@@ -276,8 +276,10 @@ def max_version(v: Views) -> DataFrame:
 @query("a8_provenance_rollup", """, s AS (SELECT source || '|' || target || '|' || type AS id, chunk_id, row_number() OVER (PARTITION BY source, target, type ORDER BY l_orderkey, l_linenumber) AS n, count(*) OVER (PARTITION BY source, target, type) AS total FROM statements)
 SELECT id, max(total) AS n_evidence, max(chunk_id) FILTER (n = 1) AS first_source, string_agg(chunk_id, ';' ORDER BY n) FILTER (n <= 5) AS sources FROM s GROUP BY id""")
 def provenance_rollup(v: Views) -> DataFrame:
-    rows = v.statements.groupBy("source", "target", "type").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "chunk_id"))).alias("x"))
-    return rows.select(F.concat_ws("|", "source", "target", "type").alias("id"), F.size("x").cast("long").alias("n_evidence"), F.element_at("x.chunk_id", 1).alias("first_source"), F.array_join(F.slice("x.chunk_id", 1, 5), ";").alias("sources"))
+    keys = ["source", "target", "type"]
+    first = v.statements.withColumn("n", F.expr(f"row_number() over (partition by {', '.join(keys)} order by l_orderkey, l_linenumber)")).where("n <= 5")
+    rows = first.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", "chunk_id"))).alias("x")).join(v.statements.groupBy(*keys).agg(F.count("*").alias("n_evidence")), keys)
+    return rows.select(F.concat_ws("|", *keys).alias("id"), "n_evidence", F.element_at("x.chunk_id", 1).alias("first_source"), F.array_join("x.chunk_id", ";").alias("sources"))
 
 
 @query("a11_missing_endpoints", BINDING + "SELECT nt AS name, count(*) AS n, max(c.confidence)::DOUBLE AS confidence FROM b JOIN cand c ON c.id = b.id WHERE target_state = 'MISSING' GROUP BY nt")
