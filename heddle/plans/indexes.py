@@ -68,7 +68,7 @@ def incremental_runs(v: Views) -> DataFrame:
     return index.runs().select("run", "total", "reused", "computed")
 
 
-@query("s17_keyset_pages", "SELECT doc_id AS id, ((row_number() OVER (ORDER BY doc_id) - 1) // ceil(count(*) OVER () / 4.0) + 1)::INT AS run FROM documents WHERE text IS NOT NULL")
+@query("s17_keyset_pages", "SELECT doc_id AS id, ((row_number() OVER (ORDER BY doc_id) - 1) // ceil(count(*) OVER () / 4.0)::BIGINT + 1)::INT AS run FROM documents WHERE text IS NOT NULL")
 def keyset_pages(v: Views) -> DataFrame:
     """Runs of at most a quarter of the documents, each behind the id that the one before ended with, until nothing is pending."""
     rows = v.table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
