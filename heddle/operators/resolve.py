@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,28 +91,108 @@ def survivors(members: DataFrame, group: list[str]) -> DataFrame:
     return rows.groupBy(*group).agg(F.min_by("id", "__o").alias("id"))
 
 
-def cluster(edges: DataFrame, forbidden: DataFrame) -> DataFrame:
+def cluster(edges: DataFrame, forbidden: DataFrame, in_task: int = 50_000) -> DataFrame:
     """Constrained clustering of edges (component, a, b, priority, similarity, pair_key), taken by priority, falling similarity and pair_key.
 
-    An edge joins the groups of its ends, unless a forbidden pair (component, a, b, reason) would meet.  Done in rounds of joins: an edge that is the first of
-    both groups that it touches would be the next to touch them in a walk over all edges too, so all such edges join at once, after all
-    edges between groups that may not meet are refused.  No component has to fit a task.
-    Gives component, id, grp (smallest member), and rows for refusals (id and grp null; a, b, reason: that of the smallest forbidden pair).
+    An edge joins the groups of its ends, unless a forbidden pair (component, a, b, reason) would meet.  Components of up to ``in_task`` edges and
+    forbidden pairs are walked in tasks, one component in memory at a time; larger ones are done in rounds of joins, so none has to fit a task.
+    Gives component, id, grp (smallest member), and rows for refusals (id and grp null; a, b, reason: that of the smallest forbidden pair between the two
+    groups as they are at the end).
+    """
+    order = F.struct("priority", (-F.col("similarity")).alias("s"), "pair_key", "a", "b")
+    none = F.lit(None).cast("string")
+    taken = edges.select("component", F.lit(True).alias("edge"), "a", "b", none.alias("reason"), order.alias("rank"))
+    bans = forbidden.where("a <> b").join(edges.select("component").distinct(), "component", "left_semi")
+    rows = settled(taken.unionByName(bans.select("component", F.lit(False).alias("edge"), "a", "b", "reason"), allowMissingColumns=True))
+    large = settled(rows.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > in_task).select("component"))
+    if not large.limit(1).count():
+        return _walked(rows)
+    rest = rows.join(large, "component", "left_semi")
+    in_rounds = _in_rounds(rest.where("edge").select("component", "a", "b", "rank"), rest.where("not edge").select("component", "a", "b", "reason"))
+    return _walked(rows.join(large, "component", "left_anti")).unionByName(in_rounds)
+
+
+CLUSTERED = "component string, id string, grp string, a string, b string, reason string"
+
+
+def _walked(rows: DataFrame) -> DataFrame:
+    """Edges and forbidden pairs (edge: which of them) of components that each fit a task: one walk over all edges, in the order of rank."""
+    rows = rows.withColumn("component", F.col("component").cast("string"))
+    rows = rows.repartition("component").sortWithinPartitions("component", "edge", "rank").select("component", "edge", "a", "b", "reason")
+
+    def run(batches):
+        name, part = None, []
+        for batch in batches:
+            done = []
+            for row in batch.itertuples(index=False, name=None):
+                if row[0] != name:
+                    done += _groups(name, part)
+                    name, part = row[0], []
+                part.append(row[1:])
+            yield pd.DataFrame(done, columns=CLUSTERED.replace(" string", "").split(", "), dtype=object)
+        yield pd.DataFrame(_groups(name, part), columns=CLUSTERED.replace(" string", "").split(", "), dtype=object)
+
+    return rows.mapInPandas(run, CLUSTERED)
+
+
+def _groups(component: str | None, rows: list[tuple]) -> list[tuple]:
+    """rows (edge, a, b, reason), forbidden pairs first: the groups of one component and the edges that were refused."""
+    up: dict[str, str] = {}
+    apart: dict[str, set[str]] = {}
+
+    def top(x: str) -> str:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    refused, ends = [], set()
+    for edge, a, b, _ in rows:
+        one, other = top(a), top(b)
+        if not edge:
+            apart.setdefault(one, set()).add(other)
+            apart.setdefault(other, set()).add(one)
+            continue
+        ends |= {a, b}
+        if one == other:
+            continue
+        if other in apart.get(one, ()):
+            refused.append((a, b))
+            continue
+        if len(apart.get(one, ())) < len(apart.get(other, ())):
+            one, other = other, one
+        up[other] = one
+        for third in apart.pop(other, ()):
+            apart[third].discard(other)
+            apart[third].add(one)
+            apart.setdefault(one, set()).add(third)
+    least: dict[str, str] = {}
+    for x in sorted(ends):
+        least.setdefault(top(x), x)
+    why: dict[tuple[str, str], tuple] = {}
+    for edge, a, b, reason in rows if refused else ():
+        for x, y in () if edge else ((a, b), (b, a)):
+            key = top(x), top(y)
+            why[key] = min(why.get(key, (x, y, reason)), (x, y, reason))
+    return [(component, x, least[top(x)], None, None, None) for x in sorted(ends)] + [(component, None, None, a, b, why[top(a), top(b)][2]) for a, b in refused]
+
+
+def _in_rounds(edges: DataFrame, forbidden: DataFrame) -> DataFrame:
+    """Edges (component, a, b, rank) and forbidden pairs in rounds of joins: an edge that is the first of both groups that it touches would be the next to
+    touch them in a walk over all edges too, so all such edges join at once, after all edges between groups that may not meet are refused.
     """
     ends = edges.select("component", F.col("a").alias("id")).union(edges.select("component", "b")).distinct()
     members = settled(ends.withColumn("grp", F.col("id")))
-    rank = F.struct("priority", (-F.col("similarity")).alias("s"), "pair_key", "a", "b")
-    live = settled(edges.where("a <> b").select("component", "a", "b", F.col("a").alias("ga"), F.col("b").alias("gb"), rank.alias("rank")))
+    live = settled(edges.where("a <> b").select("component", "a", "b", F.col("a").alias("ga"), F.col("b").alias("gb"), "rank"))
     either = forbidden.select("component", "a", "b", "reason").union(forbidden.select("component", "b", "a", "reason"))
     bans = settled(either.select("component", F.col("a").alias("ga"), F.col("b").alias("gb"), F.struct("a", "b", "reason").alias("why")))
     refused = None
     while True:
         # A ban between two groups stays as they grow, so their edges can be refused at once.
-        why = bans.groupBy("component", "ga", "gb").agg(F.min("why")["reason"].alias("reason"))
-        checked = settled(live.join(why, ["component", "ga", "gb"], "left").select(*live.columns, "reason"))
-        gone = checked.where("reason is not null").select("component", "a", "b", "reason")
+        banned = bans.select("component", "ga", "gb").distinct().withColumn("banned", F.lit(True))
+        checked = settled(live.join(banned, ["component", "ga", "gb"], "left").select(*live.columns, "banned"))
+        gone = checked.where("banned").select("component", "a", "b")
         refused = gone if refused is None else refused.unionByName(gone)
-        rest = checked.where("reason is null").drop("reason")
+        rest = checked.where("banned is null").drop("banned")
         touching = rest.select("component", F.col("ga").alias("g"), "rank").union(rest.select("component", "gb", "rank")).groupBy("component", "g").agg(F.min("rank").alias("rank"))
         first = touching.groupBy("component", "rank").agg(F.count("*").alias("n")).where("n = 2").select("component", "rank")
         into = settled(rest.join(first, ["component", "rank"]).select("component", F.greatest("ga", "gb").alias("g"), F.least("ga", "gb").alias("to")))
@@ -126,8 +207,13 @@ def cluster(edges: DataFrame, forbidden: DataFrame) -> DataFrame:
         bans = settled(moved(moved(bans, "ga"), "gb"))
         members = settled(moved(members, "grp"))
     none = F.lit(None).cast("string")
-    out = members.select(F.col("component").cast("string").alias("component"), "id", "grp", none.alias("a"), none.alias("b"), none.alias("reason"))
-    return out if refused is None else out.unionByName(refused.select(F.col("component").cast("string").alias("component"), none.alias("id"), none.alias("grp"), "a", "b", "reason"))
+    why = bans.groupBy("component", "ga", "gb").agg(F.min("why")["reason"].alias("reason"))
+    for s in "ab":
+        refused = refused.join(members.select("component", F.col("id").alias(s), F.col("grp").alias(f"g{s}")), ["component", s])
+    refused = refused.join(why, ["component", "ga", "gb"])
+    component = F.col("component").cast("string").alias("component")
+    out = members.select(component, "id", "grp", none.alias("a"), none.alias("b"), none.alias("reason"))
+    return out.unionByName(refused.select(component, none.alias("id"), none.alias("grp"), "a", "b", "reason"))
 
 
 def with_vectors(rated: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -323,7 +323,8 @@ def constrained_clusters(v: Views) -> DataFrame:
     pairs = resolve.candidate_pairs(facts.active_entities(v.entities).select("id", "name", "entity_type")).select("a", "b")
     rated = resolve.scored(sided(v, pairs)).withColumn("key", resolve.pair_key(F.col("a"), F.col("b")))
     blocked = resolve.guard(rated)
-    rated = rated.withColumn("guard", blocked)
+    # Read five times from here on, and the character ratio is Python.
+    rated = graph.settled(rated.select("a", "b", "similarity", "decisive", "key", blocked.alias("guard")))
     joins = rated.where("decisive is not null or similarity >= 0.85")
     member = graph.components(joins.select("a", "b"))
     one, other = member.toDF("a", "component"), member.toDF("b", "cb")

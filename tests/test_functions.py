@@ -170,7 +170,7 @@ def test_clusters_equal_a_walk_over_all_edges(spark):
         own = [(f"k{component}", a, b, rng.randrange(2), rng.randrange(80, 100) / 100, f"{rng.random()}") for k, a in enumerate(ids) for b in ids[k + 1 :] if rng.random() < 0.5]
         bad = {frozenset(rng.sample(ids, 2)) for _ in range(5)}
         edges += own
-        no += [(f"k{component}", *sorted(p), "never") for p in bad]
+        no += [(f"k{component}", *sorted(p), f"never {k}") for k, p in enumerate(bad)]
         group = {x: {x} for e in own for x in e[1:3]}
         for e in sorted(own, key=lambda e: (e[3], -e[4], e[5])):
             left, right = group[e[1]], group[e[2]]
@@ -183,9 +183,19 @@ def test_clusters_equal_a_walk_over_all_edges(spark):
             for x in right:
                 group[x] = left
         want |= {x: min(g) for x, g in group.items()}
-    rows = resolve.cluster(spark.createDataFrame(edges, "component string, a string, b string, priority int, similarity double, pair_key string"), spark.createDataFrame(no, "component string, a string, b string, reason string")).collect()
-    assert {r["id"]: r["grp"] for r in rows if r["id"]} == want
-    assert {(r["a"], r["b"]) for r in rows if not r["id"]} == refused
+    both = [x for _, a, b, why in no if a in want and b in want for x in ((a, b, why), (b, a, why))]
+    frames = spark.createDataFrame(edges, "component string, a string, b string, priority int, similarity double, pair_key string"), spark.createDataFrame(no, "component string, a string, b string, reason string")
+    sizes = sorted(sum(r[0] == f"k{c}" for r in [*edges, *no]) for c in range(6))
+    pair = lambda r: (r["a"], r["b"])
+    # All in tasks, some of them and none; the last asks for a refusal's reason too.
+    for in_task in (50_000, sizes[2], 0):
+        rows = resolve.cluster(*frames, in_task).collect()
+        assert {r["id"]: r["grp"] for r in rows if r["id"]} == want and sum(r["id"] is not None for r in rows) == len(want)
+        assert {pair(r) for r in rows if not r["id"]} == refused
+        for r in rows:
+            if not r["id"]:
+                reasons = [(x, y, why) for x, y, why in both if (want[x], want[y]) == (want[r["a"]], want[r["b"]])]
+                assert r["reason"] == min(reasons)[2]
 
 
 def test_clusters_are_permutation_invariant(spark):
