@@ -9,7 +9,7 @@ from heddle.functions import text as X
 from heddle.operators import answers, compare, facts, graph, retrieval
 from heddle.operators.embedding_index import EmbeddingIndex
 from heddle.operators.graph import kept_folder
-from heddle.plans.analytics import ASKED, EDGES, FUSED, VERSIONED, WALK, dense, edges, fused, roots, version_edges, walk
+from heddle.plans.analytics import ASKED, EDGES, FUSED, HITS, JACCARD, MISSING, VERSIONED, WALK, dense, edges, fused, hits, missing_provider, roots, token_jaccard, version_edges, walk
 from heddle.plans.base import query
 from heddle.plans.readmodels import CONF, conf
 from heddle.sources import files
@@ -42,9 +42,10 @@ def ordinals(v: Views) -> DataFrame:
     return v.chunks.select("doc_id", pos(), F.expr("row_number() over (partition by doc_id order by pos)").cast("long").alias("ordinal"))
 
 
-@query("w9_judge_budget", ", p AS (SELECT sha256('x' || p_partkey) AS pair_key, round(p_size / 50.0, 3)::DOUBLE AS similarity FROM part) SELECT pair_key, CASE WHEN row_number() OVER (ORDER BY similarity DESC, pair_key) <= 200 THEN 'JUDGED' ELSE 'DEFERRED' END AS turn FROM p")
+@query("w9_judge_budget", JACCARD + ", p AS (SELECT sha256(p_name || '|' || other) AS pair_key, jaccard FROM tj) SELECT pair_key, CASE WHEN row_number() OVER (ORDER BY jaccard DESC, pair_key) <= 200 THEN 'JUDGED' ELSE 'DEFERRED' END AS turn FROM p")
 def judge_budget(v: Views) -> DataFrame:
-    return answers.budgeted(v.table("part").select(F.sha2(F.concat(F.lit("x"), F.col("p_partkey").cast("string")), 256).alias("pair_key"), F.round(F.col("p_size") / 50.0, 3).alias("similarity")), 200)
+    pairs = token_jaccard(v).select(F.sha2(F.concat_ws("|", "p_name", "other"), 256).alias("pair_key"), F.col("jaccard").alias("similarity"))
+    return answers.budgeted(pairs, 200)
 
 
 @query("w12_table_headers", ", l AS (SELECT n_regionkey AS doc, n_nationkey AS n, CASE WHEN n_nationkey % 7 = 0 THEN 'text' ELSE '| ' || n_name || ' |' END AS line FROM nation), r AS (SELECT *, line LIKE '|%' AS isrow, coalesce(lag(line LIKE '|%') OVER (PARTITION BY doc ORDER BY n), false) AS prev FROM l), s AS (SELECT *, sum(CASE WHEN isrow AND NOT prev THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY n) AS run FROM r), h AS (SELECT *, first_value(line) OVER (PARTITION BY doc, run ORDER BY n) AS header FROM s WHERE isrow) SELECT doc, n, line, header FROM h WHERE prev")
@@ -58,11 +59,10 @@ def facts_cap(v: Views) -> DataFrame:
     return edges(v).select("id").orderBy("id").limit(answers.MAX_FACTS)
 
 
-@query("l6_severity_order", "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'LOW' ELSE 'MEDIUM' END AS severity FROM part ORDER BY severity, p_partkey LIMIT 10")
+@query("l6_severity_order", MISSING + " SELECT key, severity FROM m ORDER BY severity, key LIMIT 10")
 def severity_order(v: Views) -> DataFrame:
-    """By the name of the severity, so LOW comes before MEDIUM."""
-    severity = F.when(F.col("p_size") % 3 == 0, "HIGH").when(F.col("p_size") % 3 == 1, "LOW").otherwise("MEDIUM")
-    return v.table("part").select("p_partkey", severity.alias("severity")).orderBy("severity", "p_partkey").limit(10)
+    """Of the interfaces without a provider, in the order of the words."""
+    return missing_provider(v).select("key", "severity").orderBy("severity", "key").limit(10)
 
 
 @query("l7_comparison_order", VERSIONED + ", d AS (SELECT id, 'REMOVED' AS change FROM ba WHERE id NOT IN (SELECT id FROM nw) UNION ALL SELECT id, 'ADDED' FROM nw WHERE id NOT IN (SELECT id FROM ba)) SELECT row_number() OVER (ORDER BY CASE change WHEN 'REMOVED' THEN 0 ELSE 1 END, id) AS place, id FROM d ORDER BY place LIMIT 100")
@@ -86,10 +86,14 @@ def shared_names(v: Views) -> DataFrame:
     return by_name.union(live.join(alias.select(F.col("entity_id").alias("id")), "id", "left_semi").select("id")).distinct()
 
 
-@query("u7_block_roles", "SELECT doc_id AS id, CASE min(CASE WHEN pos = 0 THEN 0 WHEN pos = 1 THEN 1 ELSE 2 END) WHEN 0 THEN 'HIT' WHEN 1 THEN 'PARENT_LEAD' ELSE 'NEIGHBOR' END AS role FROM chunks GROUP BY doc_id")
+@query("u7_block_roles", HITS + """, b AS (SELECT c.doc_id || ':' || c.pos AS id, CASE WHEN c.pos = h.pos THEN 0 ELSE 2 END AS turn FROM hits h JOIN chunks c ON c.doc_id = h.doc_id AND c.pos BETWEEN h.pos - 1 AND h.pos + 1 UNION ALL SELECT doc_id || ':' || min(pos), 1 FROM chunks GROUP BY doc_id)
+SELECT id, CASE min(turn) WHEN 0 THEN 'HIT' WHEN 1 THEN 'PARENT_LEAD' ELSE 'NEIGHBOR' END AS role FROM b GROUP BY id""")
 def block_roles(v: Views) -> DataFrame:
-    role = F.when(F.col("pos") == 0, "HIT").when(F.col("pos") == 1, "PARENT_LEAD").otherwise("NEIGHBOR")
-    return answers.merged_blocks(v.chunks.select(F.col("doc_id").alias("id"), role.alias("role")))
+    """The longest line of each document with its neighbours, and the document's first line."""
+    block = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("pos").cast("string")).alias("id")
+    around = retrieval.context_blocks(hits(v).withColumn("query", F.lit("q")), v.chunks).select(block, "role")
+    leads = v.chunks.groupBy("doc_id").agg(F.min("pos").alias("pos")).select(block, F.lit("PARENT_LEAD").alias("role"))
+    return answers.merged_blocks(around.unionByName(leads))
 
 
 @query("a15_page_ranges", "SELECT doc_id, min(CASE WHEN pos % 3 > 0 THEN pos END) AS first, max(CASE WHEN pos % 3 > 0 THEN pos END) AS last FROM chunks GROUP BY doc_id")
@@ -275,9 +279,14 @@ def enqueue_once(v: Views) -> DataFrame:
     return v.table("events").groupBy(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("key")).agg(F.min("event_id").alias("job"))
 
 
-@query("z3_expired_leases", "SELECT event_id, CASE WHEN event_id % 4 >= 3 THEN 'FAILED' ELSE 'PENDING' END AS state FROM events WHERE event_type = 'click' AND ts < TIMESTAMP '2024-01-10'")
+@query("z3_expired_leases", """, j AS (SELECT user_id || ':' || strftime(ts, '%Y-%m-%d') AS job, count(*) FILTER (event_type = 'view') AS attempts, arg_max(event_type, event_id) AS last, max(ts) AS ts FROM events GROUP BY ALL)
+SELECT job, CASE WHEN attempts >= 3 THEN 'FAILED' ELSE 'PENDING' END AS state FROM j WHERE last = 'view' AND ts + INTERVAL 1 HOUR < (SELECT max(ts) FROM events)""")
 def expired_leases(v: Views) -> DataFrame:
+    """The events of a user on a day are a job; a view claims it for an hour, and the latest event of all tells the time."""
     from heddle.streaming.events import expired_leases as expire
 
-    jobs = v.table("events").where("event_type = 'click'").select("event_id", F.lit("RUNNING").alias("state"), F.col("ts").alias("lease_until"), (F.col("event_id") % 4).alias("attempts"))
-    return expire(jobs, F.expr("timestamp_ntz '2024-01-10'")).select("event_id", "state")
+    events = v.table("events")
+    job = F.concat_ws(":", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")).alias("job")
+    jobs = events.groupBy(job).agg(F.count(F.when(F.col("event_type") == "view", 1)).alias("attempts"), F.max_by("event_type", "event_id").alias("last"), F.max("ts").alias("ts"))
+    jobs = jobs.select("job", "attempts", F.when(F.col("last") == "view", "RUNNING").otherwise("PENDING").alias("state"), (F.col("ts") + F.expr("interval 1 hour")).alias("lease_until"))
+    return expire(jobs.crossJoin(events.agg(F.max("ts").alias("now"))), F.col("now")).select("job", "state")

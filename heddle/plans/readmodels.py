@@ -51,11 +51,11 @@ def relationship_listing(v: Views) -> DataFrame:
     return rows.select("id", "source", "target", "state")
 
 
-@query("f6_review_queue", """SELECT 'entity' AS kind, id, name AS label, 1 - 0.1::DOUBLE AS confidence FROM live WHERE state = 'PENDING' AND entity_type = 'COMPONENT'
+@query("f6_review_queue", """SELECT 'entity' AS kind, id, name AS label, 1 - 0.1::DOUBLE AS confidence FROM live WHERE state = 'PENDING'
 UNION ALL SELECT 'relationship', r.id, a.name || ' ' || r.type || ' ' || b.name, """ + CONF.replace("evidence", "r.evidence").replace("raw", "r.raw").replace("extraction", "r.extraction") + """ FROM liverel r JOIN live a ON a.id = r.source JOIN live b ON b.id = r.target WHERE r.state = 'PENDING'""")
 def review_queue(v: Views) -> DataFrame:
     live = facts.live_entities(v.entities)
-    entities = live.where("state = 'PENDING' and entity_type = 'COMPONENT'").select(F.lit("entity").alias("kind"), "id", F.col("name").alias("label"), F.col("confidence").cast("double").alias("confidence"))
+    entities = live.where("state = 'PENDING'").select(F.lit("entity").alias("kind"), "id", F.col("name").alias("label"), F.col("confidence").cast("double").alias("confidence"))
     edges = facts.with_endpoints(facts.live_relationships(v.relationships).where("state = 'PENDING'"), live)
     return entities.unionByName(edges.select(F.lit("relationship").alias("kind"), "id", F.concat_ws(" ", "source_name", "type", "target_name").alias("label"), conf().alias("confidence")))
 
@@ -219,11 +219,11 @@ def anti_join(v: Views) -> DataFrame:
     return v.entities.where("entity_type = 'INTERFACE'").join(provided, "id", "left_anti").select("id")
 
 
-@query("j13_neighbours", "SELECT a.doc_id, a.pos, b.pos AS near FROM chunks a JOIN chunks b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos - 1 AND a.pos + 1 AND b.pos <> a.pos WHERE a.pos = 2")
+@query("j13_neighbours", "SELECT a.doc_id, a.pos, b.pos AS near FROM chunks a JOIN chunks b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos - 1 AND a.pos + 1 AND b.pos <> a.pos")
 def neighbours(v: Views) -> DataFrame:
-    hits = v.chunks.where("pos = 2").select("doc_id", "pos")
-    near = v.chunks.select("doc_id", F.col("pos").alias("near"))
-    rows = hits.join(near, "doc_id").where((F.col("near").between(F.col("pos") - 1, F.col("pos") + 1)) & (F.col("near") != F.col("pos")))
+    """Of every line; joined by the neighbour's position, since a join by document alone would pair all lines of one."""
+    rows = v.chunks.select("doc_id", "pos", F.explode(F.array(F.col("pos") - 1, F.col("pos") + 1)).alias("near"))
+    rows = rows.join(v.chunks.select("doc_id", F.col("pos").alias("near")), ["doc_id", "near"])
     return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("near").cast("long").alias("near"))
 
 
@@ -314,13 +314,14 @@ def top_evidence(v: Views) -> DataFrame:
     return v.statements.select(F.concat_ws("|", "source", "target", "type").alias("id"), "chunk_id", n.alias("n")).where("n <= 2")
 
 
-@query("w7_survivors", """, g AS (SELECT e.*, coalesce(a.n, 0) AS al, coalesce(s.n, 0) AS ev FROM entities e LEFT JOIN (SELECT entity_id, count(*) AS n FROM aliases GROUP BY 1) a ON a.entity_id = e.id LEFT JOIN (SELECT target, count(*) AS n FROM statements GROUP BY 1) s ON s.target = e.id WHERE e.id LIKE 'p%')
+@query("w7_survivors", """, g AS (SELECT e.*, coalesce(a.n, 0) AS al, coalesce(s.n, 0) AS ev FROM entities e LEFT JOIN (SELECT entity_id, count(*) AS n FROM aliases GROUP BY 1) a ON a.entity_id = e.id LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT target AS id FROM statements UNION ALL SELECT source FROM statements) GROUP BY 1) s ON s.id = e.id)
 SELECT normalized, entity_type, id FROM (SELECT *, row_number() OVER (PARTITION BY normalized, entity_type ORDER BY state <> 'HUMAN_VERIFIED', al DESC, ev DESC, created_rank, id) AS n FROM g) WHERE n = 1""")
 def survivors(v: Views) -> DataFrame:
     from heddle.operators.resolve import survivors as choose
 
     counts = lambda rows, key, name: rows.groupBy(F.col(key).alias("id")).agg(F.count("*").alias(name))
-    rows = v.entities.where(F.col("id").startswith("p")).join(counts(v.aliases, "entity_id", "n_aliases"), "id", "left").join(counts(v.statements, "target", "n_evidence"), "id", "left")
+    evidence = v.statements.select(F.explode(F.array("source", "target")).alias("id"))
+    rows = v.entities.join(counts(v.aliases, "entity_id", "n_aliases"), "id", "left").join(counts(evidence, "id", "n_evidence"), "id", "left")
     return choose(rows, ["normalized", "entity_type"]).select("normalized", "entity_type", "id")
 
 
