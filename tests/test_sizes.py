@@ -22,3 +22,6 @@ def test_names_are_not_broadcast(spark):
     spans = questions.mentions(spark.createDataFrame([(1, "What has Name3 of name 5?")], "id int, text string"), known)
     assert sorted(r["normalized"] for r in spans.collect()) == ["name3", "name5"]
     assert "BroadcastHashJoin" not in ran(spans)
+    found = questions.linked(spark.createDataFrame([(n, f"What has Name{n % 9}?") for n in range(18)], "id int, text string"), index)
+    assert {r["id"] for r in found.collect()} == {n for n in range(18) if n % 9 < 7}
+    assert "BroadcastHashJoin" not in ran(found).split("SortMergeJoin")[0]  # the join with the questions is the last
