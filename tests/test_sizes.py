@@ -1,6 +1,6 @@
 """What large tables need of plans: no broadcasts that grow with names, no limits, no work done twice."""
 
-from heddle.operators import compare, questions
+from heddle.operators import compare, lexical_index, questions
 
 
 def ran(df):
@@ -25,3 +25,25 @@ def test_names_are_not_broadcast(spark):
     found = questions.linked(spark.createDataFrame([(n, f"What has Name{n % 9}?") for n in range(18)], "id int, text string"), index)
     assert {r["id"] for r in found.collect()} == {n for n in range(18) if n % 9 < 7}
     assert "BroadcastHashJoin" not in ran(found).split("SortMergeJoin")[0]  # the join with the questions is the last
+
+
+def test_phrases_cost_no_more_than_the_words(spark):
+    # Both words of every phrase stand in each document, apart but in two: meeting documents by word made rows per phrase and document.
+    words = spark.createDataFrame([(q, 0, k, 2, w) for q in range(60) for k, w in enumerate(["a", "b"])], "query int, term int, k int, of int, token string")
+    found = spark.createDataFrame([(t, d, 1, [1 if t == "a" else 2 if d < 2 else 5]) for d in range(40) for t in "ab"], "token string, id int, n int, positions array<int>")
+    hits = lexical_index.phrase_hits(found, words)
+    assert sorted(map(tuple, hits.collect())) == sorted((q, d, 1, 2) for q in range(60) for d in (0, 1))
+    assert max(rows_of(hits, "Join")) <= 120
+
+
+def rows_of(df, kind):
+    """How many rows each operator of that kind made."""
+    df.collect()
+    out, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        at = todo.pop()
+        name = at.getClass().getSimpleName()
+        todo += [at.executedPlan()] if name == "AdaptiveSparkPlanExec" else [at.plan()] if name.endswith("QueryStageExec") else [at.children().apply(k) for k in range(at.children().size())]
+        if kind in name and at.metrics().contains("numOutputRows"):
+            out.append(at.metrics().apply("numOutputRows").value())
+    return out
