@@ -36,6 +36,16 @@ def test_phrases_cost_no_more_than_the_words(spark):
     assert max(rows_of(hits, "Join")) <= 120
 
 
+def test_all_vector_pairs_have_no_limit(spark, tmp_path):
+    from heddle.plans.registry import QUERIES
+
+    near = "array(cast(cos(id) as float), cast(sin(id) as float))"
+    spark.range(20_000).selectExpr("id as vec_id", f"{near} as embedding", "0 as label").where("vec_id % 20 > 0 or vec_id < 60").write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows = {r["query"]: r for r in QUERIES["j16_vector_pairs"](spark, str(tmp_path)).collect()}
+    assert {q: r["n"] for q, r in rows.items()} == {q: 19_003 for q in (0, 20, 40)}
+    assert all(r["least"] < -0.9999 and r["most"] == 1.0 for r in rows.values())
+
+
 def rows_of(df, kind):
     """How many rows each operator of that kind made."""
     df.collect()
