@@ -18,6 +18,16 @@ RUNS = "run int, model string, version string, after long, upto long, total long
 VECTORS = "content_hash string, embedding array<double>, model string, version string"
 
 
+def _nth(ids: DataFrame, n: int) -> int | None:
+    """The n-th smallest id, null if there are fewer.  Ids are dealt by ranges, so that a task sorts only those of the range that has it."""
+    placed = settled(ids.repartitionByRange("id").withColumn("part", F.spark_partition_id()))
+    for part, here in sorted(map(tuple, placed.groupBy("part").agg(F.count("*").alias("n")).collect())):
+        if here >= n:
+            return placed.where(F.col("part") == part).withColumn("k", F.expr("row_number() over (partition by part order by id)")).where(F.col("k") == n).first()["id"]
+        n -= here
+    return None
+
+
 class EmbeddingIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -35,7 +45,7 @@ class EmbeddingIndex:
         return self._read("vectors", VECTORS).where((F.col("model") == model) & (F.col("version") == version)).select("content_hash", "embedding")
 
     def run(self, chunks: DataFrame, embed: Callable[[Column], Column], model: str, version: str, most: int | None = None) -> dict:
-        """One run over chunks (id long, content): at most ``most`` behind the mark, null: all.  Gives the run's row.
+        """One run over chunks (id long, content; ids are distinct): at most ``most`` (from 1) behind the mark, null: all.  Gives the run's row.
 
         total counts the chunks, computed the contents that had to be embedded, reused the chunks whose content was known or stood in the run before.
         """
@@ -44,7 +54,8 @@ class EmbeddingIndex:
         if done["upto"] is not None:
             rows = rows.where(F.col("id") > done["upto"])
         if most is not None:
-            rows = rows.orderBy("id").limit(most)
+            last = _nth(rows.select("id"), most)
+            rows = rows if last is None else rows.where(F.col("id") <= last)
         rows = settled(rows.select("id", "content", F.sha2("content", 256).alias("content_hash")))
         fresh = rows.join(self.vectors(model, version).select("content_hash"), "content_hash", "left_anti").groupBy("content_hash").agg(F.first("content").alias("content"))
         fresh = settled(fresh.select("content_hash", embed(F.col("content")).alias("embedding"), F.lit(model).alias("model"), F.lit(version).alias("version")))
