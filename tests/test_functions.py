@@ -5,7 +5,9 @@ from __future__ import annotations
 import io
 import random
 import zipfile
+from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,6 +228,22 @@ def test_comparison():
     assert ("CHANGED", "The limit is 10 ms always.", "The limit is 20 ms always.") in got
 
 
+def test_ratios_of_many_pairs_are_difflibs(monkeypatch):
+    rng = random.Random(4)
+    text = lambda: "".join(rng.choice("aab cdé\U0001f600" if rng.random() < 0.5 else "ab") for _ in range(rng.choice([0, 1, 5, 30, 64, 65, 130, 199, 200, 230])))
+    left, right = ([text() for _ in range(25)] for _ in "ab")
+    right += [t[3:] + t[:9] for t in left]
+    x, y = (np.array(c) for c in zip(*[(a, b) for a in range(len(left)) for b in range(len(right))], strict=True))
+    want = np.array([SequenceMatcher(None, left[a], right[b]).ratio() for a, b in zip(x, y, strict=True)])
+    for words in (fuzzy.WORDS, 40):
+        monkeypatch.setattr(fuzzy, "WORDS", words)
+        assert (fuzzy.sequence_ratios(left, right, x, y, 0.0) == want).all()
+        half = fuzzy.sequence_ratios(left, right, x, y, 0.5)
+        assert ((half == want) | (want < 0.5)).all() and (half < 0.5).tolist() == (want < 0.5).tolist()
+    monkeypatch.setattr(compare, "SequenceMatcher", lambda *texts, **_: SequenceMatcher(*texts, autojunk=False) if len(texts) == 3 and isinstance(texts[1], list) else 1 / 0)
+    assert len(compare.diff_statements(left, right, len)) >= len(right)  # short statements of a block are compared together, not one by one
+
+
 def test_questions(spark):
     index = spark.createDataFrame([("brakecontroller", "e1"), ("controller", "e2"), ("wheelspeed", "e3"), ("wheelspeed", "e4")], "normalized string, entity string")
     asked = spark.createDataFrame([(1, "Does the Brake Controller need wheel speed?")], "id long, text string")
