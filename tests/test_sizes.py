@@ -27,6 +27,16 @@ def test_names_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in ran(found).split("SortMergeJoin")[0]  # the join with the questions is the last
 
 
+def test_names_meet_by_tokens_that_both_sides_have(spark, monkeypatch):
+    # Names and tokens are numbers, not copied into every row, and tokens of one side only are in no list.
+    kept, settled = [], compare.settled
+    monkeypatch.setattr(compare, "settled", lambda df: kept.append(settled(df)) or kept[-1])
+    old = spark.createDataFrame([(k, f"{c * 6}{k}") for k in range(3) for c in "abc"] + [(7, None), (None, "xyz")], "kind int, name string")
+    new = spark.createDataFrame([(k, f"{c * 6}{k}") for k in range(3) for c in "cdefgh"] + [(9, "aaaaaa0"), (None, "xyz")], "kind int, name string")
+    assert sorted(map(tuple, compare.similar_names(old, new).collect())) == [(k, f"cccccc{k}", f"cccccc{k}", 1.0) for k in range(3)]
+    assert "string" not in {t for _, t in kept[-1].dtypes} and kept[-1].select("id").distinct().count() == 6
+
+
 def test_phrases_cost_no_more_than_the_words(spark):
     # Both words of every phrase stand in each document, apart but in two: meeting documents by word made rows per phrase and document.
     words = spark.createDataFrame([(q, 0, k, 2, w) for q in range(60) for k, w in enumerate(["a", "b"])], "query int, term int, k int, of int, token string")
