@@ -15,6 +15,7 @@ from heddle.operators.graph import remove, settled
 from heddle.sources.files import overwrite_partitions
 
 CREATED = "*"
+TABLES = ("entities", "relationships", "entity_evidence", "relationship_evidence", "aliases")
 SCHEMA = "by array<string>, table string, id string, column string, before string, after string"
 
 
@@ -32,6 +33,10 @@ class Knowledge:
     def after(self, changes: DataFrame) -> Knowledge:
         return replace(self, **{f.name: applied(getattr(self, f.name), f.name, changes) for f in fields(self)})
 
+    def kept(self) -> Knowledge:
+        """All tables written, for operations that read them several times."""
+        return replace(self, **{f.name: settled(getattr(self, f.name)) for f in fields(self)})
+
 
 def change(by: Column, table: str, row: Column, column: str, before: Column | None, after: Column | None) -> list[Column]:
     text = lambda c: (F.lit(None) if c is None else c).cast("string")
@@ -49,13 +54,16 @@ def inverse(changes: DataFrame) -> DataFrame:
 def applied(rows: DataFrame, table: str, changes: DataFrame) -> DataFrame:
     """rows of one table after the changes to it; a row is created only where its id is missing, and changes to ids that aren't there do nothing."""
     own = changes.where(F.col("table") == table)
-    names = [c for c in rows.columns if c != "id"]
-    set_to = own.where(F.col("column") != CREATED).groupBy("id").agg(*(F.max(F.when(F.col("column") == c, F.struct("after"))).alias(f"__{c}") for c in names))
-    whole = own.where(F.col("column") == CREATED)
-    new = whole.where("after is not null").select(F.from_json("after", rows.schema).alias("x")).select("x.*").dropDuplicates(["id"]).join(rows.select("id"), "id", "left_anti").select(*rows.columns)
-    kept = rows.join(whole.where("after is null").select("id"), "id", "left_anti").unionByName(new)
-    out = kept.join(set_to, "id", "left")
-    return out.select(*(F.when(F.col(f"__{c}").isNotNull(), F.col(f"__{c}.after")).otherwise(F.col(c)).alias(c) if c != "id" else F.col("id") for c in rows.columns))
+    names, whole = [c for c in rows.columns if c != "id"], F.col("column") == CREATED
+    # One row per changed id, so that both sides are dealt by id once.
+    set_to = own.groupBy("id").agg(
+        F.max(F.when(whole, F.col("after"))).alias("__made"), F.coalesce(F.bool_or(whole & F.col("after").isNull()), F.lit(False)).alias("__gone"),
+        *(F.max(F.when(F.col("column") == c, F.struct("after"))).alias(f"__{c}") for c in names),
+    )
+    out = rows.withColumn("__here", F.lit(True)).join(set_to, "id", "full").withColumn("__made", F.from_json("__made", rows.schema))
+    out = out.where(F.when(F.col("__here"), ~F.coalesce("__gone", F.lit(False))).otherwise(F.col("__made").isNotNull()))
+    was = lambda c: F.when(F.col("__here"), F.col(c)).otherwise(F.col(f"__made.{c}"))
+    return out.select(*(F.when(F.col(f"__{c}").isNotNull(), F.col(f"__{c}.after")).otherwise(was(c)).alias(c) if c != "id" else F.col("id") for c in rows.columns))
 
 
 class Store:

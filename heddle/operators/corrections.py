@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.functions.text import normalize_name
-from heddle.operators.changes import Knowledge, change, created
+from heddle.operators.changes import TABLES, Knowledge, change, created
 from heddle.operators.graph import settled
 
 
@@ -34,8 +34,8 @@ def judged(knowledge: Knowledge, corrections: DataFrame) -> DataFrame:
     return rows.select("id", "seq", "name", "normalized", "entity_type", "old_name", "old_normalized", F.concat_ws("~", "id", F.col("seq").cast("string")).alias("new_id"), reason.alias("reason"))
 
 
-def correction_changes(knowledge: Knowledge, corrections: DataFrame) -> DataFrame:
-    """The change set of the corrections that aren't refused.
+def correction_changes(knowledge: Knowledge, corrections: DataFrame, tables: tuple[str, ...] = TABLES) -> DataFrame:
+    """The change set of the corrections that aren't refused; ``tables``: of these alone.
 
     An edge that would be a loop stays with the original.  Where a live edge with the new ends and the type is there already, or another edge of the set
     comes to stand there first, the edge is superseded by that one; else by its clone, which has its evidence.
@@ -52,6 +52,9 @@ def correction_changes(knowledge: Knowledge, corrections: DataFrame) -> DataFram
     old_names = rows.where("old_normalized <> normalized").join(knowledge.aliases.select(F.col("normalized").alias("old_normalized")), "old_normalized", "left_anti")
     old_names = old_names.withColumn("first", F.row_number().over(Window.partitionBy("old_normalized").orderBy("id"))).where("first = 1")
     new_aliases = old_names.select(*created(by, "aliases", id=F.concat(F.lit("human:"), "id"), entity_id=F.col("new_id"), alias=F.col("old_name"), normalized=F.col("old_normalized"), source=F.lit("HUMAN")))
+    parts = [x for table, x in (("entities", clones), *(("entities", x) for x in replaced), ("entity_evidence", evidence), ("aliases", aliases), ("aliases", new_aliases)) if table in tables]
+    if not {"relationships", "relationship_evidence"} & set(tables):
+        return settled(reduce(DataFrame.unionByName, parts))
     # Edges: each end that is corrected becomes the clone.
     live = knowledge.relationships.where("superseded_by is null")
     end = lambda c: rows.select(F.col("id").alias(c), F.col("new_id").alias(f"new_{c}"), F.col("seq").alias(f"seq_{c}"))
@@ -66,4 +69,6 @@ def correction_changes(knowledge: Knowledge, corrections: DataFrame) -> DataFram
     new_edges = cloned.select(*created(F.col("by"), "relationships", id=F.col("clone"), source=F.col("to_source"), target=F.col("to_target"), type=F.col("type"), state=F.col("state"), superseded_by=F.lit(None).cast("string"), inactive_reason=F.col("inactive_reason")))
     proof = knowledge.relationship_evidence.join(cloned.select(F.col("id").alias("relationship_id"), "clone", "by"), "relationship_id")
     new_proof = proof.select(*created(F.col("by"), "relationship_evidence", id=F.concat_ws("~", "id", "clone"), relationship_id=F.col("clone"), chunk_id=F.col("chunk_id")))
-    return settled(reduce(DataFrame.unionByName, [clones, *replaced, evidence, aliases, new_aliases, superseded, new_edges, new_proof]))
+    parts += [superseded, new_edges] if "relationships" in tables else []
+    parts += [new_proof] if "relationship_evidence" in tables else []
+    return settled(reduce(DataFrame.unionByName, parts))

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.operators.changes import Knowledge, change, created, inverse, rank
+from heddle.operators.changes import TABLES, Knowledge, change, created, inverse, rank
 from heddle.operators.graph import settled
 from heddle.operators.resolve import pair_key
 
@@ -30,13 +30,15 @@ def refused(knowledge: Knowledge, merges: DataFrame) -> DataFrame:
 
 def _moved_evidence(evidence: DataFrame, to: DataFrame, table: str, column: str) -> DataFrame:
     """Changes that move the evidence of owners (owner, to, by) to other ones, but for chunks that the other has; of several with one chunk the first moves."""
-    rows = evidence.join(to.select(F.col("owner").alias(column), "to", "by"), column, "left").withColumn("at", F.coalesce("to", column))
+    # What belongs to neither side of a move is in nobody's way.
+    sides = to.select(F.col("owner").alias(column), "to", "by").unionByName(to.select(F.col("to").alias(column)).distinct(), allowMissingColumns=True)
+    rows = evidence.join(sides, column).withColumn("at", F.coalesce("to", column))
     first = F.row_number().over(Window.partitionBy("at", "chunk_id").orderBy(F.col("to").isNotNull(), column, "id"))
     return rows.withColumn("first", first).where("to is not null and first = 1").select(*change(F.col("by"), table, F.col("id"), column, F.col(column), F.col("to")))
 
 
-def merge_changes(knowledge: Knowledge, merges: DataFrame) -> DataFrame:
-    """The change set of merges (merged, survivor), none of them refused: evidence, aliases, edges, twins and loops.
+def merge_changes(knowledge: Knowledge, merges: DataFrame, tables: tuple[str, ...] = TABLES) -> DataFrame:
+    """The change set of merges (merged, survivor), none of them refused: evidence, aliases, edges, twins and loops; ``tables``: of these alone.
 
     The merged entity's name becomes an alias of the survivor, unless it is one already.  A loop stays where it is, inactive.  Of equal edges the one of higher rank, then one that
     didn't move, then the smallest id stays; the others are superseded by it and pass on their evidence.
@@ -50,6 +52,9 @@ def merge_changes(knowledge: Knowledge, merges: DataFrame) -> DataFrame:
     named = named.join(knowledge.aliases.select(F.col("normalized").alias("merged_normalized")), "merged_normalized", "left_anti")
     named = named.withColumn("first", F.row_number().over(Window.partitionBy("merged_normalized").orderBy("merged"))).where("first = 1")
     new_aliases = named.select(*created(by, "aliases", id=F.concat(F.lit("merge:"), "merged"), entity_id=F.col("survivor"), alias=F.col("merged_name"), normalized=F.col("merged_normalized"), source=F.lit("MERGE")))
+    found = [x for table, x in (("entities", entities), ("entity_evidence", evidence), ("aliases", aliases), ("aliases", new_aliases)) if table in tables]
+    if not {"relationships", "relationship_evidence"} & set(tables):
+        return reduce(DataFrame.unionByName, found)
     # Edges, with both ends where they belong now.
     end = lambda c: merges.select(F.col("merged").alias(c), F.col("survivor").alias(f"new_{c}"))
     edges = knowledge.relationships.where("superseded_by is null").join(end("source"), "source", "left").join(end("target"), "target", "left")
@@ -65,15 +70,20 @@ def merge_changes(knowledge: Knowledge, merges: DataFrame) -> DataFrame:
     winners = edges.where("not loop and moved and winner.id = id")
     ends = [winners.where(f"new_{c} is not null").select(*change(F.array(c), "relationships", F.col("id"), c, F.col(c), F.col(f"new_{c}"))) for c in ("source", "target")]
     passed_on = _moved_evidence(knowledge.relationship_evidence, losers.select(F.col("id").alias("owner"), F.col("winner.id").alias("to"), "by"), "relationship_evidence", "relationship_id")
-    return reduce(DataFrame.unionByName, [entities, evidence, aliases, new_aliases, loops, lost, *ends, passed_on])
+    found += [loops, lost, *ends] if "relationships" in tables else []
+    found += [passed_on] if "relationship_evidence" in tables else []
+    return reduce(DataFrame.unionByName, found)
 
 
-def merge(knowledge: Knowledge, merges: DataFrame, batch: int) -> tuple[Knowledge, DataFrame]:
-    """The tables after a batch of merges (merged, survivor), and its log: the change set with the batch's number.  Raises if a merge is refused."""
+def merge(knowledge: Knowledge, merges: DataFrame, batch: int, tables: tuple[str, ...] = TABLES) -> tuple[Knowledge, DataFrame]:
+    """The tables after a batch of merges (merged, survivor), and its log: the change set with the batch's number.  Raises if a merge is refused.
+
+    Who reads some tables alone names them: the others stay as they are, and the log has no changes to them.
+    """
     merges = settled(merges.select("merged", "survivor").distinct())
     if wrong := refused(knowledge, merges).limit(1).collect():
         raise ValueError(f"{wrong[0]['merged']} can't be merged into {wrong[0]['survivor']}: {wrong[0]['reason']}")
-    log = settled(merge_changes(knowledge, merges))
+    log = settled(merge_changes(knowledge, merges, tables))
     return knowledge.after(log), log.withColumn("batch", F.lit(batch))
 
 

@@ -140,3 +140,20 @@ def test_corrections_fan_out_and_run_twice(spark):
     # Taken back: the clones go, and all cells are what they were.
     store.commit(changes.inverse(change_set))
     assert rows(store.read()) == {n: set(r) for n, r in tables.items()}
+
+
+def test_a_table_alone_changes_as_with_all_others(spark):
+    from heddle.operators.changes import TABLES, applied
+
+    tables = made(random.Random(5))
+    before = frames(spark, tables)
+    pairs = spark.createDataFrame([("e01", "e00"), ("e03", "e02"), ("e05", "e20"), ("e07", "e20")], "merged string, survivor string")
+    whole = rows(merges.merge(before, pairs, 1)[0])
+    for table in TABLES:
+        after, log = merges.merge(before, pairs, 1, (table,))
+        assert {r["table"] for r in log.collect()} <= {table}
+        assert {tuple(r) for r in getattr(after, table).collect()} == whole[table]
+    # A join takes both sides by id once, and rows aren't read a second time for the ids that are created.
+    changed = applied(before.aliases, "aliases", spark.createDataFrame([(["e01"], "aliases", "a1", "entity_id", "x", "y")], "by array<string>, table string, id string, column string, before string, after string"))
+    changed.collect()
+    assert changed._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
