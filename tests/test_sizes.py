@@ -37,6 +37,31 @@ def test_names_meet_by_tokens_that_both_sides_have(spark, monkeypatch):
     assert "string" not in {t for _, t in kept[-1].dtypes} and kept[-1].select("id").distinct().count() == 6
 
 
+def test_relationship_changes_do_no_step_anew(spark):
+    old, new = (spark.createDataFrame([(f"{s}{t}{k}", s, t, k) for s in "ab" for t in ts for k in "xy"], "id string, source string, target string, type string") for ts in ("cd", "de"))
+    found = compare.relationship_changes(old, new)
+    assert sorted((r["old_id"], r["new_id"]) for r in found.collect()) == [(f"{s}c{k}", f"{s}e{k}") for s in "ab" for k in "xy"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+
+
+def test_a_semi_join_asks_for_no_whole_relationships(spark, tmp_path):
+    from datetime import datetime
+
+    from heddle.plans.registry import QUERIES
+
+    put = lambda name, schema, rows: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    put("supplier", "s_suppkey long, s_name string", [(1, "S")])
+    put("customer", "c_custkey long, c_name string", [(1, "C")])
+    put("part", "p_partkey long, p_name string, p_brand string, p_type string", [(k, f"part {k}", "B", "ECONOMY TIN") for k in (1, 2)])
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    put("lineitem", line, [(k, 1, k, 1, 1.0, 0.1, "R", "F", datetime(1995, 1, 1)) for k in range(50)] + [(1, 2, 1, 2, 1.0, 0.1, "A", "F", datetime(1995, 1, 1))])
+    used, unprovided = (QUERIES[q](spark, str(tmp_path)) for q in ("j11_semi_join", "j12_anti_join"))
+    assert [r["id"] for r in used.collect()] == ["p1"] and [r["id"] for r in unprovided.collect()] == ["p1"]
+    for df in (used, unprovided):
+        assert max(rows_of(df, "Aggregate")) <= 8
+
+
 def test_phrases_cost_no_more_than_the_words(spark):
     # Both words of every phrase stand in each document, apart but in two: meeting documents by word made rows per phrase and document.
     words = spark.createDataFrame([(q, 0, k, 2, w) for q in range(60) for k, w in enumerate(["a", "b"])], "query int, term int, k int, of int, token string")
