@@ -60,6 +60,9 @@ def test_a_semi_join_asks_for_no_whole_relationships(spark, tmp_path):
     assert [r["id"] for r in used.collect()] == ["p1"] and [r["id"] for r in unprovided.collect()] == ["p1"]
     for df in (used, unprovided):
         assert max(rows_of(df, "Aggregate")) <= 8
+    # Candidates and chunks are read from the same written rows, so only they are joined.
+    valid = QUERIES["e1_validated_candidates"](spark, str(tmp_path))
+    assert valid.count() == 2 and valid._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
 
 
 def test_phrases_cost_no_more_than_the_words(spark):
