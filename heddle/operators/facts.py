@@ -125,26 +125,32 @@ def name_index(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     return entities.select("normalized", "id").union(aliases.select("normalized", F.col("entity_id").alias("id"))).where("normalized <> ''").distinct()
 
 
+def owners_by_name(entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """One row per name of live entities, with its usable owners per type: a name with many owners costs who asks no more than one with few."""
+    live = live_entities(entities)
+    owners = name_index(live, aliases).join(live.select("id", "state", "entity_type"), "id")
+    usable = F.col("state") != "REJECTED"
+    kinds = owners.groupBy("normalized", "entity_type").agg(F.count("*").alias("n"), F.count(F.when(usable, 1)).alias("usable"), F.min(F.when(usable, F.col("id"))).alias("first"))
+    return kinds.groupBy("normalized").agg(F.sum("n").alias("n"), F.sum("usable").alias("usable"), F.min("first").alias("one"), F.collect_list(F.struct("entity_type", "usable", "first")).alias("kinds"))
+
+
+def bind_side(rows: DataFrame, index: DataFrame, side: str, end: int) -> DataFrame:
+    """rows (type, normalized_<side>) with <side>_state and <side>_id, by the index of owners_by_name; end is 0 for sources, 1 for targets."""
+    found = rows.join(index.withColumnRenamed("normalized", f"normalized_{side}"), f"normalized_{side}", "left").withColumn("allowed", allowed_types(F.col("type"), end))
+    fitting = F.filter("kinds", lambda k: F.col("allowed").isNull() | F.array_contains("allowed", k["entity_type"]))
+    found = found.withColumn("fitting", fitting)
+    plausible = F.aggregate("fitting", F.lit(0).cast("long"), lambda s, k: s + k["usable"])
+    fit = F.array_min(F.transform("fitting", lambda k: k["first"]))
+    state = F.when(F.col("n").isNull(), "MISSING").when(F.col("usable") == 0, "REJECTED").when((F.col("usable") == 1) | (plausible == 1), "OK").otherwise("AMBIGUOUS")
+    bound = F.when(F.col("usable") == 1, F.col("one")).when((F.col("usable") > 1) & (plausible == 1), fit)
+    return found.select(*rows.columns, state.alias(f"{side}_state"), bound.alias(f"{side}_id"))
+
+
 def bind_endpoints(candidates: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """candidates (id, type, source_name, target_name; normalized_*) bound to live entities.
 
     Per side the owners of the name: none is MISSING, only rejected ones REJECTED, several AMBIGUOUS unless the type rules leave one.
     Adds source_state, source_id, target_state and target_id.
     """
-    live = live_entities(entities)
-    owners = name_index(live, aliases).join(live.select("id", "state", "entity_type"), "id")
-    # One row per name, with its usable owners per type: a name with many owners costs a candidate no more than one with few.
-    usable = F.col("state") != "REJECTED"
-    kinds = owners.groupBy("normalized", "entity_type").agg(F.count("*").alias("n"), F.count(F.when(usable, 1)).alias("usable"), F.min(F.when(usable, F.col("id"))).alias("first"))
-    index = kinds.groupBy("normalized").agg(F.sum("n").alias("n"), F.sum("usable").alias("usable"), F.min("first").alias("one"), F.collect_list(F.struct("entity_type", "usable", "first")).alias("kinds"))
-    out = candidates
-    for side, end in (("source", 0), ("target", 1)):
-        found = out.join(index.withColumnRenamed("normalized", f"normalized_{side}"), f"normalized_{side}", "left").withColumn("allowed", allowed_types(F.col("type"), end))
-        fitting = F.filter("kinds", lambda k: F.col("allowed").isNull() | F.array_contains("allowed", k["entity_type"]))
-        found = found.withColumn("fitting", fitting)
-        plausible = F.aggregate("fitting", F.lit(0).cast("long"), lambda s, k: s + k["usable"])
-        fit = F.array_min(F.transform("fitting", lambda k: k["first"]))
-        state = F.when(F.col("n").isNull(), "MISSING").when(F.col("usable") == 0, "REJECTED").when((F.col("usable") == 1) | (plausible == 1), "OK").otherwise("AMBIGUOUS")
-        bound = F.when(F.col("usable") == 1, F.col("one")).when((F.col("usable") > 1) & (plausible == 1), fit)
-        out = found.select(*out.columns, state.alias(f"{side}_state"), bound.alias(f"{side}_id"))
-    return out
+    index = owners_by_name(entities, aliases)
+    return bind_side(bind_side(candidates, index, "source", 0), index, "target", 1)

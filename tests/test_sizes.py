@@ -45,6 +45,33 @@ def test_relationship_changes_do_no_step_anew(spark):
     assert "Window" not in plan and "Join" not in plan
 
 
+def test_findings_write_no_row_per_statement_and_the_listing_reads_written_drafts(spark, tmp_path, monkeypatch):
+    from datetime import datetime
+
+    from heddle.operators import graph
+    from heddle.plans.registry import QUERIES
+
+    kept, settled = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: kept.append(settled(df)) or kept[-1])
+
+    put = lambda name, schema, rows: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    put("supplier", "s_suppkey long, s_name string", [(k, f"S{k}") for k in range(1, 51)])
+    put("customer", "c_custkey long, c_name string", [(1, "C")])
+    put("part", "p_partkey long, p_name string, p_brand string, p_type string", [(1, "part", "B", "ECONOMY TIN")])
+    line = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    day = datetime(1995, 1, 1)
+    # Supplier 7 has two equal statements; supplier 99 and part 5 aren't there.
+    put("lineitem", line, [(k, 1, k, n, 1.0, 0.1, "R", "F", day) for n in range(1, 5) for k in [*range(1, 51), 7, 99]] + [(1, 1, 1, 9, 1.0, 0.1, "A", "F", day), (2, 5, 8, 1, 1.0, 0.1, "A", "F", day), (3, 5, 7, 1, 1.0, 0.1, "A", "F", day)])
+    by_type = QUERIES["a4_findings_by_type"](spark, str(tmp_path))
+    # Rejected are suppliers 7, 17 to 47: 24 statements, five relationships, and the one of supplier 7 with part 5.
+    assert {r["finding_type"]: r["n"] for r in by_type.collect()} == {"DANGLING_RELATIONSHIP": 30, "POSSIBLE_DUPLICATE": 1}
+    assert max(df.count() for df in kept) < 100
+    listed = QUERIES["f5_findings_listing"](spark, str(tmp_path))
+    assert {r["total"] for r in listed.collect()} == {31}
+    plan = listed._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Join ") == 1
+
+
 def test_a_semi_join_asks_for_no_whole_relationships(spark, tmp_path):
     from datetime import datetime
 
