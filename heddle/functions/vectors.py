@@ -26,10 +26,17 @@ def l2_normalize(a: Column) -> Column:
 
 
 def hashed_embedding(words: Column, dim: int) -> Column:
-    """Counts of words in md5(word) mod dim buckets, normalized.  The 128-bit remainder is folded digit by digit."""
-    digits = lambda w: F.transform(F.filter(F.split(F.md5(w), ""), lambda c: c != ""), lambda c: F.conv(c, 16, 10).cast("long"))
-    at = F.transform(words, lambda w: F.aggregate(digits(w.cast("binary")), F.lit(0).cast("long"), lambda s, d: (s * 16 + d) % dim))
-    counts = F.aggregate(at, F.array_repeat(F.lit(0.0), dim), lambda acc, b: F.transform(acc, lambda x, i: F.when(i == b, x + 1).otherwise(x)))
+    """Counts of words in md5(word) mod dim buckets, normalized.  The 128-bit remainder is folded by eight digits at a time; each word and its bucket is made once."""
+    part = lambda h, k: F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("long")
+
+    def bucket(h: Column) -> Column:
+        out = part(h, 0) % dim
+        for k in (1, 2, 3):
+            out = (out * (1 << 32) + part(h, k)) % dim
+        return out
+
+    at = F.transform(words, lambda w: bound(F.md5(w.cast("binary")), bucket))
+    counts = bound(at, lambda found: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.size(F.filter(found, lambda x: x == b)).cast("double")))
     return l2_normalize(counts)
 
 
