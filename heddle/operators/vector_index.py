@@ -8,8 +8,6 @@ it's a part of it, and ``tuned_probes`` finds how many lists a recall needs.
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
@@ -81,6 +79,19 @@ class VectorIndex:
     def _order(self, unit: np.ndarray) -> np.ndarray:
         return np.argsort(-(unit @ self.centroids.T), axis=1, kind="stable")
 
+    def _wanted(self, unit: np.ndarray, probes: int) -> np.ndarray | None:
+        """Who asks each list, a bit per list and query, since each Python process holds it; None: all ask all."""
+        if probes == len(self.centroids):
+            return None
+        bits = np.zeros((len(self.centroids), -(-len(unit) // 8)), dtype=np.uint8)
+        for low in range(0, len(unit), 1024):  # a multiple of eight, so that parts end with their bytes
+            order = self._order(unit[low : low + 1024])[:, :probes]
+            asks = np.zeros((len(self.centroids), len(order)), dtype=bool)
+            asks[order, np.arange(len(order))[:, None]] = True
+            packed = np.packbits(asks, axis=1)
+            bits[:, low // 8 : low // 8 + packed.shape[1]] = packed
+        return bits
+
     def search(self, queries: DataFrame, k: int, probes: int | None = None, with_list: bool = False) -> DataFrame:
         """queries (query, vector): query, id, score (nine digits) and rank of the k nearest in the ``probes`` nearest lists; None: in all lists, which is exact.
 
@@ -95,12 +106,10 @@ class VectorIndex:
         for n in range(blocks):
             part = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == n).toArrow().combine_chunks()
             where, unit = _unit_vectors(part["vector"]).get(self.centroids.shape[1], (np.zeros(0, dtype=np.int64), np.zeros((0, self.centroids.shape[1]))))
-            wanted = defaultdict(list)
-            for q, order in enumerate(self._order(unit)):
-                for at in order[:probes].tolist():
-                    wanted[at].append(q)
-            shared = self.spark.sparkContext.broadcast((part["query"].combine_chunks().take(pa.array(where)), unit, dict(wanted)))
-            found = rows.where(F.col("list").isin(sorted(wanted))).select("id", "embedding", "list").mapInArrow(_probe(shared, k), f"query {kind}, id {self.id_type}, list int, score double")
+            wanted = self._wanted(unit, probes)
+            lists = list(range(len(self.centroids))) if wanted is None else np.flatnonzero(wanted.any(axis=1)).tolist()
+            shared = self.spark.sparkContext.broadcast((part["query"].combine_chunks().take(pa.array(where)), unit, wanted))
+            found = rows.where(F.col("list").isin(lists)).select("id", "embedding", "list").mapInArrow(_probe(shared, k), f"query {kind}, id {self.id_type}, list int, score double")
             if blocks > 1:  # a block's hits are written, so that its broadcast can go before the next comes
                 found = settled(found)
                 shared.destroy()
@@ -133,7 +142,7 @@ def _probe(shared, k: int):
             batch, lists = batch.take(pa.array(order)), lists[order]
             where, rows = _unit_vectors(batch.column("embedding")).get(unit.shape[1], (np.zeros(0, dtype=np.int64), None))
             for at in np.unique(lists[where]):
-                own, asking = np.flatnonzero(lists[where] == at), np.array(wanted.get(int(at), []), dtype=np.int64)
+                own, asking = np.flatnonzero(lists[where] == at), np.arange(len(unit)) if wanted is None else np.flatnonzero(np.unpackbits(wanted[at], count=len(unit)))
                 some = max(1, (1 << 22) // len(own))
                 for low in range(0, len(asking), some):
                     q = asking[low : low + some]

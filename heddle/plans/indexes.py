@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from heddle.functions import text as X
 from heddle.functions import vectors as V
 from heddle.operators.embedding_index import EmbeddingIndex
-from heddle.operators.graph import kept_folder
+from heddle.operators.graph import kept_folder, settled
 from heddle.operators.lexical_index import LexicalIndex
 from heddle.operators.vector_index import VectorIndex
 from heddle.plans.analytics import ASKED, asked, lexical_sql
@@ -30,7 +30,7 @@ def index_exact(v: Views) -> DataFrame:
 def index_recall(v: Views) -> DataFrame:
     """Per query the exact tenth score, and whether the index finds nine tenths of all exact neighbours in the lists that it was tuned to."""
     index = vector_index(v)
-    exact = index.search(asked(v), 10)
+    exact = settled(index.search(asked(v), 10))  # read for the recall and for the rows
     near = index.search(asked(v), 10, index.tuned_probes(10, 0.95)).select("query", "id", F.lit(1).alias("found"))
     recall = exact.join(near, ["query", "id"], "left").agg(F.avg(F.coalesce("found", F.lit(0)))).first()[0]
     return exact.where("rank = 10").select("query", F.col("score").alias("tenth"), F.lit(recall is not None and recall >= 0.9).alias("recall_reached"))

@@ -124,6 +124,37 @@ def test_a_run_finds_its_mark_without_sorting_all_rows_in_one_task(spark, tmp_pa
     assert marks == [(300, 598), (300, 1198), (300, 1798), (100, 1998), (0, 1998)]
 
 
+def test_probes_travel_as_bits(spark, tmp_path):
+    import numpy as np
+
+    from heddle.operators.vector_index import VectorIndex
+
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(rng.normal(size=(1500, 4)))], "id long, embedding array<double>")
+    index = VectorIndex.build(rows, str(tmp_path / "v"), lists=20)
+    unit = rng.normal(size=(1301, 4))
+    bits = index._wanted(unit, 7)
+    assert index._wanted(unit, 20) is None and bits.nbytes <= 20 * (1301 // 8 + 1)
+    asks = np.unpackbits(bits, axis=1, count=1301)
+    assert all(set(np.flatnonzero(asks[:, q])) == set(order[:7]) for q, order in enumerate(index._order(unit)))
+    near = index.search(rows.selectExpr("id as query", "embedding as vector"), 1, 1)
+    assert near.where("query = id").count() == 1500
+
+
+def test_word_files_are_made_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    from heddle.plans import files
+    from heddle.plans.registry import QUERIES
+
+    seen = []
+    monkeypatch.setattr(files, "stored", lambda v, rows: seen.append(rows) or 1 / 0)
+    spark.range(200_000).selectExpr("id as p_partkey", "concat('part ', id) as p_name", "'B' as p_brand").write.parquet(str(tmp_path / "part.parquet"))
+    try:
+        QUERIES["s7_docx_blocks"](spark, str(tmp_path))
+    except ZeroDivisionError:
+        pass
+    assert "MapInArrow" in seen[0]._jdf.queryExecution().executedPlan().toString() and seen[0].count() == 200
+
+
 def rows_of(df, kind):
     """How many rows each operator of that kind made."""
     df.collect()
