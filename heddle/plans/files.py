@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +31,9 @@ def stored_sources(v: Views) -> DataFrame:
     return read(v, stored(v, docs)).select("path", "key", F.octet_length("content").alias("n_bytes"))
 
 
+#: How many files of a batch are Python objects at a time.
+FILES_AT_ONCE = 64
+
 BRANDS = """, g AS (SELECT p_brand, p_partkey // 1000 AS k, p_partkey, p_name FROM part), f AS (SELECT p_brand || '-' || k || '.docx' AS path, * FROM g)
 SELECT DISTINCT path, 0::INT AS n, 'HEADING' AS kind, p_brand AS text, 1::INT AS level FROM f UNION ALL SELECT path, 1, 'TEXT', string_agg('- ' || p_name, chr(10) ORDER BY p_partkey), NULL FROM f GROUP BY path
 UNION ALL SELECT path, 2, 'TABLE', '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || p_partkey || ' | ' || p_name || ' |', chr(10) ORDER BY p_partkey), NULL FROM f GROUP BY path"""
@@ -41,12 +44,14 @@ def docx_blocks(v: Views) -> DataFrame:
     """A Word document per brand and thousand of keys: a heading, a list of names and a table."""
 
     def write(batches):
-        for part in batches:
-            made = [markup.write_docx([("Heading1", brand), *(("ListParagraph", r["p_name"]) for r in rows), ("table", [["key", "name"], *([str(r["p_partkey"]), r["p_name"]] for r in rows)])]) for brand, rows in zip(part["p_brand"], part["rows"], strict=True)]
-            yield pd.DataFrame({"path": part["path"], "content": made})
+        for batch in batches:
+            for low in range(0, batch.num_rows, FILES_AT_ONCE):
+                part = batch.slice(low, FILES_AT_ONCE).to_pydict()
+                made = [markup.write_docx([("Heading1", brand), *(("ListParagraph", r["p_name"]) for r in rows), ("table", [["key", "name"], *([str(r["p_partkey"]), r["p_name"]] for r in rows)])]) for brand, rows in zip(part["p_brand"], part["rows"], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(part["path"], pa.string()), pa.array(made, pa.binary())], names=["path", "content"])
 
     parts = v.table("part").groupBy("p_brand", F.floor(F.col("p_partkey") / 1000).alias("k")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("rows"))
-    files = parts.select(F.concat("p_brand", F.lit("-"), F.col("k").cast("string"), F.lit(".docx")).alias("path"), "p_brand", "rows").mapInPandas(write, "path string, content binary")
+    files = parts.select(F.concat("p_brand", F.lit("-"), F.col("k").cast("string"), F.lit(".docx")).alias("path"), "p_brand", "rows").mapInArrow(write, "path string, content binary")
     return read(v, stored(v, files), **{"as": "blocks"}).select("path", "n", "kind", "text", "level")
 
 
