@@ -101,6 +101,35 @@ def test_phrases_cost_no_more_than_the_words(spark):
     assert max(rows_of(hits, "Join")) <= 120
 
 
+def test_postings_read_a_text_where_it_lies(spark, monkeypatch):
+    # The words of all texts went by the word through a shuffle, after a pass over the texts for the stems alone.
+    import random
+
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from heddle.functions import text as X
+
+    rng, bits = random.Random(8), ["a", "B", "3", "_", "__", "AB", "ing", "Ed", "s", "IES", "ches", "us", "e", "wheel", "Speed"]
+    texts = [" ".join("".join(rng.choices(bits, k=rng.randrange(1, 5))) for _ in range(rng.randrange(12))) + rng.choice(["", "é", ".\n"]) for _ in range(200)] + ["", None, "_", "ÄB-x_Ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    places = {}
+    for r in docs.select("id", F.posexplode(F.split(X.lexical_text(F.col("text")), " ")).alias("p", "w")).where("w <> ''").select("id", "p", X.stem(F.col("w")).alias("t")).collect():
+        places.setdefault((r["t"], r["id"]), []).append(r["p"] + 1)
+    as_dict = lambda rows: {(r["token"], r["id"]): r["positions"] for r in rows if r["n"] == len(r["positions"])}
+    assert as_dict(lexical_index.postings(docs).collect()) == {k: sorted(x) for k, x in places.items()} and len(places) > 500
+    tokens = sorted({t for t, _ in places})[::9]
+    wanted = spark.createDataFrame([(t,) for t in tokens * 2], "token string")
+    some = lexical_index.postings(docs, wanted)
+    assert "Exchange" not in ran(some) and as_dict(some.collect()) == {k: sorted(x) for k, x in places.items() if k[0] in tokens}
+    monkeypatch.setattr(lexical_index, "ASKED", len(tokens) // 3)  # several passes
+    assert sorted(map(tuple, lexical_index.postings(docs, wanted).collect())) == sorted(map(tuple, some.collect()))
+    monkeypatch.setattr(lexical_index, "WORDS", 5)  # several parts of a batch, spellings forgotten in between
+    monkeypatch.setattr(lexical_index, "SPELLINGS", 4)
+    parts = list(lexical_index._listed(None)([pa.record_batch({"id": pa.array(range(len(texts))), "text": pa.array(texts)})]))
+    assert len(parts) > 50 and as_dict(r for part in parts for r in part.to_pylist()) == {k: sorted(x) for k, x in places.items()}
+
+
 def test_all_vector_pairs_have_no_limit(spark, tmp_path):
     from heddle.plans.registry import QUERIES
 
