@@ -130,6 +130,17 @@ def test_postings_read_a_text_where_it_lies(spark, monkeypatch):
     assert len(parts) > 50 and as_dict(r for part in parts for r in part.to_pylist()) == {k: sorted(x) for k, x in places.items()}
 
 
+def test_texts_stay_where_they_lie_when_excerpts_are_looked_for(spark):
+    # A text's words were found twice, and all texts went to the few places to look at.
+    from heddle.operators.retrieval import find_excerpts
+
+    docs = spark.createDataFrame([(n, f"one two w{n} three four") for n in range(50)], "doc_id long, text string")
+    found = find_excerpts(docs, spark.createDataFrame([(1, "two w7 three"), (2, "two w8 four"), (3, "w9")], "item_id long, excerpt string"))
+    plan = ran(found)
+    assert {(r["doc_id"], r["item_id"], r["exact"]) for r in found.collect()} == {(7, 1, True), (9, 3, True)}
+    assert "hashpartitioning(doc_id" not in plan
+
+
 def test_all_vector_pairs_have_no_limit(spark, tmp_path):
     from heddle.plans.registry import QUERIES
 
