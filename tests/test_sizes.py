@@ -141,6 +141,20 @@ def test_texts_stay_where_they_lie_when_excerpts_are_looked_for(spark):
     assert "hashpartitioning(doc_id" not in plan
 
 
+def test_texts_stay_where_they_lie_when_few_are_answered_from(spark):
+    # All texts went to the three hits of each question.
+    from heddle.plans.registry import QUERIES
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")  # less than the texts
+    try:
+        told = QUERIES["q16_extractive_answers"](spark, "/root/testdata/sf0.001")
+        plan = ran(told)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(id#" not in plan and told.count() > 0
+
+
 def test_all_vector_pairs_have_no_limit(spark, tmp_path):
     from heddle.plans.registry import QUERIES
 
