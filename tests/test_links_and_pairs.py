@@ -7,6 +7,7 @@ import re
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from heddle.operators import answers, compare, lexical_index, questions
@@ -95,6 +96,46 @@ def test_covers_equal_a_walk(spark):
     assert {(r["query"], r["id"]): r["n_covers"] for r in kept.search(frames[1], 1000).collect()} == want
 
 
+def test_a_task_keeps_the_best_texts_of_each_query(spark, monkeypatch):
+    rng = random.Random(4)
+    alphabet = ["abba", "bolt", "crank", "drum", "egret", "flint"]
+    docs = [(rng.randrange(60), " ".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 30)))) for _ in range(90)]  # ids with several texts
+    asked = [(q, " ".join(["".join(w.capitalize() for w in rng.sample(alphabet, 2)), *rng.sample(alphabet, 2)])) for q in range(20)]
+    frames = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(asked, "query long, text string")
+    row = lambda r: (r["query"], r["id"], r["n_covers"], r["n_phrases"])
+    whole = sorted(map(row, lexical_index.lexical_channel(*frames, k=1000).collect()), key=lambda r: (r[0], -r[2], r[1]))
+    first = [r for n, r in enumerate(whole) if n < 4 or whole[n - 4][0] != r[0]]
+    assert len(whole) > 800 and sorted(map(row, lexical_index.lexical_channel(*frames, k=4).collect())) == sorted(first)
+    # Several batches, parts of a batch and prunings in a task.
+    class shared:
+        value = lexical_index._Asked(lexical_index.expressions(frames[1]).toArrow())
+
+    monkeypatch.setattr(lexical_index, "WORDS", 50)
+    monkeypatch.setattr(lexical_index, "CELLS", 81)
+    ids = [d for d, _ in docs]
+    batches = [pa.record_batch({"id": pa.array(ids[n : n + 7]), "again": pa.array([ids.count(x) > 1 for x in ids[n : n + 7]]), "text": pa.array([t for _, t in docs[n : n + 7]])}) for n in range(0, 90, 7)]
+    for k in (4, 30):
+        out = [r for b in lexical_index._scored(shared, k)(batches) for r in b.to_pylist()]
+        once = {x for x in ids if ids.count(x) == 1}
+        assert {row(r) for r in out if r["id"] in once} >= {r for r in first if r[1] in once}
+        total = {}
+        for r in out:
+            total[r["query"], r["id"]] = total.get((r["query"], r["id"]), 0) + r["n_covers"]
+        assert all(total.get((q, d), 0) == n for q, d, n, _ in whole if d not in once)
+        assert k == 30 or max(sum(r["query"] == q and r["id"] in once for r in out) for q in range(20)) <= k
+
+
+def test_the_lexical_channel_asks_all_items(spark, tmp_path):
+    # Only items with ids divisible by 20 were asked.
+    from heddle.plans.registry import QUERIES
+
+    texts = ["The crank of the bolt turns. It stops.", "An egret flies over drums.", "nothing here"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "crank bolt"), (19, "egret"), (20, "drum"), (21, "zebra")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r["query"], r["id"], r["rank"], r["score"]) for r in QUERIES["q2_lexical_channel"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0, 1, 0.166667), (19, 1, 1, 0.090909), (20, 1, 1, 0.090909)}
+
+
 # ---- spellings
 
 
