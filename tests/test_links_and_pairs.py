@@ -134,6 +134,8 @@ def test_the_lexical_channel_asks_all_items(spark, tmp_path):
     spark.createDataFrame([(1, "crank bolt"), (19, "egret"), (20, "drum"), (21, "zebra")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {(r["query"], r["id"], r["rank"], r["score"]) for r in QUERIES["q2_lexical_channel"](spark, str(tmp_path)).collect()}
     assert got == {(1, 0, 1, 0.166667), (19, 1, 1, 0.090909), (20, 1, 1, 0.090909)}
+    answers = {(r["query"], r["id"], r["sentence"]) for r in QUERIES["q16_extractive_answers"](spark, str(tmp_path)).collect()}
+    assert answers == {(1, 0, "The crank of the bolt turns."), (19, 1, texts[1]), (20, 1, texts[1])}
 
 
 # ---- spellings
