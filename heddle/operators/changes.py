@@ -30,8 +30,9 @@ class Knowledge:
     relationship_evidence: DataFrame
     aliases: DataFrame
 
-    def after(self, changes: DataFrame) -> Knowledge:
-        return replace(self, **{f.name: applied(getattr(self, f.name), f.name, changes) for f in fields(self)})
+    def after(self, changes: DataFrame, creating: tuple[str, ...] = TABLES) -> Knowledge:
+        """creating: the tables that the changes may add rows to."""
+        return replace(self, **{f.name: applied(getattr(self, f.name), f.name, changes, f.name in creating) for f in fields(self)})
 
     def kept(self) -> Knowledge:
         """All tables written, for operations that read them several times."""
@@ -51,8 +52,11 @@ def inverse(changes: DataFrame) -> DataFrame:
     return changes.select("by", "table", "id", "column", F.col("after").alias("before"), F.col("before").alias("after"))
 
 
-def applied(rows: DataFrame, table: str, changes: DataFrame) -> DataFrame:
-    """rows of one table after the changes to it; a row is created only where its id is missing, and changes to ids that aren't there do nothing."""
+def applied(rows: DataFrame, table: str, changes: DataFrame, creating: bool = True) -> DataFrame:
+    """rows of one table after the changes to it; a row is created only where its id is missing, and changes to ids that aren't there do nothing.
+
+    If none is created, rows stay dealt as they are, so that rows and changes that are dealt by id meet without a shuffle, one change set after the other.
+    """
     own = changes.where(F.col("table") == table)
     names, whole = [c for c in rows.columns if c != "id"], F.col("column") == CREATED
     # One row per changed id, so that both sides are dealt by id once.
@@ -60,6 +64,9 @@ def applied(rows: DataFrame, table: str, changes: DataFrame) -> DataFrame:
         F.max(F.when(whole, F.col("after"))).alias("__made"), F.coalesce(F.bool_or(whole & F.col("after").isNull()), F.lit(False)).alias("__gone"),
         *(F.max(F.when(F.col("column") == c, F.struct("after"))).alias(f"__{c}") for c in names),
     )
+    if not creating:
+        out = rows.join(set_to.drop("__made"), "id", "left").where(~F.coalesce("__gone", F.lit(False)))
+        return out.select(*(F.when(F.col(f"__{c}").isNotNull(), F.col(f"__{c}.after")).otherwise(F.col(c)).alias(c) if c != "id" else F.col("id") for c in rows.columns))
     out = rows.withColumn("__here", F.lit(True)).join(set_to, "id", "full").withColumn("__made", F.from_json("__made", rows.schema))
     out = out.where(F.when(F.col("__here"), ~F.coalesce("__gone", F.lit(False))).otherwise(F.col("__made").isNotNull()))
     was = lambda c: F.when(F.col("__here"), F.col(c)).otherwise(F.col(f"__made.{c}"))

@@ -157,3 +157,28 @@ def test_a_table_alone_changes_as_with_all_others(spark):
     changed = applied(before.aliases, "aliases", spark.createDataFrame([(["e01"], "aliases", "a1", "entity_id", "x", "y")], "by array<string>, table string, id string, column string, before string, after string"))
     changed.collect()
     assert changed._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+@pytest.fixture
+def merging(spark):
+    """Joins by merging, as of tables too large to broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_tables_dealt_by_id_meet_their_changes_without_a_shuffle(spark, merging):
+    # Each change set dealt all rows of a table anew, those of the log and of what is undone too.
+    from heddle.operators.graph import dealt
+
+    tables = made(random.Random(6))
+    before = changes.Knowledge(**{n: dealt(spark.createDataFrame(tables[n], s), "id") for n, s in SCHEMAS.items()})
+    pairs = lambda *x: spark.createDataFrame(list(x), "merged string, survivor string")
+    after, first = merges.merge(before, pairs(("e01", "e00"), ("e05", "e20")), 1)
+    after, second = merges.merge(after, pairs(("e03", "e00"), ("e07", "e20")), 2)
+    back, _, refused = merges.undo(after, first.unionByName(second), spark.createDataFrame([("e01",), ("e03",), ("e05",), ("e07",)], "merged string"))
+    assert rows(after) != rows(before) == rows(back) and not refused.count()
+    for table in ("entities", "relationships", "entity_evidence", "relationship_evidence"):
+        for knowledge in (after, back):
+            assert "Exchange" not in getattr(knowledge, table)._jdf.queryExecution().executedPlan().toString()
