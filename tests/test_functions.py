@@ -278,3 +278,35 @@ def test_first_arrivals_equal_the_shortest_of_all_paths(spark):
         assert least(every, "id") == least(first, "id") and least(every, "node") == least(first, "node")
         paths = lambda rows: {(r["root"], r["node"]): r["x"]["path"] for r in rows.where("node <> root").groupBy("root", "node").agg(F.min(F.struct("depth", "path")).alias("x")).collect()}
         assert paths(every) == paths(first)
+
+
+def test_statements_of_all_blocks_are_compared_together_and_far_ones_not_matched(monkeypatch):
+    # Each block had calls of its own, and all pairs with enough common letters were matched.
+    rng = random.Random(12)
+    words = ["volt", "limit", "of", "the", "bus", "größe", "x", "pump", "is", "not"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    near = lambda t: t[: len(t) // 3] + rng.choice(words) + t[len(t) // 2 :]
+    pairs = [([a := text(rng.choice([1, 8, 30, 90])), text(5), text(60)], [near(a), text(6), "", text(70)]) for _ in range(30)]
+    calls = []
+    count = lambda f, n: lambda *a: calls.append(n) or f(*a)
+    monkeypatch.setattr(fuzzy, "sequence_ratios", count(fuzzy.sequence_ratios, "ratios"))
+    found = compare.diffs_of_statements(pairs, len)
+    assert calls == ["ratios"]
+    for (old, new), got in zip(pairs, found, strict=True):
+        rest, want = list(new), []
+        for before in old:
+            ratios = [SequenceMatcher(None, before, after).ratio() for after in rest]
+            if ratios and max(ratios) >= compare.PAIRING:
+                want.append((before, rest.pop(ratios.index(max(ratios)))))
+        assert [(b, a) for _, b, a in got if None not in (a, b)] == want
+    sides = [[text(n) for n in (0, 1, 2, 9, 20, 33, 34, 50, 80, 200) for _ in range(4)] for _ in "ab"]
+    x, y = (c.ravel() for c in np.meshgrid(np.arange(40), np.arange(40), indexing="ij"))
+    want = np.array([SequenceMatcher(None, sides[0][a], sides[1][b]).ratio() for a, b in zip(x, y, strict=True)])
+    for few in (0, 1 << 30):  # all together, and all one by one
+        monkeypatch.setattr(fuzzy, "FEW", few)
+        got = fuzzy.sequence_ratios(*sides, x, y, 0.45)
+        assert np.where(want >= 0.45, got == want, got < 0.45).all() and (want >= 0.45).sum() > 50
+        assert (fuzzy.sequence_ratios(*sides, x, y, 0.0) == want).all()
+    monkeypatch.setattr(fuzzy, "_matched", lambda *a: 1 / 0)
+    monkeypatch.setattr(fuzzy, "_matched_far", lambda *a: 1 / 0)
+    assert not fuzzy.sequence_ratios(["abcdefgh" * 40, "abcdefgh"], ["hgfedcba" * 40, "hgfedcba"], np.array([1, 1]), np.array([1, 0]), 0.6).any()
