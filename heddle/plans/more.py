@@ -232,6 +232,7 @@ def all_passes(v: Views) -> DataFrame:
     words = F.filter(F.split(F.lower("content"), r"[^a-z0-9]+"), lambda w: w != "")
     key = F.concat_ws(" > ", F.array_join(F.slice(words, 1, 2), " "), F.nullif(F.array_join(F.slice(words, 3, 4), " "), F.lit("")))
     rows = v.chunks.join(v.versions.select("doc_id", "version_number"), "doc_id").select("document", "version_number", F.col("pos").cast("long").alias("ordinal"), key.alias("key"))
+    rows = graph.settled(rows)  # both sides of the pairs are read from it
     pair = lambda shift: F.concat_ws("#", "document", (F.col("version_number") - shift).cast("string")).alias("pair")
     return compare.pair_sections(rows.select(pair(0), "ordinal", "key"), rows.select(pair(1), "ordinal", "key"))
 

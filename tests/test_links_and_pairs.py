@@ -262,3 +262,26 @@ def test_legacy_resolution_equals_a_walk(spark):
     frames = [spark.createDataFrame(rows, schema) for rows, schema in ((mentions, "mention string, normalized string, kind string"), (candidates, "id string, normalized string, kind string"), (aliases, "id string, normalized string"))]
     got = {tuple(r) for r in answers.legacy_resolution(*frames).collect()}
     assert got == want and {x[2] for x in want} >= {"EXACT", "ALIAS", "AMBIGUOUS", "UNRESOLVED"}
+
+
+def test_names_of_a_pair_are_compared_in_one_task(spark, monkeypatch):
+    # Names of all pairs were told apart into tokens, and words of all headings were counted.
+    rng = random.Random(9)
+    words = ["pump", "pumps", "valve", "valves", "gauge", "größe", "unit", "units"]
+    side = lambda kinds: [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 5)))) for k in kinds for _ in range(12)] + [(3, None), (None, "pump"), (3, "")]
+    frames = [spark.createDataFrame(side(kinds), "kind long, name string") for kinds in (range(8), range(2, 10))]
+    rows = lambda df: sorted(tuple(r[c] for c in ("kind", "a", "b", "ratio")) for r in df.collect())
+    want = rows(compare.similar_names(*frames, 0.85))
+    assert len(want) > 10 and ("", "") not in {r[1:3] for r in want if r[0] != 3}
+    for pairs, step in (((1 << 22, 1 << 14), 1 << 16), ((130, 1 << 14), 1 << 16), ((1 << 22, 3), 1 << 16), ((1 << 22, 1 << 14), 5)):
+        monkeypatch.setattr(compare, "WITHIN", pairs)
+        monkeypatch.setattr(compare, "PAIRS", step)
+        assert rows(compare.similar_within(*frames, 0.85)) == want
+    monkeypatch.setattr(compare, "WITHIN", (1 << 22, 1 << 14))
+    monkeypatch.setattr(compare, "similar_names", lambda *x: 1 / 0)
+    kept, settled = [], compare.settled
+    monkeypatch.setattr(compare, "settled", lambda df: kept.append(settled(df)) or kept[-1])
+    sections = lambda mark: [(p, k, f"{mark}{k} > pump of unit {mark}") for p in range(20) for k in range(5)]
+    old, new = (spark.createDataFrame([*sections(mark), (7, 9, f"one > gauge {more}valve")], "pair long, ordinal long, key string") for mark, more in (("x", ""), ("y", "or ")))
+    assert [tuple(r) for r in compare.extended_headings(old, new).collect()] == [(7, 9, 9)] and max(df.count() for df in kept) == 1
+    assert (7, 9, 9, "EXTENDED") in {tuple(r) for r in compare.pair_sections(old, new).collect()}
